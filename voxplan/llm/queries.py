@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from .minhash import op7_minhash
 from .packing import op8_packing
+from .pii import op2_pii
+from .scoring import op9_context_tree
+from .secrets import op4_secrets
 from .simhash import op10_simhash
+from .suffixes import op3_suffixes
 
-QUERIES = {f.__name__: f for f in (op7_minhash, op8_packing, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op2_pii, op3_suffixes, op4_secrets, op7_minhash, op8_packing, op9_context_tree, op10_simhash)}
 SQL: dict[str, str] = {}
