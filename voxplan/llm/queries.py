@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from .decontam import op5_decontaminate
 from .minhash import op7_minhash
 from .packing import op8_packing
 from .pii import op2_pii
+from .quality import op6_quality
 from .scoring import op9_context_tree
 from .secrets import op4_secrets
 from .simhash import op10_simhash
 from .suffixes import op3_suffixes
+from .urls import op1_url_rules
 
-QUERIES = {f.__name__: f for f in (op2_pii, op3_suffixes, op4_secrets, op7_minhash, op8_packing, op9_context_tree, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_url_rules, op2_pii, op3_suffixes, op4_secrets, op5_decontaminate, op6_quality, op7_minhash, op8_packing, op9_context_tree, op10_simhash)}
 SQL: dict[str, str] = {}
