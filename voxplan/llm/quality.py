@@ -25,8 +25,12 @@ from .common import LOWER, SPACE, mix, prefix_hash, range_hash, read_table, text
 LABELLED = 12_000
 POOL = 6_000
 ROUNDS = 2
+#: A feature counts if its shares in the two classes differ by so many standard errors.
+SIGNIFICANT = 6.0
+#: Documents that have the feature, at least.
+SUPPORT = 10
 CONFIDENT = 0.97
-HASH_BITS = 16
+HASH_BITS = 20
 TARGETS = ("quality", "toxic")
 #: A document stays with at least this probability of good quality and at most this one of toxicity.
 KEEP_QUALITY = 0.5
@@ -60,6 +64,14 @@ def text_features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
         features.append(_bucketed(kind + 1, 20 * (total[offsets[1:]] - total[offsets[:-1]]) // size))
     docs.append(np.arange(n))
     features.append(_bucketed(9, np.log2(size).astype(int)))
+    # How many of the words are different ones, and how many repeat the word before.
+    hashes, (_, _, first) = range_hash(hashed, *(own := words(low, offsets))[:2]), own
+    of, count = np.repeat(np.arange(n), np.diff(first)), np.maximum(np.diff(first), 1)
+    kinds = np.bincount(np.unique(np.stack([of.astype(np.uint64), hashes]), axis=1)[0].astype(np.int64), minlength=n) if len(of) else np.zeros(n, int)
+    again = np.bincount(of[1:][(hashes[1:] == hashes[:-1]) & (of[1:] == of[:-1])], minlength=n)
+    for kind, share in ((10, 10 * kinds // count + 100 * np.log2(count).astype(int)), (11, 20 * again // count)):
+        docs.append(np.arange(n))
+        features.append(_bucketed(kind, share))
     pair = np.unique(np.concatenate(docs) << HASH_BITS | np.concatenate(features))
     return pair & ((1 << HASH_BITS) - 1), np.searchsorted(pair, np.arange(n + 1) << HASH_BITS)
 
@@ -77,7 +89,7 @@ def metadata_features(rows: pa.RecordBatch, offsets: np.ndarray) -> tuple[np.nda
 
 
 class Logistic:
-    """Logistic regression on sets of binary features, by adaptive stochastic gradients; classes weigh the same."""
+    """Logistic regression on sets of binary features, by adaptive stochastic gradients, over the significant features; classes weigh the same."""
 
     def __init__(self, seed: int = 5, epochs: int = 12, rate: float = 0.15, decay: float = 1e-5):
         self.seed, self.epochs, self.rate, self.decay = seed, epochs, rate, decay
@@ -85,26 +97,30 @@ class Logistic:
 
     def logits(self, sets: list[np.ndarray]) -> np.ndarray:
         first = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
-        flat = np.concatenate([*sets, np.zeros(0, np.int64)])
-        total = np.concatenate([[0.0], np.cumsum(self.weights[flat])])
-        return (total[first[1:]] - total[first[:-1]]) / np.sqrt(np.maximum(np.diff(first), 1)) + self.bias
+        total = np.concatenate([[0.0], np.cumsum(self.weights[np.concatenate([*sets, np.zeros(0, np.int64)])])])
+        return total[first[1:]] - total[first[:-1]] + self.bias
 
     def fit(self, sets: list[np.ndarray], y: np.ndarray) -> Logistic:
-        weigh = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
         self.weights[:], self.bias = 0, 0.0
+        ones, size = y.sum(), np.array([len(x) for x in sets])
+        flat = np.concatenate(sets)
+        a, b = (np.bincount(flat, np.repeat(c, size), 1 << HASH_BITS) for c in (y, 1 - y))
+        share = (a + b) / len(y)
+        spread = np.sqrt(share * (1 - share) * (1 / ones + 1 / (len(y) - ones))) + 1e-12
+        counts = (np.abs(a / ones - b / (len(y) - ones)) >= SIGNIFICANT * spread) & (a + b >= SUPPORT)
+        sets = [x[counts[x]] for x in sets]
+        weigh = np.where(y == 1, 0.5 * len(y) / ones, 0.5 * len(y) / (len(y) - ones))
         rng, seen, seen_bias = np.random.default_rng(self.seed), np.full(1 << HASH_BITS, 1e-8), 1e-8
         for _ in range(self.epochs):
             order = rng.permutation(len(sets))
             for k in range(0, len(order), 64):
                 part = order[k : k + 64]
-                size = np.array([len(sets[i]) for i in part])
                 flat = np.concatenate([sets[i] for i in part])
-                which = np.repeat(np.arange(len(part)), size)
-                scale = 1 / np.sqrt(np.maximum(size, 1))
-                z = np.bincount(which, self.weights[flat], len(part)) * scale + self.bias
-                error = (1 / (1 + np.exp(-z)) - y[part]) * weigh[part] / len(part)
+                which = np.repeat(np.arange(len(part)), [len(sets[i]) for i in part])
+                z = np.bincount(which, self.weights[flat], len(part)) + self.bias
+                error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[part]) * weigh[part] / len(part)
                 used, at = np.unique(flat, return_inverse=True)
-                g = np.bincount(at, (error * scale)[which]) + self.decay * self.weights[used]
+                g = np.bincount(at, error[which], len(used)) + self.decay * self.weights[used]
                 seen[used] += g * g
                 self.weights[used] -= self.rate * g / np.sqrt(seen[used])
                 seen_bias += error.sum() ** 2
@@ -119,7 +135,7 @@ def co_train(text: list[np.ndarray], meta: list[np.ndarray], y: np.ndarray, pool
     for _ in range(rounds):
         given = []
         for model, (_, pool) in zip(models, views):
-            p = 1 / (1 + np.exp(-model.logits(pool))) if pool else np.zeros(0)
+            p = 1 / (1 + np.exp(-np.clip(model.logits(pool), -30, 30))) if pool else np.zeros(0)
             given.append((np.flatnonzero((p >= CONFIDENT) | (p <= 1 - CONFIDENT)), p))
         models = [Logistic().fit(own + [pool[i] for i in given[1 - k][0]], np.concatenate([y, given[1 - k][1][given[1 - k][0]] >= 0.5])) for k, (own, pool) in enumerate(views)]
     return models[0], models[1]
@@ -135,6 +151,19 @@ def calibrate(a: np.ndarray, b: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
+def one_of_each(sets: list[np.ndarray], bands: int = 6, rows: int = 4) -> np.ndarray:
+    """Marks the first of near copies, by bands of min-hashes: a group of copies would else pass its label on to its own words."""
+    seeds = mix(np.arange(1, bands * rows + 1, dtype=np.uint64))[:, None]
+    seen: set = set()
+    out = np.ones(len(sets), bool)
+    for i, x in enumerate(sets):
+        least = mix(x.astype(np.uint64) ^ seeds).min(axis=1).reshape(bands, rows) if len(x) else np.zeros((bands, rows), np.uint64)
+        keys = [(k, *band) for k, band in enumerate(least.tolist())]
+        out[i] = seen.isdisjoint(keys)
+        seen.update(keys)
+    return out
+
+
 def features(docs: DataFrame) -> DataFrame:
     """(doc_id, text_set, meta_set) of docs."""
 
@@ -158,6 +187,8 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     rows = features(docs.select(*columns).join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")).join(F.broadcast(chosen), "doc_id").toArrow()
     sets = [[x.values.to_numpy().astype(np.int64) for x in rows.column(c)] for c in ("text_set", "meta_set")]
     have = np.array([v is not None for v in rows.column("quality").to_pylist()], bool)
+    have &= (single := one_of_each(sets[0]))
+    pool_of = single & np.array([v is None for v in rows.column("quality").to_pylist()], bool)
     turn = mix(np.array(rows.column("doc_id").to_pylist(), np.int64).view(np.uint64)) % np.uint64(4) == 0
     pick = lambda c, which: [sets[c][i] for i in np.flatnonzero(which)]
     out = {}
@@ -168,7 +199,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
             share = (y[have].sum() + 1) / (have.sum() + 2) if have.any() else float(target == "quality")
             out[target] = (Logistic(), Logistic(), np.array([0, 0, np.log(max(share, 1e-6) / max(1 - share, 1e-6))]))
             continue
-        a, b = co_train(pick(0, fit), pick(1, fit), y[fit].astype(float), pick(0, ~have), pick(1, ~have))
+        a, b = co_train(pick(0, fit), pick(1, fit), y[fit].astype(float), pick(0, pool_of), pick(1, pool_of))
         out[target] = (a, b, calibrate(a.logits(pick(0, held)), b.logits(pick(1, held)), y[held].astype(float)))
     return out
 
@@ -187,7 +218,7 @@ def scored(docs: DataFrame, models: dict[str, tuple]) -> DataFrame:
                 z = []
                 for (f, at), (weights, bias) in zip(made, views):
                     total = np.concatenate([[0.0], np.cumsum(weights[f], dtype=float)])
-                    z.append((total[at[1:]] - total[at[:-1]]) / np.sqrt(np.maximum(np.diff(at), 1)) + bias)
+                    z.append(total[at[1:]] - total[at[:-1]] + bias)
                 both = w[0] * np.clip(z[0], -20, 20) + w[1] * np.clip(z[1], -20, 20) + w[2]
                 out += [pa.array(1 / (1 + np.exp(-np.clip(x, -30, 30)))) for x in (both, *z)]
             yield pa.RecordBatch.from_arrays([*rows.columns, *out], [*rows.schema.names, *names])
