@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from voxplan.functions import kernels
+from voxplan.functions.once import once
 
 
 def _by_length(kernel: Callable[[np.ndarray], np.ndarray], empty: int) -> Callable[[Iterator[pd.Series]], Iterator[pd.Series]]:
@@ -50,7 +51,7 @@ def autocorrelation(df: DataFrame, order: int = 12, column: str = "raw_samples")
         left, right = F.slice(x, 1, F.greatest(n - k, F.lit(0))), F.slice(x, k + 1, F.greatest(n - k, F.lit(0)))
         return F.coalesce(F.aggregate(F.zip_with(left, right, lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v), F.lit(0.0))
 
-    return df.withColumn("autocorr", F.transform(F.sequence(F.lit(0), F.lit(order)), lag))
+    return once(df, autocorr=F.transform(F.sequence(F.lit(0), F.lit(order)), lag))
 
 
 def lpc(df: DataFrame, order: int = 12, column: str = "raw_samples") -> DataFrame:

@@ -1,7 +1,6 @@
 """Signal operators on one row for each recording (samples as an array), without a shuffle.
 
-Every lambda that indexes an array stands beside another use of the same array; the optimizer then keeps the array's own
-expression out of the lambda and computes it once.
+Steps that the next one uses several times go through once(), which keeps the optimizer from writing them out each time.
 """
 
 from __future__ import annotations
@@ -9,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxplan.functions.once import once
+
 EMPTY = "array<double>"
 
 
@@ -34,7 +35,7 @@ def preemphasis(df: DataFrame, coef: float = 0.95) -> DataFrame:
     """y[0] = 0, y[n] = x[n] - coef x[n-1]."""
     x = F.col("samples")
     first = F.when(F.size(x) > 0, F.array(F.lit(0.0))).otherwise(F.array().cast(EMPTY))
-    return df.withColumn("samples", F.concat(first, F.zip_with(_tail(x), _lead(x), lambda a, b: a - b * coef)))
+    return once(df, samples=F.concat(first, F.zip_with(_tail(x), _lead(x), lambda a, b: a - b * coef)))
 
 
 def frame_count(n: Column, frame: int, hop: int) -> Column:
@@ -55,30 +56,29 @@ def short_time_stats(df: DataFrame, frame: int, hop: int) -> DataFrame:
         return F.struct(i.alias("frame"), power.alias("power"), (F.aggregate(turns, F.lit(0.0), lambda a, v: a + v) * 0.5).alias("zcr"))
 
     stats = F.when(count > 0, F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), one))
-    return df.withColumn("stats", F.coalesce(stats, F.array().cast("array<struct<frame:int,power:double,zcr:double>>")))
+    return once(df, stats=F.coalesce(stats, F.array().cast("array<struct<frame:int,power:double,zcr:double>>")))
 
 
 def _cut(df: DataFrame, start: Column, stop: Column, hop: int) -> DataFrame:
     """Samples from start's hop up to stop's hop; the whole number of hops if start is null. Too short recordings become empty."""
-    df = df.withColumn("_first", start).withColumn("_last", stop)
-    first, last = F.coalesce("_first", F.lit(0)), F.when(F.col("_first").isNull(), F.size("stats")).otherwise(F.col("_last"))
+    df = once(df, _first=F.coalesce(start, F.lit(0)), _last=F.when(start.isNull(), F.size("stats")).otherwise(stop))
+    first, last = F.col("_first"), F.col("_last")
     kept = F.slice("samples", first * hop + 1, F.greatest((last - first) * hop, F.lit(0)))
-    return df.withColumn("samples", F.when(F.size("stats") > 0, kept).otherwise(F.array().cast(EMPTY))).drop("_first", "_last", "stats", "_power", "_zcr")
+    return once(df, samples=F.when(F.size("stats") > 0, kept).otherwise(F.array().cast(EMPTY))).drop("_first", "_last", "stats", "_power", "_zcr")
 
 
 def trim_silence(df: DataFrame, frame: int, hop: int, ratio: float = 0.015) -> DataFrame:
     """Keeps the hops from the first frame whose power is over ratio of the recording's largest up to, not with, the last such frame; all hops if none is."""
-    df = short_time_stats(df, frame, hop).withColumn("_power", F.array_max(F.col("stats.power")))
-    active = F.filter("stats", lambda s: s["power"] > F.col("_power") * ratio)
-    df = df.withColumn("_on", active)
+    df = once(short_time_stats(df, frame, hop), _power=F.array_max(F.col("stats.power")))
+    df = once(df, _on=F.filter("stats", lambda s: s["power"] > F.col("_power") * ratio))
     return _cut(df, F.try_element_at("_on", F.lit(1))["frame"], F.try_element_at("_on", F.lit(-1))["frame"], hop).drop("_on")
 
 
 def trim_silence_two_level(df: DataFrame, frame: int, hop: int, start: tuple[float, float] = (0.08, 0.15), stop: tuple[float, float] = (0.03, 0.10)) -> DataFrame:
     """As trim_silence, with (zero crossings, power) shares that begin and others that end the speech."""
-    df = short_time_stats(df, frame, hop).withColumn("_power", F.array_max(F.col("stats.power"))).withColumn("_zcr", F.array_max(F.col("stats.zcr")))
+    df = once(short_time_stats(df, frame, hop), _power=F.array_max(F.col("stats.power")), _zcr=F.array_max(F.col("stats.zcr")))
     over = lambda z, p: F.filter("stats", lambda s: (s["zcr"] > F.col("_zcr") * z) & (s["power"] > F.col("_power") * p))
-    df = df.withColumn("_on", over(*start)).withColumn("_off", over(*stop))
+    df = once(df, _on=over(*start), _off=over(*stop))
     return _cut(df, F.try_element_at("_on", F.lit(1))["frame"], F.try_element_at("_off", F.lit(-1))["frame"], hop).drop("_on", "_off")
 
 
@@ -95,12 +95,12 @@ def hamming_cumulative(df: DataFrame, window: int = 320, hop: int = 128) -> Data
             out = out * F.when((w >= 0) & (w < count) & (i - w * hop < window), weight(i - w * hop)).otherwise(F.lit(1.0))
         return out * F.when((count >= 0) & (i >= count * hop) & (i < n - 1), weight(i - count * hop)).otherwise(F.lit(1.0))
 
-    return df.withColumn("samples", F.transform("samples", one))
+    return once(df, samples=F.transform("samples", one))
 
 
 def drop_leading(df: DataFrame, n: int = 500) -> DataFrame:
     """Without the first n samples; shorter recordings become empty."""
-    return df.withColumn("samples", F.slice("samples", n + 1, F.greatest(F.size("samples") - n, F.lit(0))))
+    return once(df, samples=F.slice("samples", n + 1, F.greatest(F.size("samples") - n, F.lit(0))))
 
 
 def preprocess(df: DataFrame, mode: str = "batch", frame: int = 320, hop: int = 160, window: int = 320, window_hop: int = 128) -> DataFrame:
