@@ -102,7 +102,7 @@ def _pass(frames: DataFrame, ids: np.ndarray, centroids: np.ndarray, column: str
                 counts += np.bincount(near, minlength=k)
                 total += np.bincount(near, d[np.arange(len(d)), near], minlength=k)
         used = np.flatnonzero(counts)
-        yield pd.DataFrame({"c": used, "sums": list(sums[used]), "n": counts[used], "d": total[used]})
+        yield pd.DataFrame({"c": used, "sums": pd.Series(list(sums[used]), dtype=object), "n": counts[used], "d": total[used]})
 
     rows = frames.mapInPandas(run, "c int, sums array<double>, n double, d double").select("c", F.posexplode("sums").alias("pos", "v"), "n", "d")
     rows = rows.groupBy("c", "pos").agg(F.sum("v").alias("v"), F.sum("n").alias("n"), F.sum("d").alias("d")).collect()

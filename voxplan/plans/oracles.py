@@ -68,7 +68,7 @@ _FOUR = "four AS (SELECT CAST(2 * a.i + b.i AS INT) AS id, pos, v * a.f * b.f AS
 def _assign(book: str, p: str, columns: str = "pos > 0") -> str:
     """{p}: nearest id of each frame."""
     return f"""{p}d AS (SELECT e.word, e.recording, e.frame_number, c.id, sqrt(sum((e.v - c.v) * (e.v - c.v)) FILTER (e.{columns})) AS d FROM each e JOIN {book} c USING (pos) GROUP BY ALL),
-{p} AS (SELECT word, recording, frame_number, id AS parent_centroid_id, d AS distance FROM (SELECT *, row_number() OVER (PARTITION BY word, recording, frame_number ORDER BY d, id) AS r FROM {p}d) WHERE r = 1)"""
+{p} AS (SELECT word, recording, frame_number, id AS parent_centroid_id, d AS distance FROM (SELECT *, row_number() OVER (PARTITION BY word, recording, frame_number ORDER BY round(d, 12), id) AS r FROM {p}d) WHERE r = 1)"""
 
 
 def _update(assigned: str, p: str, k: int) -> str:
