@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, written
+from .common import bounded_batches, read_table, written
 
 LENGTH = 2048
 END = 1
@@ -54,6 +54,7 @@ def tokenizer(path: str | None = None):
 def tokenized(docs: DataFrame, path: str | None = None, end: int = END) -> DataFrame:
     """(doc_id, part, start, n_tokens, ids) of docs (doc_id, text): ids as little-endian bytes, 2 for each id below 2^16;
     start: the document's first id within its partition `part`. A null or empty text has the end id alone. Written once."""
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, at = tokenizer(path), TaskContext.get().partitionId(), 0

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, SPACE, mix, prefix_hash, range_hash, read_table, text_slices, words, written
+from .common import LOWER, SPACE, bounded_batches, mix, prefix_hash, range_hash, read_table, text_slices, words, written
 
 #: Documents that the fit looks at, at most: with labels, and without.
 LABELLED = 12_000
@@ -206,6 +206,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
 
 def scored(docs: DataFrame, models: dict[str, tuple]) -> DataFrame:
     """docs with p_quality, p_toxic and p_*_text, p_*_meta, the views' own probabilities; other columns stay."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast({t: [(a.weights.astype(np.float32), a.bias), (b.weights.astype(np.float32), b.bias), w] for t, (a, b, w) in models.items()})
     names = [f"p_{t}{v}" for t in TARGETS for v in ("", "_text", "_meta")]
 

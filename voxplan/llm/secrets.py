@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, read_table, text_slices
+from .common import LOWER, bounded_batches, read_table, text_slices
 
 try:  # the parser of re tells what a regex must contain
     from re import _constants as sre
@@ -167,6 +167,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, name: str = "secrets"
 
     A null or empty text has none. Matches of different kinds may overlap.
     """
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, compiled = Index(rules), [r.compiled() for r in rules]

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, mix, read_table, text_slices, words, written
+from .common import LOWER, bounded_batches, mix, read_table, text_slices, words, written
 from .graph import components
 
 DISTANCE = 4
@@ -61,6 +61,7 @@ def simhash(raw: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> np.ndar
 
 def fingerprints(docs: DataFrame, width: int = WIDTH, name: str = "fp") -> DataFrame:
     """docs with a long column `name`, the fingerprint of `text` (null: empty, so 0); all other columns stay."""
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, raw, offsets in text_slices(batches):
@@ -204,7 +205,7 @@ def keep_first_of_groups(docs: DataFrame, width: int = 5, distance: int = DISTAN
 
     Rows with a null doc_id go if their group has any other member, else they stay.
     """
-    marked = fingerprints(docs, width, "__fp")
-    heads = groups(written(marked.select("doc_id", F.col("__fp").alias("fp")), "docs"), distance)
-    heads = heads.select(F.col("fp").alias("__fp"), F.col("component_id").alias("__head"))
-    return marked.join(heads, "__fp").where(F.col("doc_id").eqNullSafe(F.col("__head"))).select(*docs.columns)
+    key = F.xxhash64("doc_id", "text")
+    marked = written(fingerprints(docs.select(key.alias("row"), "doc_id", "text"), width).select("row", "doc_id", "fp"), "docs")
+    kept = marked.join(groups(marked, distance), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("row").alias("__row"))
+    return docs.withColumn("__row", key).join(written(kept.distinct(), "kept"), "__row", "left_semi").select(*docs.columns)
