@@ -151,14 +151,18 @@ def calibrate(a: np.ndarray, b: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def one_of_each(sets: list[np.ndarray], bands: int = 6, rows: int = 4) -> np.ndarray:
-    """Marks the first of near copies, by bands of min-hashes: a group of copies would else pass its label on to its own words."""
-    seeds = mix(np.arange(1, bands * rows + 1, dtype=np.uint64))[:, None]
+def one_of_each(sets: list[np.ndarray], classes: int = 4, least: int = 12) -> np.ndarray:
+    """Marks the first of near copies: a group of copies would else pass its label on to its own words.
+
+    Features fall into classes by hash; sets that have the same `least` features of lowest hash in some class are near
+    copies, as are equal sets.
+    """
     seen: set = set()
     out = np.ones(len(sets), bool)
     for i, x in enumerate(sets):
-        least = mix(x.astype(np.uint64) ^ seeds).min(axis=1).reshape(bands, rows) if len(x) else np.zeros((bands, rows), np.uint64)
-        keys = [(k, *band) for k, band in enumerate(least.tolist())]
+        h = np.sort(mix(x.astype(np.uint64) + np.uint64(1)))
+        parts = [h[h % np.uint64(classes) == k] for k in range(classes)]
+        keys = [x.tobytes(), *(p[:least].tobytes() for p in parts if len(p) >= least)]
         out[i] = seen.isdisjoint(keys)
         seen.update(keys)
     return out
