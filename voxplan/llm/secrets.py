@@ -162,6 +162,21 @@ class Index:
         return out
 
 
+class Scanner:
+    """Finds the rules' matches in slices of texts; one for each task."""
+
+    def __init__(self, rules: tuple[Rule, ...]):
+        self.rules, self.index, self.compiled = rules, Index(rules), [r.compiled() for r in rules]
+
+    def find(self, texts: list[str | None], raw: np.ndarray, offsets: np.ndarray) -> list[list[tuple[int, int, int]]]:
+        """For each text its (start, rule's number, end), in order."""
+        found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+        for k, (rule, regex, which) in enumerate(zip(self.rules, self.compiled, self.index.candidates(raw, offsets))):
+            for i in which.tolist():
+                found[i] += [(m.start(), k, m.end()) for m in regex.finditer(texts[i] or "") if rule.accept(m)]
+        return [sorted(x) for x in found]
+
+
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, name: str = "secrets") -> DataFrame:
     """docs with an array `name` of (kind, start, end) in code points, by start and then in the rules' order; other columns stay.
 
@@ -170,15 +185,11 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, name: str = "secrets"
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, compiled = Index(rules), [r.compiled() for r in rules]
+        scanner = Scanner(rules)
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         for rows, raw, offsets in text_slices(batches):
-            texts = rows.column(rows.schema.get_field_index("text")).to_pylist()
-            found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-            for k, (rule, regex, which) in enumerate(zip(rules, compiled, index.candidates(raw, offsets))):
-                for i in which.tolist():
-                    found[i] += [(m.start(), k, m.end()) for m in regex.finditer(texts[i] or "") if rule.accept(m)]
-            spans = [[{"kind": rules[k].kind, "start": s, "end": e} for s, k, e in sorted(x)] for x in found]
+            found = scanner.find(rows.column(rows.schema.get_field_index("text")).to_pylist(), raw, offsets)
+            spans = [[{"kind": rules[k].kind, "start": s, "end": e} for s, k, e in x] for x in found]
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(spans, kind)], [*rows.schema.names, name])
 
     spans = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
@@ -209,26 +220,28 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRE
     Texts without secrets, nulls included, stay as they are; so do rows, order and all other columns.
     """
 
+    bounded_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, names = batch.schema.get_field_index("text"), batch.schema.names
-            texts = batch.column(at).to_pylist()
-            for i, spans in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+        scanner = Scanner(rules)
+        for rows, raw, offsets in text_slices(batches):
+            at, names, columns = rows.schema.get_field_index("text"), rows.schema.names, list(rows.columns)
+            texts = rows.column(at).to_pylist()
+            for i, spans in enumerate(scanner.find(texts, raw, offsets)):
                 if spans:
                     parts, end = [], 0
-                    for s, e in ((x["start"], x["end"]) for x in spans):
+                    for s, _, e in spans:
                         if s >= end:
                             parts += [texts[i][end:s], mark]
                         end = max(end, e)
                     texts[i] = "".join([*parts, texts[i][end:]])
-            columns = list(batch.columns[:-1])
-            columns[at] = pa.array(texts, batch.schema.field(at).type)
+            columns[at] = pa.array(texts, rows.schema.field(at).type)
             if "n_chars" in names:
                 n = names.index("n_chars")
-                columns[n] = pa.array([None if t is None else len(t) for t in texts], batch.schema.field(n).type)
-            yield pa.RecordBatch.from_arrays(columns, names[:-1])
+                columns[n] = pa.array([None if t is None else len(t) for t in texts], rows.schema.field(n).type)
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    return scan(docs, rules, "__secrets").mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def digest(text: str | None) -> tuple[int, int, int, str]:
