@@ -31,8 +31,8 @@ from .graph import components
 DISTANCE = 4
 WIDTH = 4
 BLOCK = 7
-CELL = 2048
-_FLUSH = 1 << 14
+CELL = 4096
+_FLUSH = 1 << 15
 
 
 def simhash(raw: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> np.ndarray:
@@ -122,10 +122,15 @@ def links(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataF
     """Edges (u, v) that connect the distinct fingerprints `fp` exactly as all links of `distance` bits or fewer do."""
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        held, n = [], 0
         for batch in batches:
-            got = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            for k in range(0, len(got), _FLUSH):
-                yield got[k : k + _FLUSH]
+            held.append(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+            n += len(held[-1])
+            if n >= _FLUSH:
+                yield np.concatenate(held)
+                held, n = [], 0
+        if n:
+            yield np.concatenate(held)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, 1 << len(_blocks(block))), np.int64)
