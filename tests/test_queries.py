@@ -26,9 +26,10 @@ def rows(df):
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_same_rows_as_sql(spark, sf_dir, sql, name):
     got = queries.QUERIES[name](spark, sf_dir).toPandas()
-    assert len(got)
-    if name in oracles.SQL:
+    if name in oracles.SQL:  # the smallest tables have no recording of some purposes
         assert rows(got) == rows(sql.execute(oracles.SQL[name]).df())
+    else:
+        assert len(got)
 
 
 def test_every_row_of_the_survey_has_a_query():
