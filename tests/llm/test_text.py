@@ -152,6 +152,50 @@ def test_near_duplicates_by_sets(docs, none):
     assert minhash.near_duplicates(none).count() == 0
 
 
+def word_sets(text):
+    w = WORD.findall(text.translate(LOWER))
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def alike(a, b):
+    return bool(a) and bool(b) and len(a & b) / len(a | b) >= 0.8
+
+
+def variants(rng, n, words=110, edits=(0, 5)):
+    """Copies of one text, likeness around 0.8 to each other, and chains of copies of copies."""
+    base, out = [f"w{rng.randrange(9999)}" for _ in range(words)], []
+    for i in range(n):
+        own = list(base if i % 4 or not out else out[rng.randrange(len(out))])
+        for _ in range(rng.randint(*edits)):
+            own[rng.randrange(words)] = f"v{rng.randrange(9999)}"
+        out.append(own)
+    return [" ".join(x) for x in out]
+
+
+def test_a_link_is_found_without_the_head(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "signatures", lambda hashes, first: np.zeros((len(first) - 1, 128), np.uint16))  # one bucket a band
+    words = [f"w{i}" for i in range(120)]
+    b = [*words[:60], "x", *words[61:]]
+    b[20] = "y"
+    c = [*b[:100], "z", *b[101:]]
+    c[80] = "z"
+    texts = [" ".join(x) for x in (words, b, c)]
+    assert [alike(*map(word_sets, p)) for p in ((texts[0], texts[1]), (texts[1], texts[2]), (texts[0], texts[2]))] == [True, True, False]
+    assert {r["component_id"] for r in minhash.near_duplicates(frame(spark, texts)).collect()} == {0}
+
+
+def test_no_bucket_loses_a_connection(spark):
+    texts = variants(random.Random(1), 300, edits=(2, 5))
+    sets = [word_sets(t) for t in texts]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    made = minhash.signatures(*minhash.shingle_sets(raw, np.cumsum([0] + [len(t) for t in texts])))
+    bands = made.reshape(300, minhash.BANDS, -1)
+    meet = lambda i, j: bool((bands[i] == bands[j]).all(axis=1).any())
+    want = roots(range(300), lambda i, j: sets[i] == sets[j] or (meet(i, j) and alike(sets[i], sets[j])))
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(frame(spark, texts)).collect()}
+    assert [got[i] for i in range(300)] == want and 5 < len(set(want)) < 295
+
+
 def test_signature_share_estimates_likeness():
     a = np.arange(1000, dtype=np.uint64) * np.uint64(2654435761) % np.uint64(1 << 32)
     s = minhash.signatures(np.concatenate([a[:800], a[200:]]), np.array([0, 800, 1600]))

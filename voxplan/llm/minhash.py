@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import LOWER, prefix_hash, range_hash, read_table, shingles, text_slices, words, written
-from .graph import components
+from .jaccard import bucket_roots, shared
 
 PERMUTATIONS = 128
 WIDTH = 5
@@ -64,9 +64,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     doc_id reachable by verified links; texts without words are no one's near duplicate.
 
     Texts of one shingle set are one class from the start. Classes whose signatures agree in a band are candidates, and
-    a candidate is verified by the exact Jaccard likeness of the two sets. In a band's bucket every class is compared
-    with the bucket's least class, and what is left over and is not linked to it goes round again without it, so no
-    bucket is expanded into all pairs and no connection within it is lost.
+    a candidate is verified by the exact Jaccard likeness of the two sets. In a band's bucket all classes meet that are
+    not yet connected, so no connection within it is lost; jaccard.py tells how.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,24 +82,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     least = made.where(F.size("shingles") > 0).groupBy("set_key").agg(F.min("doc_id").alias("class_id"))
     classes = written(least.join(made.withColumnRenamed("doc_id", "class_id"), ["set_key", "class_id"]).dropDuplicates(["set_key"]).select("class_id", "shingles", "signature"), "classes")
     size = 2 * PERMUTATIONS // bands
-    rows = classes.select("class_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.col("signature").substr(b * size + 1, F.lit(size))))).alias("bucket"))
-    open_, links = written(rows, "band"), None
-    sets = classes.select("class_id", "shingles")
-    while True:
-        heads = open_.groupBy("bucket").agg(F.min("class_id").alias("head"))
-        pairs = open_.join(heads, "bucket").where("class_id <> head")
-        distinct = pairs.select("class_id", "head").distinct()
-        a, b = sets.select("class_id", F.col("shingles").alias("sa")), sets.select(F.col("class_id").alias("head"), F.col("shingles").alias("sb"))
-        both = F.size(F.array_intersect("sa", "sb"))
-        judged = distinct.join(a, "class_id").join(b, "head").select("class_id", "head", (both / (F.size("sa") + F.size("sb") - both) >= similarity).alias("linked"))
-        judged = written(judged, "judged")
-        found = judged.where("linked").select(F.col("head").alias("u"), F.col("class_id").alias("v"))
-        links = found if links is None else links.union(found)
-        rest = pairs.join(judged.where("not linked").select("class_id", "head"), ["class_id", "head"]).select("class_id", "bucket")
-        open_ = written(rest, "band")
-        if open_.isEmpty():
-            break
-    roots = components(links).select(F.col("node").alias("class_id"), F.col("root").alias("component_id"))
+    rows = classes.select(F.col("class_id").alias("id"), F.size("shingles").alias("n"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.col("signature").substr(b * size + 1, F.lit(size))))).alias("bucket"))
+    linked = bucket_roots(written(shared(rows), "band"), classes.select(F.col("class_id").alias("id"), "shingles"), similarity)
+    lowest = linked.groupBy("root").agg(F.least(F.min("id"), F.col("root")).alias("component_id"))
+    roots = linked.join(lowest, "root").select(F.col("id").alias("class_id"), "component_id")
     member = made.join(least, "set_key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
     return member.join(roots, "class_id", "left").select("doc_id", "class_id", F.coalesce("component_id", "class_id").alias("component_id"))
 
