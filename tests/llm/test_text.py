@@ -128,6 +128,16 @@ def test_first_of_groups_stays(docs, none):
     assert simhash.keep_first_of_groups(none).count() == 0
 
 
+def test_near_groups_by_exact_likeness(spark):
+    rng = random.Random(8)
+    texts = [*variants(rng, 60, edits=(1, 4)), *variants(rng, 40, 300, (3, 12)), *(prose(rng, 70) for _ in range(10)), "", None, "a b", "A b", "a b c"]
+    sets = [word_sets(t or "") for t in texts]
+    want = roots(range(len(texts)), lambda i, j: sets[i] == sets[j] or alike(sets[i], sets[j]))
+    got = {r["row"]: r["component_id"] for r in simhash.near_groups(frame(spark, texts).select(F.col("doc_id").alias("row"), "doc_id", "text")).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    assert sorted(r["doc_id"] for r in simhash.keep_first_of_groups(frame(spark, texts)).collect()) == sorted(set(want))
+
+
 # MinHash
 
 

@@ -15,6 +15,7 @@ do not depend on it.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -25,12 +26,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, bounded_batches, mix, read_table, text_slices, words, written
+from .common import LOWER, bounded_batches, mix, prefix_hash, range_hash, read_table, shingles, text_slices, words, written
 from .graph import components
+from .jaccard import bucket_roots, prefix_sizes, shared
 
 DISTANCE = 4
 WIDTH = 4
 BLOCK = 7
+#: Jaccard likeness of near duplicates where no number of bits is asked for.
+SIMILARITY = 0.8
 CELL = 4096
 _FLUSH = 1 << 15
 
@@ -205,12 +209,65 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(groups(docs), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first_of_groups(docs: DataFrame, width: int = 5, distance: int = DISTANCE) -> DataFrame:
-    """One document of each group: that with the least doc_id. Rows that share that doc_id are one document and all stay; columns stay as they are.
+def _shingled(docs: DataFrame, width: int, similarity: float, whole: bool) -> DataFrame:
+    """(row, doc_id, set_key, n, fp, prefix) of docs (row, doc_id, text), or (row, shingles) if whole: distinct shingles, and the part of them that a like set shares."""
+    bounded_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, raw, offsets in text_slices(batches):
+            low = LOWER[raw]
+            start, end, first = words(low, offsets)
+            h, at = shingles(range_hash(prefix_hash(low), start, end), first, width)
+            sets = [np.unique(h[s:e]) for s, e in zip(at[:-1].tolist(), at[1:].tolist())]
+            row = rows.column(rows.schema.get_field_index("row"))
+            size = np.array([len(x) for x in sets], np.int64)
+            if whole:
+                yield pa.RecordBatch.from_arrays([row, _lists(sets, size)], ["row", "shingles"])
+                continue
+            keys = [int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8).digest(), signed=True) for x in sets]
+            some = prefix_sizes(size, similarity)
+            made = [pa.array(keys, pa.int64()), pa.array(size.astype(np.int32)), pa.array(simhash(raw, offsets, width).view(np.int64)), _lists([x[:n] for x, n in zip(sets, some.tolist())], some)]
+            yield pa.RecordBatch.from_arrays([row, rows.column(rows.schema.get_field_index("doc_id")), *made], ["row", "doc_id", "set_key", "n", "fp", "prefix"])
+
+    return docs.mapInArrow(run, "row long, shingles array<long>" if whole else "row long, doc_id long, set_key long, n int, fp long, prefix array<long>")
+
+
+def _lists(values: list[np.ndarray], sizes: np.ndarray) -> pa.ListArray:
+    flat = np.concatenate([*values, np.zeros(0, np.uint64)]).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
+
+
+def near_groups(docs: DataFrame, width: int = 5, distance: int = DISTANCE, similarity: float = SIMILARITY) -> DataFrame:
+    """(row, doc_id, component_id) for docs (row, doc_id, text): the least doc_id reachable by links of that exact Jaccard likeness of the texts' shingle sets.
+
+    Equal sets are one from the start (texts without words have the empty set). Candidates are fingerprints within
+    `distance` bits, which connects the very near ones at little cost, and sets that share a shingle of their prefixes,
+    which leaves out no pair; every link is verified by the sets.
+    """
+    marked = written(_shingled(docs, width, similarity, False), "docs")
+    classes = written(marked.where("n > 0").select(F.col("set_key").alias("id"), "row", "n", "fp", "prefix").dropDuplicates(["id"]), "sets")
+    members = written(shared(classes.select("id", "n", F.explode("prefix").alias("bucket"))), "members")
+    fps = classes.groupBy("fp").agg(F.min("id").alias("of"))
+    u, v = fps.select(F.col("fp").alias("u"), F.col("of").alias("a")), fps.select(F.col("fp").alias("v"), F.col("of").alias("b"))
+    near = links(written(fps, "fps"), distance).join(u, "u").join(v, "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    near = written(near.union(classes.join(fps, "fp").where("id <> of").select(F.col("id").alias("u"), F.col("of").alias("v"))), "near")
+    met = members.select("id").union(near.select(F.col("u").alias("id"))).union(near.select(F.col("v").alias("id"))).distinct()
+    rows = written(classes.select("id", "row").join(met, "id"), "met")
+    texts = docs.join(rows.select("row"), "row", "left_semi").dropDuplicates(["row"])
+    sets = written(_shingled(texts, width, similarity, True).join(rows, "row").select("id", "shingles"), "shingles")
+    rooted = classes.select("id").join(bucket_roots(members, sets, similarity, near), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+    least = marked.groupBy(F.col("set_key").alias("id")).agg(F.min("doc_id").alias("least")).join(rooted, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    component = least.groupBy("root").agg(F.min("least").alias("component_id"))
+    of = least.join(component, "root").select(F.col("id").alias("set_key"), "component_id")
+    return marked.select("row", "doc_id", "set_key").join(of, "set_key").select("row", "doc_id", "component_id")
+
+
+def keep_first_of_groups(docs: DataFrame, width: int = 5, distance: int = DISTANCE, similarity: float = SIMILARITY) -> DataFrame:
+    """One document of each group of near_groups(): that with the least doc_id. Rows that share that doc_id are one document and all stay; columns stay as they are.
 
     Rows with a null doc_id go if their group has any other member, else they stay.
     """
     key = F.xxhash64("doc_id", "text")
-    marked = written(fingerprints(docs.select(key.alias("row"), "doc_id", "text"), width).select("row", "doc_id", "fp"), "docs")
-    kept = marked.join(groups(marked, distance), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("row").alias("__row"))
+    found = near_groups(docs.select(key.alias("row"), "doc_id", "text"), width, distance, similarity)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("row").alias("__row"))
     return docs.withColumn("__row", key).join(written(kept.distinct(), "kept"), "__row", "left_semi").select(*docs.columns)
