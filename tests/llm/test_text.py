@@ -504,6 +504,15 @@ def test_co_training_keeps_the_clean(spark, none):
     assert quality.classify(none.select("doc_id", "text"), labels).count() == 0
 
 
+def test_sources_are_told_apart_as_a_whole():
+    import pyarrow as pa
+
+    sources = ["goodsite.example", "junksite.example", "x" * 300, "y" + "x" * 299, None, "goodsite.example"]
+    rows = pa.RecordBatch.from_arrays([pa.array(["en"] * 6), pa.array(sources)], ["lang", "source"])
+    of = quality.metadata_features(rows, np.zeros(7, np.int64))[0].reshape(6, 3)[:, 1].tolist()
+    assert len(set(of)) == 5 and of[0] == of[5]
+
+
 def test_quality_of_odd_texts(docs, spark):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(10)], "doc_id long, quality int, toxic int")
     out = quality.keep_good(docs, labels)

@@ -11,6 +11,7 @@ are arrays of a fixed size (2^HASH_BITS weights for each view and target), so sc
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -82,7 +83,7 @@ def metadata_features(rows: pa.RecordBatch, offsets: np.ndarray) -> tuple[np.nda
     for kind, name in ((20, "lang"), (21, "source")):
         at = rows.schema.get_field_index(name)
         values = [str(x) for x in rows.column(at).to_pylist()] if at >= 0 else [""] * n
-        codes = {v: int.from_bytes(v.encode()[-6:] + len(v).to_bytes(1)) for v in set(values)}
+        codes = {v: int.from_bytes(hashlib.blake2b(v.encode(), digest_size=8).digest(), signed=True) for v in set(values)}
         columns.append(_bucketed(kind, np.array([codes[v] for v in values], np.int64)))
     columns.append(_bucketed(22, (2 * np.log2(np.maximum(np.diff(offsets), 1))).astype(int)))
     return np.stack(columns, axis=1).ravel(), np.arange(n + 1) * len(columns)
