@@ -433,6 +433,15 @@ def test_templates_meet_and_slots_must_agree(spark, none):
     assert decontam.contaminated(docs, bench.where("item_id = 6")).count() == 0
 
 
+def test_short_and_number_heavy_items(spark):
+    items = ["Why does Anna eat 3 apples daily?", "12 44 7 19 3 8 81 5 60 2 and 9", "Name three primes.", "What is 12 times 7?"]
+    filler = " ".join(f"filler{i % 37} and so on" for i in range(30))
+    texts = [f"{filler} {x} {filler}" for x in items[:2]] + [filler + ". " + items[2], filler, "one more " + items[1].replace("81", "82") + " " + filler, items[0].replace("Anna", "Carla").replace("3", "40"), "they name three primes here", f"{filler} so: what is 12 times 7? {filler}", "what is 13 times 7? " + filler]
+    bench = spark.createDataFrame([*enumerate(items), (9, "...")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(frame(spark, texts), bench).collect()}
+    assert got == {(0, 0), (1, 1), (2, 2), (5, 0), (7, 3)}
+
+
 def test_large_benchmarks_are_shuffled(spark, monkeypatch):
     item = " ".join(f"word{i}" .replace("0", "o").replace("1", "i") for i in "abcdefghijklmnop")
     docs, bench = frame(spark, ["x " + item, "nothing"]), spark.createDataFrame([(1, item)], "item_id long, text string")
