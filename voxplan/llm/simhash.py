@@ -35,6 +35,9 @@ WIDTH = 4
 BLOCK = 7
 #: Jaccard likeness of near duplicates where no number of bits is asked for.
 SIMILARITY = 0.8
+#: Shingles of so many prefixes are common; so many of them at most come last.
+OFTEN = 8
+COMMON = 100_000
 CELL = 4096
 _FLUSH = 1 << 15
 
@@ -209,9 +212,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(groups(docs), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _shingled(docs: DataFrame, width: int, similarity: float, whole: bool) -> DataFrame:
-    """(row, doc_id, set_key, n, fp, prefix) of docs (row, doc_id, text), or (row, shingles) if whole: distinct shingles, and the part of them that a like set shares."""
+def _shingled(docs: DataFrame, what: str, width: int, similarity: float, common: np.ndarray) -> DataFrame:
+    """Of docs (row, doc_id, text) with their distinct shingles in order of hash, the sorted `common` ones last:
+
+    "prefix": (prefix), the part that a like set shares; "sets": (row, shingles); "docs": (row, doc_id, set_key, n, fp, prefix).
+    """
     bounded_batches(docs.sparkSession)
+    last = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, raw, offsets in text_slices(batches):
@@ -221,15 +228,22 @@ def _shingled(docs: DataFrame, width: int, similarity: float, whole: bool) -> Da
             sets = [np.unique(h[s:e]) for s, e in zip(at[:-1].tolist(), at[1:].tolist())]
             row = rows.column(rows.schema.get_field_index("row"))
             size = np.array([len(x) for x in sets], np.int64)
-            if whole:
+            if what == "sets":
                 yield pa.RecordBatch.from_arrays([row, _lists(sets, size)], ["row", "shingles"])
                 continue
+            some, flat = prefix_sizes(size, similarity), np.concatenate(sets)
+            late = np.append(last.value, np.uint64(0))[np.searchsorted(last.value, flat)] == flat if len(last.value) else np.zeros(len(flat), bool)
+            of, to = np.repeat(np.arange(len(sets)), size), np.cumsum(size)
+            flat = flat[np.lexsort((late, of))]
+            prefix = _lists([flat[e - k : e - k + n] for e, k, n in zip(to.tolist(), size.tolist(), some.tolist())], some)
+            if what == "prefix":
+                yield pa.RecordBatch.from_arrays([prefix], ["prefix"])
+                continue
             keys = [int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8).digest(), signed=True) for x in sets]
-            some = prefix_sizes(size, similarity)
-            made = [pa.array(keys, pa.int64()), pa.array(size.astype(np.int32)), pa.array(simhash(raw, offsets, width).view(np.int64)), _lists([x[:n] for x, n in zip(sets, some.tolist())], some)]
+            made = [pa.array(keys, pa.int64()), pa.array(size.astype(np.int32)), pa.array(simhash(raw, offsets, width).view(np.int64)), prefix]
             yield pa.RecordBatch.from_arrays([row, rows.column(rows.schema.get_field_index("doc_id")), *made], ["row", "doc_id", "set_key", "n", "fp", "prefix"])
 
-    return docs.mapInArrow(run, "row long, shingles array<long>" if whole else "row long, doc_id long, set_key long, n int, fp long, prefix array<long>")
+    return docs.mapInArrow(run, {"sets": "row long, shingles array<long>", "prefix": "prefix array<long>", "docs": "row long, doc_id long, set_key long, n int, fp long, prefix array<long>"}[what])
 
 
 def _lists(values: list[np.ndarray], sizes: np.ndarray) -> pa.ListArray:
@@ -244,9 +258,13 @@ def near_groups(docs: DataFrame, width: int = 5, distance: int = DISTANCE, simil
     `distance` bits, which connects the very near ones at little cost, and sets that share a shingle of their prefixes,
     which leaves out no pair; every link is verified by the sets.
     """
-    marked = written(_shingled(docs, width, similarity, False), "docs")
+    # Which ones come last decides the cost, not the result: the most common of the prefixes, COMMON at most.
+    none = np.zeros(0, np.uint64)
+    often = _shingled(docs, "prefix", width, similarity, none).select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
+    common = np.sort(np.array([r[0] for r in often.orderBy(F.desc("n"), "h").limit(COMMON).collect()], np.int64).view(np.uint64))
+    marked = written(_shingled(docs, "docs", width, similarity, common), "docs")
     classes = written(marked.where("n > 0").select(F.col("set_key").alias("id"), "row", "n", "fp", "prefix").dropDuplicates(["id"]), "sets")
-    members = written(shared(classes.select("id", "n", F.explode("prefix").alias("bucket"))), "members")
+    members = written(shared(classes.select("id", "n", F.posexplode("prefix").alias("at", "bucket"))), "members")
     fps = classes.groupBy("fp").agg(F.min("id").alias("of"))
     u, v = fps.select(F.col("fp").alias("u"), F.col("of").alias("a")), fps.select(F.col("fp").alias("v"), F.col("of").alias("b"))
     near = links(written(fps, "fps"), distance).join(u, "u").join(v, "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -254,7 +272,7 @@ def near_groups(docs: DataFrame, width: int = 5, distance: int = DISTANCE, simil
     met = members.select("id").union(near.select(F.col("u").alias("id"))).union(near.select(F.col("v").alias("id"))).distinct()
     rows = written(classes.select("id", "row").join(met, "id"), "met")
     texts = docs.join(rows.select("row"), "row", "left_semi").dropDuplicates(["row"])
-    sets = written(_shingled(texts, width, similarity, True).join(rows, "row").select("id", "shingles"), "shingles")
+    sets = written(_shingled(texts, "sets", width, similarity, none).join(rows, "row").select("id", "shingles"), "shingles")
     rooted = classes.select("id").join(bucket_roots(members, sets, similarity, near), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
     least = marked.groupBy(F.col("set_key").alias("id")).agg(F.min("doc_id").alias("least")).join(rooted, "id", "left").withColumn("root", F.coalesce("root", "id"))
     component = least.groupBy("root").agg(F.min("least").alias("component_id"))
