@@ -247,16 +247,28 @@ def test_ids_are_those_of_the_slower_library(texts):
 # Repeated passages
 
 
-@pytest.mark.parametrize(("length", "spread", "group"), [(400, 240, 256), (60, 30, 256), (60, 30, 2)])
-def test_repeats_byte_by_byte(docs, length, spread, group):
-    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_bytes"], [tuple(x) for x in r["removed"]], hashlib.sha256(r["kept"]).hexdigest()) for r in suffixes.without_repeats(docs, length, spread, group).collect())
+@pytest.mark.parametrize(("lengths", "spread", "group"), [((400, 240), 128, 256), ((60, 40), 30, 256), ((60, 60), 30, 4), ((60, 40), 30, 1)])
+def test_repeats_byte_by_byte(docs, lengths, spread, group):
+    own = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["n_bytes"], [tuple(x) for x in r["removed"]], hashlib.sha256(r["kept"]).hexdigest(), [tuple(x)[:2] for x in r["shared"]])
+    got = sorted(map(own, suffixes.without_repeats(docs, lengths, spread, group).collect()))
     rows = everything(docs)
     data = [t.encode() for _, t in rows]
-    runs, digests = suffixes.removed_ranges(data, length), suffixes.digest(data, length)
-    assert got == sorted((i is None, i or 0, d[0], r, d[3]) for (i, _), d, r in zip(rows, digests, runs))
+    runs, digests, short = suffixes.removed_ranges(data, lengths[0]), suffixes.digest(data, lengths[0]), suffixes.removed_ranges(data, lengths[1])
+    assert got == sorted((i is None, i or 0, d[0], r, d[3], s) for (i, _), d, r, s in zip(rows, digests, runs, short))
     assert any(r for r in runs)
 
 
+@pytest.mark.parametrize("group", [256, 40, 3])
+def test_a_frequent_passage_in_many_contexts(spark, group, monkeypatch):
+    monkeypatch.setattr(suffixes, "_BATCH", 16)
+    rng = random.Random(group)
+    passage = prose(rng, 20)[:90]
+    texts = [prose(rng, rng.randrange(1, 12)) + passage[rng.randrange(3) :] + prose(rng, rng.randrange(1, 12)) for _ in range(120)] + [passage] * 3
+    data = [t.encode() for t in texts]
+    got = [[tuple(x) for x in r["removed"]] for r in suffixes.without_repeats(frame(spark, texts), (60, 40), 30, group).orderBy("doc_id").collect()]
+    assert got == suffixes.removed_ranges(data, 60) and sum(map(len, got)) >= 100
+
+
 def test_no_rows_no_repeats(none):
     assert suffixes.without_repeats(none).count() == 0
 
@@ -268,7 +280,7 @@ def test_loser_tree_keeps_prefixes():
         for _ in range(rng.randint(1, 6)):
             keys = sorted((bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 25))), b"left", 1, 2, 3) for _ in range(rng.randint(1, 30)))
             every += [k[0] for k in keys]
-            runs.append(suffixes.decode_run(suffixes.encode_run(keys)))
+            runs.append(suffixes.decode_run(suffixes.encode_run(keys, 5, 7)))
         got = list(suffixes.LoserTree(runs))
         assert [g[0] for g in got] == sorted(every)
         assert all(b[1] == suffixes.common_prefix(a[0], b[0]) for a, b in zip(got, got[1:]))

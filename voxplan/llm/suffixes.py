@@ -1,23 +1,23 @@
 """Removal of repeated passages by a merge sort of suffixes that keeps common prefixes.
 
-A passage is a string of LENGTH bytes; a byte goes if some passage that covers it also starts anywhere else. Each passage
+A passage is a string of so many bytes; a byte goes if some passage that covers it also starts anywhere else. Each passage
 has one anchor, the least hashed k-mer among its first SPREAD positions, so equal passages have their anchors at the same
 offset and only the suffixes at anchors need sorting: a passage with offset o is its anchor's left context of o bytes and
-the first LENGTH - o bytes of its suffix.
-
-1. Suffixes whose first LENGTH - SPREAD + 1 bytes (all that every passage of theirs has in common) occur once have no
-   twin. Suffixes of equal context (all bytes that any of their passages touch) are repeated as they stand. Both are found
-   by hash with partial counts, and of each context one representative goes on if others share its beginning.
-2. Every task sorts its representatives by that beginning's hash and the suffix, front-codes the run (common prefix with
-   the one before, then the rest) and sends each range of hashes to one merge.
-3. A loser tree merges a range's runs. It keeps, for each loser, the length of its common prefix with the winner that
-   beat it, so a comparison starts where the known prefix ends. What leaves it comes with its common prefix with the one
-   before, the LCP array of the range; suffixes that share the beginning form a group, and the LCPs of suffixes and left
-   contexts tell for each offset which passages are equal.
-4. A beginning with more than GROUP different contexts would be one long group. Its passages are sent by their own
-   hashes instead, so that one frequent beginning is spread over all tasks.
-
-Hashes have 64 bits and are used in pairs (beginning and context, or beginning and passage).
+the first bytes of its suffix. The same sorted suffixes tell the repeats of several lengths (LENGTHS).
+
+1. Suffixes whose beginning (what every passage of theirs has in common) occurs once have no twin; counts by hash leave
+   them out. Hashes only leave out and deal; what is repeated is decided by bytes.
+2. Every task sorts its suffixes by beginning and bytes, makes one item of those with equal bytes on both sides, front-codes
+   the run (common prefix with the item before, then the rest) and sends each range of beginnings to one merge.
+3. A loser tree merges a range's runs as a stream. It keeps, for each loser, the length of its common prefix with the
+   winner that beat it, so a comparison starts where the known prefix ends. What leaves it comes with its common prefix
+   with the one before, the LCP array of the range. Items of equal bytes are repeated as they stand; for others that share
+   the beginning, the LCPs of suffixes and left contexts tell for each offset which passages are equal.
+4. The merge returns item numbers and offsets; the run's list of occurrences turns these into places in texts, so a
+   frequent suffix is one item for each run, however often it occurs.
+5. A beginning with more than GROUP different contexts is one long group. Its offsets are then cut into blocks of
+   BLOCK (or of one, past GROUP * GROUP contexts): each block is a suffix of its own that starts at the block's least offset
+   and shares a longer beginning, so that the group falls apart into many that are merged in the same way elsewhere.
 """
 
 from __future__ import annotations
@@ -28,16 +28,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import mix, prefix_hash, range_hash, read_table, text_slices, written
 
-LENGTH = 400
-SPREAD = 240
+#: Bytes of a passage that is removed, and of one that is told as shared; the second is what 51 words have nearly always.
+LENGTHS = (400, 240)
+SPREAD = 128
 KMER = 16
 GROUP = 256
-_RUN = 1 << 16
+BLOCK = 16
+#: A shared passage is told if it has more words than that.
+WORDS = 50
+#: Suffixes that a task sorts at once, and that a merge takes, about.
+_RUN = 1 << 15
+_BUCKET = 20_000
+#: Items whose offsets are compared at once, about.
+_BATCH = 2048
+_WHOLE, _LONG, _SHORT = 0, 1, 2
 
 
 def anchored(raw: np.ndarray, offsets: np.ndarray, length: int, spread: int) -> tuple[np.ndarray, ...]:
@@ -125,43 +135,44 @@ class LoserTree:
             self.winner = best
 
 
-def encode_run(items: list[tuple[bytes, bytes, int, int, int]]) -> bytes:
-    """Front-coded run of sorted (key, left, row, at, times)."""
+def encode_run(items: list[tuple[bytes, bytes, int, int, int]], run: int, base: int) -> bytes:
+    """Front-coded run of sorted (key, left, least offset, block, times); the items are base, base + 1, ... of the run."""
     shared, before = np.zeros(len(items), np.uint16), b""
     for i, item in enumerate(items):
         shared[i] = common_prefix(before, item[0])
         before = item[0]
     rest = [k[0][s:] for k, s in zip(items, shared.tolist())]
-    table = [shared, np.array([len(x) for x in rest], np.uint16), np.array([len(x[1]) for x in items], np.uint16), *(np.array([x[c] for x in items], np.int64) for c in (2, 3, 4))]
-    return struct.pack("<I", len(items)) + b"".join(x.tobytes() for x in table) + b"".join(rest) + b"".join(x[1] for x in items)
+    table = [shared, np.array([len(x) for x in rest], np.uint16), np.array([len(x[1]) for x in items], np.uint16), *(np.array([min(x[c], 0xFFFF) for x in items], np.uint16) for c in (2, 3, 4))]
+    return struct.pack("<qqI", run, base, len(items)) + b"".join(x.tobytes() for x in table) + b"".join(rest) + b"".join(x[1] for x in items)
 
 
 def decode_run(blob: bytes) -> Iterator[tuple[bytes, int, tuple]]:
-    (n,) = struct.unpack_from("<I", blob)
-    at, table = 4, []
-    for kind in (np.uint16, np.uint16, np.uint16, np.int64, np.int64, np.int64):
-        table.append(np.frombuffer(blob, kind, n, at).tolist())
-        at += n * np.dtype(kind).itemsize
+    """(key, common prefix with the key before, (left, least offset, block, times, run, item)) of encode_run()."""
+    run, base, n = struct.unpack_from("<qqI", blob)
+    at, table = 20, []
+    for _ in range(6):
+        table.append(np.frombuffer(blob, np.uint16, n, at).tolist())
+        at += 2 * n
     left, key = at + sum(table[1]), b""
-    for shared, size, width, row, place, times in zip(*table):
+    for i, (shared, size, width, least, block, times) in enumerate(zip(*table)):
         key = key[:shared] + blob[at : at + size]
-        yield key, shared, (blob[left : left + width], row, place, times)
+        yield key, shared, (blob[left : left + width], least, block, times, run, base + i)
         at, left = at + size, left + width
 
 
-def repeated_offsets(group: list[tuple[bytes, int, tuple]], length: int) -> np.ndarray:
-    """For each suffix of a group (in order, with LCPs of keys that have 8 bytes before the suffix) and each offset from 0:
-    whether its passage at that offset equals that of another suffix of the group."""
-    g, widest = len(group), max(x[2][2] >> 8 & 255 for x in group) + 1
+def repeated_offsets(items: list[tuple[int, bytes, int]], length: int) -> np.ndarray:
+    """For each of the items (common prefix with the suffix before, left context, least offset), which are in order of
+    their suffixes, and each offset from 0: whether its passage at that offset equals that of another item."""
+    g, widest = len(items), max(len(x[1]) for x in items) + 1
     offset = np.arange(widest)
-    prefix = np.array([x[1] - 8 for x in group])
+    prefix = np.array([x[0] for x in items])
     right = np.cumsum(prefix[:, None] < length - offset, axis=0)
-    lefts = [x[2][0][::-1] for x in group]
+    lefts = [x[1][::-1] for x in items]
     order = sorted(range(g), key=lefts.__getitem__)
     shared = np.array([0] + [common_prefix(lefts[a], lefts[b]) for a, b in zip(order, order[1:])])
     left = np.empty((g, widest), np.int64)
     left[order] = np.cumsum(shared[:, None] < offset, axis=0)
-    most, least = (np.array([x[2][2] >> s & 255 for x in group])[:, None] for s in (8, 0))
+    least, most = (np.array(x)[:, None] for x in ([x[2] for x in items], [len(x[1]) for x in items]))
     fits = (offset >= least) & (offset <= most)
     both = np.where(fits, right * (g + 1) + left, -1 - np.arange(g)[:, None])
     by = np.argsort(both, axis=0, kind="stable")
@@ -173,168 +184,262 @@ def repeated_offsets(group: list[tuple[bytes, int, tuple]], length: int) -> np.n
     return out & fits
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, spread: int = SPREAD, group: int = GROUP) -> DataFrame:
-    """(row, lo, hi): passages that start at bytes lo..hi of a text of docs (row, text) occur elsewhere too. row: a long that is unique for different rows' texts."""
+class Merge:
+    """Merges front-coded runs and collects (run, item, kind, least offset, most) of what is repeated."""
+
+    def __init__(self, lengths: tuple[int, int]):
+        self.lengths = lengths
+        self.out: list[tuple[int, int, int, int, int]] = []
+        self.made: list[np.ndarray] = []
+        self.batch: list[tuple] = []
+
+    def merge(self, blobs: list[bytes]) -> None:
+        group: list[list] = []  # [prefix, left, least, times, run, item]
+        same: dict = {}  # the group's items of the present key
+        size = 0
+        for key, prefix, (left, least, block, times, run, item) in LoserTree([decode_run(x) for x in blobs]):
+            if prefix < 8 + self.lengths[1] - block + 1:
+                self.close(group)
+                group, same = [], {}
+            elif prefix < len(key) or size != len(key):
+                same = {}
+            size = len(key)
+            twin = same.get((left, least))
+            if twin is not None:
+                if twin[3] == 1:
+                    twin[3] = 2
+                    self.out.append((*twin[4:], _WHOLE, 0, 0))
+                self.out.append((run, item, _WHOLE, 0, 0))
+                continue
+            if times > 1:
+                self.out.append((run, item, _WHOLE, 0, 0))
+            same[left, least] = own = [prefix - 8 if group else 0, left, least, times, run, item]
+            group.append(own)
+            if block == 1 and len(group) >= _BATCH:
+                # Single passages need their neighbours only: the last two go on, the first of them as a neighbour.
+                last = group[-1]
+                self.close([*group[:-1], [*last[:3], 2, *last[4:]]])
+                group = [[0, *group[-2][1:3], 2, *group[-2][4:]], last]
+        self.close(group)
+        self.judge()
+
+    def close(self, group: list[list]) -> None:
+        if len(group) > 1 and any(x[3] == 1 for x in group):
+            self.batch += group
+            if len(self.batch) >= _BATCH:
+                self.judge()
+
+    def judge(self) -> None:
+        if self.batch:
+            items = [(x[0], x[1], x[2]) for x in self.batch]
+            once = np.array([x[3] == 1 for x in self.batch])
+            who = np.array([x[4:] for x in self.batch], np.int64)
+            for kind, length in zip((_LONG, _SHORT), self.lengths):
+                flags = np.zeros((len(items), max(len(x[1]) for x in items) + 3), np.int8)
+                flags[:, 1:-1] = repeated_offsets(items, length) & once[:, None]
+                edge = np.diff(flags, axis=1)
+                of, low = np.nonzero(edge == 1)
+                self.made.append(np.column_stack([who[of], np.full(len(of), kind), low, np.nonzero(edge == -1)[1] - 1]))
+            self.batch = []
+
+    def results(self, least: int) -> Iterator[pa.RecordBatch]:
+        if len(self.out) + sum(map(len, self.made)) > least:
+            table = np.concatenate([np.array(self.out, np.int64).reshape(-1, 5), *self.made])
+            self.out, self.made = [], []
+            yield pa.RecordBatch.from_arrays([pa.array(table[:, c]) for c in range(5)], ["run", "item", "kind", "low", "high"])
+
+
+def joined_ranges(key: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges low..high (inclusive) of equal keys made one where they touch."""
+    if not len(key):
+        return key, low, high
+    order = np.lexsort((low, key))
+    key, low, high = key[order], low[order], high[order]
+    shift = key << 40
+    reach = np.maximum.accumulate(high + shift)
+    new = np.flatnonzero(np.append(True, (low + shift)[1:] > reach[:-1] + 1))
+    last = np.append(new[1:] - 1, len(key) - 1)
+    return key[new], low[new], reach[last] - shift[last]
+
+
+def repeats(docs: DataFrame, lengths: tuple[int, int] = LENGTHS, spread: int = SPREAD, group: int = GROUP) -> DataFrame:
+    """(doc, row, kind, lo, hi): passages that start at bytes lo..hi of a text of docs (doc, row, text) occur elsewhere too.
+
+    kind: of the first of the lengths (1), of the second, which is not longer (2), or of both (0: as far as the text has
+    such passages). doc and row: longs, together another for different rows' texts.
+    """
     spark = docs.sparkSession
-    common = length - spread + 1
+    long, short = lengths
+    common = short - spread + 1
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, raw, offsets in text_slices(batches):
-            hashed, text, anchor, first, last = anchored(raw, offsets, length, spread)
-            key = rows.column(0).to_numpy(zero_copy_only=False)
+            hashed, text, anchor, first, last = anchored(raw, offsets, short, spread)
+            doc, row = (rows.column(c).to_numpy(zero_copy_only=False)[text] for c in (0, 1))
             place = (anchor - offsets[text]) << 16 | (anchor - first) << 8 | (anchor - last)
             begin = range_hash(hashed, anchor, anchor + common).view(np.int64)
-            context = range_hash(hashed, first, last + length).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (begin, context, key[text], place)], ["begin", "context", "row", "at"])
-
-    found = written(docs.select("row", "text").mapInArrow(find, "begin long, context long, row long, at long"), "suffixes")
-    contexts = found.groupBy("begin", "context").agg(F.count("*").alias("times"), F.min(F.struct("row", "at")).alias("one"))
-    contexts = written(contexts, "contexts")
-    shared = contexts.groupBy("begin").agg(F.count("*").alias("size")).where("size > 1")
-    sent = contexts.join(shared, "begin").select(F.col("one.row").alias("row"), F.struct("begin", F.col("one.at").alias("at"), "times", (F.col("size") > group).alias("wide")).alias("x"))
-    sent = written(sent.groupBy("row").agg(F.collect_list("x").alias("xs")), "sent")
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+            context = range_hash(hashed, first, np.minimum(last + long, offsets[text + 1])).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (begin, context, doc, row, place)], ["begin", "context", "doc", "row", "at"])
+
+    found = written(docs.select("doc", "row", "text").mapInArrow(find, "begin long, context long, doc long, row long, at long"), "suffixes")
+    contexts = found.groupBy("begin", "context").agg(F.count("*").alias("times"))
+    shared = contexts.groupBy("begin").agg(F.count("*").alias("size"), F.sum("times").alias("n")).where("n > 1")
+    block = F.when(F.col("size") <= group, spread).when(F.col("size") <= group * group, min(BLOCK, spread)).otherwise(1)
+    shared = written(shared.select("begin", block.alias("block"), "n"), "shared")
+    total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // _BUCKET))
+    sent = found.drop("context").join(shared.drop("n"), "begin").groupBy("doc", "row").agg(F.collect_set(F.struct("at", "block")).alias("xs"))
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, spread_out = [], []
+        items: list[tuple[bytes, bytes, int, int, int]] = []
+        members: list[np.ndarray] = []
+        run = TaskContext.get().partitionId() << 32
 
         def flush() -> Iterator[pa.RecordBatch]:
-            made = []
+            nonlocal run
             items.sort()
-            cut = [int.from_bytes(x[0][:8]) * buckets >> 64 for x in items]
-            at = 0
-            while at < len(items):
+            entries, of = [], np.empty(len(items), np.int64)
+            before = None
+            for key, left, least, width, k in items:
+                if (key, left, least, width) == before:
+                    entries[-1][4] += 1
+                else:
+                    before = (key, left, least, width)
+                    entries.append([*before, 1])
+                of[k] = len(entries) - 1
+            cut = [int.from_bytes(x[0][:8]) * buckets >> 64 for x in entries]
+            made, at = [], 0
+            while at < len(entries):
                 end = at + 1
-                while end < len(items) and cut[end] == cut[at]:
+                while end < len(entries) and cut[end] == cut[at]:
                     end += 1
-                made.append((cut[at], 0, encode_run(items[at:end])))
+                made.append((cut[at], run, 0, encode_run(entries[at:end], run, at)))
                 at = end
-            if spread_out:
-                table = np.concatenate(spread_out)
-                to = (mix(table[:, 0].view(np.uint64) ^ mix(table[:, 1].view(np.uint64))) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(to, kind="stable")
-                table, to = table[order], to[order]
-                edges = [*np.flatnonzero(np.diff(to, prepend=-1)).tolist(), len(to)]
-                made += [(int(to[s]), 1, table[s:e].tobytes()) for s, e in zip(edges, edges[1:])]
-            items.clear()
-            spread_out.clear()
             if made:
-                a, b, c = zip(*made)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int8()), pa.array(c, pa.binary())], ["bucket", "kind", "run"])
+                table = np.column_stack([of, np.concatenate(members)])
+                made.append((-1, run, 1, table[np.argsort(of, kind="stable")].tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*made), (pa.int64(), pa.int64(), pa.int8(), pa.binary()))], ["bucket", "run", "kind", "data"])
+            items.clear()
+            members.clear()
+            run += 1
 
         for rows, raw, offsets in text_slices(batches):
-            listed = rows.column(2)
+            listed = rows.column(3)
             flat, many = listed.flatten(), np.diff(listed.offsets.to_numpy())
-            begin, at, times, wide = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+            at, width = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
             text = np.repeat(np.arange(len(many)), many)
-            row = rows.column(0).to_numpy(zero_copy_only=False)[text]
-            anchor, most, least = offsets[text] + (at >> 16), at >> 8 & 255, at & 255
+            most, least = at >> 8 & 255, at & 255
+            # Suffixes of blocks of offsets start at the block's least offset; blocks as wide as all offsets are the anchor's own suffix.
+            n = most // width - least // width + 1
+            which = np.repeat(np.arange(len(at)), n)
+            width, text = width[which], text[which]
+            begins = (least[which] // width + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)) * width
+            anchor = offsets[text] + (at[which] >> 16) - begins
+            low, high = np.maximum(least[which] - begins, 0), np.minimum(most[which] - begins, width - 1)
+            stop = np.minimum(anchor + long - low, offsets[text + 1])
+            keys = mix(range_hash(prefix_hash(raw), anchor, anchor + short - width + 1) + (width << 16 | begins).astype(np.uint64))
+            doc, row = (rows.column(c).to_numpy(zero_copy_only=False)[text] for c in (0, 1))
+            table = np.column_stack([doc, row, anchor - offsets[text], high, low])
             data = raw.tobytes()
-            for b, r, a, t, p, m, f in zip(*(x[~wide].tolist() for x in (begin.astype(np.int64), row, at, times, anchor, most, least))):
-                items.append(((b % (1 << 64)).to_bytes(8) + data[p : p + length - f], data[p - m : p], r, a, t))
-            if wide.any():
-                hashed = prefix_hash(raw)
-                n = (most - least + 1)[wide]
-                which = np.repeat(np.flatnonzero(wide), n)
-                start = np.repeat((anchor - most)[wide], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                passage = mix(range_hash(hashed, start, start + length) + (anchor[which] - start).astype(np.uint64))
-                spread_out.append(np.stack([begin[which], passage.view(np.int64), row[which], (start - offsets[text[which]]) << 1 | (times[which] > 1)], axis=1))
-            if len(items) >= _RUN or sum(map(len, spread_out)) >= 8 * _RUN:
-                yield from flush()
+            for s in range(0, len(table), _RUN):
+                e = min(len(table), s + _RUN)
+                k = len(items)
+                for i, (h, a, z, m, f, w) in enumerate(zip(*(x[s:e].tolist() for x in (keys, anchor, stop, high, low, width)))):
+                    items.append((h.to_bytes(8) + data[a:z], data[a - m : a], f, w, k + i))
+                members.append(table[s:e])
+                if len(items) >= _RUN:
+                    yield from flush()
         yield from flush()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, have = None, ([], [])
-
-        def grouped(got: list[bytes]) -> Iterator[tuple[int, int, int]]:
-            group: list = []
-            for key, prefix, payload in LoserTree([decode_run(x) for x in got]):
-                if group and prefix < 8 + common:
-                    yield from judge(group)
-                    group = []
-                group.append((key, prefix, payload))
-            yield from judge(group)
-
-        def judge(group: list) -> Iterator[tuple[int, int, int]]:
-            if len(group) < 2 or all(x[2][3] > 1 for x in group):
-                return
-            flags = repeated_offsets(group, length)
-            for (_, _, (_, row, at, times)), own in zip(group, flags):
-                if times == 1 and own.any():
-                    edge = np.flatnonzero(np.diff(own.astype(np.int8), prepend=0, append=0)).tolist()
-                    for a, b in zip(edge[::2], edge[1::2]):
-                        yield row, (at >> 16) - b + 1, (at >> 16) - a
-
-        def done() -> Iterator[pa.RecordBatch]:
-            out = list(grouped(have[0])) if have[0] else []
-            columns = [np.array([x[i] for x in out], np.int64) for i in range(3)]
-            if have[1]:
-                table = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 4) for x in have[1]])
-                table = table[np.lexsort((table[:, 1], table[:, 0]))]
-                same = np.zeros(len(table) + 1, bool)
-                same[1:-1] = (table[1:, :2] == table[:-1, :2]).all(axis=1)
-                hit = table[(same[:-1] | same[1:]) & (table[:, 3] & 1 == 0)]
-                columns = [np.concatenate([c, x]) for c, x in zip(columns, (hit[:, 2], hit[:, 3] >> 1, hit[:, 3] >> 1))]
-            if len(columns[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["row", "lo", "hi"])
-
+        now, have, merger = None, [], Merge(lengths)
         for batch in batches:
-            for bucket, kind, run in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if bucket != now:
-                    yield from done()
-                    now, have = bucket, ([], [])
-                have[kind].append(run.as_py())
-        yield from done()
-
-    held = docs.select("row", "text").join(sent, "row")
-    merged = held.mapInArrow(runs, "bucket long, kind byte, run binary").repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(merge, "row long, lo long, hi long")
-    whole = found.join(contexts.where("times > 1").select("begin", "context"), ["begin", "context"], "left_semi")
-    place = F.shiftright("at", 16)
-    whole = whole.select("row", (place - F.shiftright("at", 8).bitwiseAND(255)).alias("lo"), (place - F.col("at").bitwiseAND(255)).alias("hi"))
-    return written(merged, "merged").union(whole)
-
-
-def without_repeats(docs: DataFrame, length: int = LENGTH, spread: int = SPREAD, group: int = GROUP) -> DataFrame:
-    """(doc_id, kept, n_bytes, removed): kept are the bytes that no repeated passage covers, removed the maximal removed runs as (start, end) bytes.
-
-    A null or empty text, or one under `length` bytes, keeps all it has. Rows that repeat doc_id and text are documents of
-    their own, and so repeat each other's passages.
+                    merger.merge(have)
+                    yield from merger.results(_RUN)
+                    now, have = bucket, []
+                have.append(blob.as_py())
+        merger.merge(have)
+        yield from merger.results(0)
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob, listed in zip(batch.column(0), batch.column(1)):
+                table = np.frombuffer(blob.as_buffer(), np.int64).reshape(-1, 6)
+                item, kind, low, high = (listed.values.field(i).to_numpy().astype(np.int64) for i in range(4))
+                order = np.argsort(item, kind="stable")
+                item, kind, low, high = (x[order] for x in (item, kind, low, high))
+                first, last = np.searchsorted(item, table[:, 0]), np.searchsorted(item, table[:, 0], "right")
+                n = last - first
+                who = np.repeat(np.arange(len(table)), n)
+                of = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+                whole, own = kind[of] == _WHOLE, table[who]
+                lo, hi = own[:, 3] - np.where(whole, own[:, 4], high[of]), own[:, 3] - np.where(whole, own[:, 5], low[of])
+                ids, text = np.unique(own[:, 1:3], axis=0, return_inverse=True)
+                key, lo, hi = joined_ranges(text.ravel() << 2 | kind[of], lo, hi)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[key >> 2, 0], ids[key >> 2, 1], key & 3, lo, hi)], ["doc", "row", "kind", "lo", "hi"])
+
+    made = written(docs.select("doc", "row", "text").join(sent, ["doc", "row"]).mapInArrow(runs, "bucket long, run long, kind byte, data binary"), "runs")
+    merged = made.where("kind = 0").select("bucket", "data").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(merge, "run long, item long, kind long, low long, high long")
+    merged = merged.groupBy("run").agg(F.collect_list(F.struct("item", "kind", "low", "high")).alias("xs"))
+    return made.where("kind = 1").select("run", "data").join(merged, "run").select("data", "xs").mapInArrow(places, "doc long, row long, kind long, lo long, hi long")
+
+
+def without_repeats(docs: DataFrame, lengths: tuple[int, int] = LENGTHS, spread: int = SPREAD, group: int = GROUP) -> DataFrame:
+    """(doc_id, kept, n_bytes, removed, shared): kept are the bytes that no repeated passage of the first length covers,
+    removed the maximal removed runs as (start, end) bytes; shared are the maximal runs, as (start, end, words), that
+    repeated passages of the second length cover.
+
+    A null or empty text, or one that is shorter than a passage, keeps all it has. Rows that repeat doc_id and text are
+    documents of their own, and so repeat each other's passages. No rows give none; other columns are left out.
     """
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
-    spans = repeats(keyed.where(F.octet_length("text") >= length), length, spread, group)
-    spans = spans.groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    long, short = lengths
+    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns({"doc": F.coalesce("doc_id", F.lit(0)).cast("long"), "row": F.xxhash64("doc_id", "text")})
+    spans = repeats(keyed.where(F.octet_length("text") >= short), lengths, spread, group)
+    spans = written(spans.groupBy("doc", "row").agg(F.collect_list(F.struct("kind", "lo", "hi")).alias("spans")), "spans")
+
+    def covered(lo: np.ndarray, hi: np.ndarray, length: int, size: int) -> list[tuple[int, int]]:
+        hi = np.minimum(hi, size - length)
+        lo, hi = lo[lo <= hi], hi[lo <= hi]
+        _, start, last = joined_ranges(np.zeros(len(lo), np.int64), lo, hi + length - 1)
+        return list(zip(start.tolist(), (last + 1).tolist()))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 rows = batch.slice(k, 512)
-                out: tuple[list, ...] = ([], [], [])
+                out: tuple[list, ...] = ([], [], [], [])
                 for text, spans in zip(rows.column(1), rows.column(2)):
                     data = text.as_buffer().to_pybytes()
-                    removed, kept, at = [], [], 0
+                    removed, told, kept, at = [], [], [], 0
                     if spans.is_valid:
-                        lo, hi = (spans.values.field(i).to_numpy() for i in (0, 1))
-                        order = np.argsort(lo)
-                        start, end = lo[order], np.maximum.accumulate(hi[order]) + length
-                        new = np.flatnonzero(np.append(True, start[1:] > end[:-1]))
-                        removed = list(zip(start[new].tolist(), end[np.append(new[1:] - 1, len(end) - 1)].tolist()))
+                        kind, lo, hi = (spans.values.field(i).to_numpy() for i in range(3))
+                        removed = covered(lo[kind != _SHORT], hi[kind != _SHORT], long, len(data))
+                        told = [{"start": s, "end": e, "words": len(data[s:e].split())} for s, e in covered(lo[kind != _LONG], hi[kind != _LONG], short, len(data))]
                     for s, e in removed:
                         kept.append(data[at:s])
                         at = e
                     out[0].append(b"".join([*kept, data[at:]]))
                     out[1].append(len(data))
                     out[2].append([{"start": s, "end": e} for s, e in removed])
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(out[0], pa.binary()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], ["doc_id", "kept", "n_bytes", "removed"])
+                    out[3].append(told)
+                span = [("start", pa.int64()), ("end", pa.int64())]
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column(0), pa.array(out[0], pa.binary()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.struct(span))), pa.array(out[3], pa.list_(pa.struct([*span, ("words", pa.int64())])))],
+                    ["doc_id", "kept", "n_bytes", "removed", "shared"],
+                )
 
-    joined = keyed.join(spans, "row", "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(cut, "doc_id long, kept binary, n_bytes long, removed array<struct<start:long,end:long>>")
+    joined = keyed.join(spans, ["doc", "row"], "left").select("doc_id", "text", "spans")
+    return joined.mapInArrow(cut, "doc_id long, kept binary, n_bytes long, removed array<struct<start:long,end:long>>, shared array<struct<start:long,end:long,words:long>>")
 
 
 def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is left of every document without its repeated passages, as counts and a digest."""
+    """What is left of every document without its repeated passages, as counts and a digest; n_shared counts the repeated passages of over WORDS words, also those of fewer than 400 bytes."""
     out = without_repeats(read_table(spark, sf_dir, "documents"))
     gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
-    return out.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    told = F.size(F.filter("shared", lambda x: x["words"] > WORDS)).cast("long")
+    return out.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), told.alias("n_shared"))
 
 
 def removed_ranges(texts: list[bytes], length: int) -> list[list[tuple[int, int]]]:
