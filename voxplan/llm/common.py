@@ -43,9 +43,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, what: str) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir); a local one only where that is unset."""
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir); a temporary one only where that is unset and all run on one machine."""
     top = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", "")
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder: on a cluster, steps need one that driver and executors share")
         top = "file://" + tempfile.mkdtemp(prefix="voxplan-")
         spark.sparkContext.setCheckpointDir(top)
     return f"{top.rstrip('/')}/{what}-{uuid.uuid4().hex}"
@@ -58,6 +60,14 @@ def written(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(name: str, *taken: list[str]) -> str:
+    """name, or name with as many underscores as make it no column of the lists, whatever the case."""
+    have = {c.lower() for columns in taken for c in columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, bytes of their texts, offsets) of slices of about CHUNK_BYTES; bytes are uint8, text i is bytes[offsets[i]:offsets[i+1]]."""
     for batch in batches:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, prefix_hash, range_hash, read_table, shingles, text_slices, words, written
+from .common import LOWER, fresh, prefix_hash, range_hash, read_table, shingles, text_slices, words, written
 from .jaccard import bucket_roots, shared
 
 PERMUTATIONS = 128
@@ -49,7 +49,11 @@ def signatures(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, name: str = "signature") -> DataFrame:
-    """docs with a binary column `name`: the signature of `text` (null: empty), big-endian; all other columns stay."""
+    """docs with a binary column `name`, the last: the signature of `text` (null: empty), big-endian; all other columns stay.
+
+    If docs has a column of that name, in any case, the new one gets underscores at its end until it's another.
+    """
+    name = fresh(name, docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, raw, offsets in text_slices(batches):

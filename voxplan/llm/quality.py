@@ -16,11 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, SPACE, bounded_batches, mix, prefix_hash, range_hash, read_table, text_slices, words, written
+from .common import LOWER, SPACE, bounded_batches, fresh, mix, prefix_hash, range_hash, read_table, text_slices, words, written
 
 #: Documents that the fit looks at, at most: with labels, and without.
 LABELLED = 12_000
@@ -82,8 +82,8 @@ def metadata_features(rows: pa.RecordBatch, offsets: np.ndarray) -> tuple[np.nda
     n, columns = rows.num_rows, []
     for kind, name in ((20, "lang"), (21, "source")):
         at = rows.schema.get_field_index(name)
-        values = [str(x) for x in rows.column(at).to_pylist()] if at >= 0 else [""] * n
-        codes = {v: int.from_bytes(hashlib.blake2b(v.encode(), digest_size=8).digest(), signed=True) for v in set(values)}
+        values = rows.column(at).to_pylist() if at >= 0 else [None] * n
+        codes = {v: int.from_bytes(hashlib.blake2b(b"" if v is None else b"=" + str(v).encode(), digest_size=8).digest(), signed=True) for v in set(values)}
         columns.append(_bucketed(kind, np.array([codes[v] for v in values], np.int64)))
     columns.append(_bucketed(22, (2 * np.log2(np.maximum(np.diff(offsets), 1))).astype(int)))
     return np.stack(columns, axis=1).ravel(), np.arange(n + 1) * len(columns)
@@ -209,11 +209,17 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     return out
 
 
-def scored(docs: DataFrame, models: dict[str, tuple]) -> DataFrame:
-    """docs with p_quality, p_toxic and p_*_text, p_*_meta, the views' own probabilities; other columns stay."""
+NAMES = [f"p_{t}{v}" for t in TARGETS for v in ("", "_text", "_meta")]
+
+
+def scored(docs: DataFrame, models: dict[str, tuple], names: list[str] | None = None) -> DataFrame:
+    """docs with p_quality, p_toxic and p_*_text, p_*_meta, the views' own probabilities, as the last six columns, by `names` if given; other columns stay.
+
+    A column of docs that has such a name, in any case, stays too: the new one gets underscores at its end then.
+    """
+    names = names or [fresh(n, docs.columns) for n in NAMES]
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast({t: [(a.weights.astype(np.float32), a.bias), (b.weights.astype(np.float32), b.bias), w] for t, (a, b, w) in models.items()})
-    names = [f"p_{t}{v}" for t in TARGETS for v in ("", "_text", "_meta")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, raw, offsets in text_slices(batches):
@@ -233,9 +239,16 @@ def scored(docs: DataFrame, models: dict[str, tuple]) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs with p_quality, p_toxic and keep; a null or empty text is scored by what it has."""
-    keep = (F.col("p_quality") >= KEEP_QUALITY) & (F.col("p_toxic") <= KEEP_TOXIC)
-    return scored(docs, train(docs, labels)).withColumn("keep", keep)
+    """docs with the columns of scored() and keep; a null or empty text is scored by what it has. No rows give none.
+
+    Repeated rows get the same scores. Names that docs has already, in any case, get underscores at their end.
+    """
+    names = [fresh(n, docs.columns) for n in NAMES]
+    return scored(docs, train(docs, labels), names).withColumn(fresh("keep", docs.columns), _good(names))
+
+
+def _good(names: list[str]) -> Column:
+    return (F.col(names[NAMES.index("p_quality")]) >= KEEP_QUALITY) & (F.col(names[NAMES.index("p_toxic")]) <= KEEP_TOXIC)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,8 +260,5 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those that the classifier rejects; columns stay as they are."""
-    models = train(docs, labels)
-    names = [f"p_{t}{v}" for t in TARGETS for v in ("", "_text", "_meta")]
-    clash = {c: f"__{c}" for c in docs.columns if c in names}
-    out = scored(docs.withColumnsRenamed(clash), models).where((F.col("p_quality") >= KEEP_QUALITY) & (F.col("p_toxic") <= KEEP_TOXIC)).drop(*names)
-    return out.withColumnsRenamed({v: k for k, v in clash.items()})
+    names = [fresh(n, docs.columns) for n in NAMES]
+    return scored(docs, train(docs, labels), names).where(_good(names)).drop(*names)

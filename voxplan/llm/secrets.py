@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, bounded_batches, read_table, text_slices
+from .common import LOWER, bounded_batches, fresh, read_table, text_slices
 
 try:  # the parser of re tells what a regex must contain
     from re import _constants as sre
@@ -180,8 +180,11 @@ class Scanner:
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, name: str = "secrets") -> DataFrame:
     """docs with an array `name` of (kind, start, end) in code points, by start and then in the rules' order; other columns stay.
 
-    A null or empty text has none. Matches of different kinds may overlap.
+    A null or empty text has none. Matches of different kinds may overlap. If docs has a column of that name, in any case,
+    the new one gets underscores at its end until it's another; it's the last column. Repeated rows are scanned each; no
+    rows give none.
     """
+    name = fresh(name, docs.columns)
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

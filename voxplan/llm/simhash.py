@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, bounded_batches, mix, prefix_hash, range_hash, read_table, shingles, text_slices, words, written
+from .common import LOWER, bounded_batches, fresh, mix, prefix_hash, range_hash, read_table, shingles, text_slices, words, written
 from .graph import components
 from .jaccard import bucket_roots, prefix_sizes, shared
 
@@ -67,7 +67,11 @@ def simhash(raw: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> np.ndar
 
 
 def fingerprints(docs: DataFrame, width: int = WIDTH, name: str = "fp") -> DataFrame:
-    """docs with a long column `name`, the fingerprint of `text` (null: empty, so 0); all other columns stay."""
+    """docs with a long column `name`, the last: the fingerprint of `text` (null: empty, so 0); all other columns stay.
+
+    If docs has a column of that name, in any case, the new one gets underscores at its end until it's another.
+    """
+    name = fresh(name, docs.columns)
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,5 +291,7 @@ def keep_first_of_groups(docs: DataFrame, width: int = 5, distance: int = DISTAN
     """
     key = F.xxhash64("doc_id", "text")
     found = near_groups(docs.select(key.alias("row"), "doc_id", "text"), width, distance, similarity)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("row").alias("__row"))
-    return docs.withColumn("__row", key).join(written(kept.distinct(), "kept"), "__row", "left_semi").select(*docs.columns)
+    row, doc = fresh("row", docs.columns), fresh("doc", docs.columns)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("row").alias(row), F.col("doc_id").alias(doc))
+    kept = written(kept.distinct(), "kept")
+    return docs.join(kept, (key == kept[row]) & docs["doc_id"].eqNullSafe(kept[doc]), "left_semi")
