@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import LOWER, fresh, prefix_hash, range_hash, read_table, shingles, text_slices, words, written
-from .jaccard import bucket_roots, shared
+from .jaccard import bucket_roots, of_table, shared
 
 PERMUTATIONS = 128
 WIDTH = 5
@@ -87,7 +87,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     classes = written(least.join(made.withColumnRenamed("doc_id", "class_id"), ["set_key", "class_id"]).dropDuplicates(["set_key"]).select("class_id", "shingles", "signature"), "classes")
     size = 2 * PERMUTATIONS // bands
     rows = classes.select(F.col("class_id").alias("id"), F.size("shingles").alias("n"), F.lit(0).alias("at"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.col("signature").substr(b * size + 1, F.lit(size))))).alias("bucket"))
-    linked = bucket_roots(written(shared(rows), "band"), classes.select(F.col("class_id").alias("id"), "shingles"), similarity)
+    linked = bucket_roots(written(shared(rows), "band"), of_table(classes.select(F.col("class_id").alias("id"), "shingles")), similarity)
     lowest = linked.groupBy("root").agg(F.least(F.min("id"), F.col("root")).alias("component_id"))
     roots = linked.join(lowest, "root").select(F.col("id").alias("class_id"), "component_id")
     member = made.join(least, "set_key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))

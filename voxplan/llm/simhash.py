@@ -273,10 +273,13 @@ def near_groups(docs: DataFrame, width: int = 5, distance: int = DISTANCE, simil
     u, v = fps.select(F.col("fp").alias("u"), F.col("of").alias("a")), fps.select(F.col("fp").alias("v"), F.col("of").alias("b"))
     near = links(written(fps, "fps"), distance).join(u, "u").join(v, "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
     near = written(near.union(classes.join(fps, "fp").where("id <> of").select(F.col("id").alias("u"), F.col("of").alias("v"))), "near")
-    met = members.select("id").union(near.select(F.col("u").alias("id"))).union(near.select(F.col("v").alias("id"))).distinct()
-    rows = written(classes.select("id", "row").join(met, "id"), "met")
-    texts = docs.join(rows.select("row"), "row", "left_semi").dropDuplicates(["row"])
-    sets = written(_shingled(texts, "sets", width, similarity, none).join(rows, "row").select("id", "shingles"), "shingles")
+
+    def sets(ids: DataFrame, few: bool) -> DataFrame:
+        # Read and shingled again for each call, but for these texts only: cheaper than to keep the sets of all.
+        rows = classes.select("id", "row").join(F.broadcast(ids) if few else ids, "id")
+        texts = docs.join(F.broadcast(rows) if few else rows, "row").select(F.col("id").alias("row"), "doc_id", "text")
+        return _shingled(texts, "sets", width, similarity, none).select(F.col("row").alias("id"), "shingles").dropDuplicates(["id"])
+
     rooted = classes.select("id").join(bucket_roots(members, sets, similarity, near), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
     least = marked.groupBy(F.col("set_key").alias("id")).agg(F.min("doc_id").alias("least")).join(rooted, "id", "left").withColumn("root", F.coalesce("root", "id"))
     component = least.groupBy("root").agg(F.min("least").alias("component_id"))
