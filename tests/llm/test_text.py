@@ -454,11 +454,50 @@ def test_short_and_number_heavy_items(spark):
     assert got == {(0, 0), (1, 1), (2, 2), (5, 0), (7, 3)}
 
 
+def test_equal_numbers_may_be_different_slots(spark):
+    item = "If a box holds 3 red balls and 3 blue balls then how many balls does the teacher Bob, or his friend, take out"
+    texts = [item.replace("3 red", "8 red").replace("3 blue", "9 blue"), item.replace("Bob,", "Carl").replace("3", "4"), item.replace("friend,", "friend"), item.replace("Bob,", "Carl,,") + "!"]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert sorted(r["doc_id"] for r in decontam.contaminated(frame(spark, texts), bench).collect()) == [0, 1, 2, 3]
+
+
+def test_reparameterised_items_are_found(spark):
+    rng = random.Random(12)
+    names, units, nouns = ["Anna", "Bob", "Carla", "Dirk", "Eve"], ["km", "kg", "miles", "hours"], [f"thing{c}" for c in "abcdefghijklmnopqrstuvwxyz"]
+
+    def made(words):
+        return " ".join(str(rng.randrange(2, 999)) if w == "#num" else {"#a": a, "#b": b}.get(w) or (u if w == "#unit" else w) for a, b, u in [(*rng.sample(names, 2), rng.choice(units))] for w in words)
+
+    shapes = []
+    for _ in range(60):
+        words = [rng.choice(nouns) for _ in range(rng.randrange(14, 40))]
+        for w in ("#a", "#b", "#num", "#num", "#a"):
+            words[rng.randrange(1, len(words))] = w
+        at = words.index("#num") if "#num" in words[:-1] else None
+        words[at + 1 : at + 2] = ["#unit"] if at is not None else words[at + 1 : at + 2]
+        shapes.append(words)
+    items = [made(s) for s in shapes]
+    prose_of = lambda: " ".join(rng.choice(nouns) for _ in range(80))
+    texts = [f"{prose_of()} {made(s)} {prose_of()}" for s in shapes] + [prose_of() for _ in range(200)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(frame(spark, texts), bench).collect()}
+    assert sum((i, i) in got for i in range(60)) >= 54 and all(i == k for i, k in got)
+
+
+def test_columns_of_any_name_stay(spark):
+    docs = spark.createDataFrame([(1, "one two three four five six", 1, 2, 3, 4, 5, 6), (1, "one two three four five six", 1, 2, 3, 4, 5, 6), (None, None, 1, 2, 3, 4, 5, 6)], "doc_id long, text string, `row` long, Doc long, `__row` long, P_Quality long, Secrets long, Keep long")
+    labels, bench = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int"), spark.createDataFrame([(1, "other words that nobody ever wrote here before at all")], "item_id long, text string")
+    for out in (simhash.keep_first_of_groups(docs), decontam.without_benchmark(docs, bench), quality.keep_good(docs, labels), secrets.redact(docs)):
+        assert out.columns == docs.columns and sorted(map(str, out.collect())) == sorted(map(str, docs.collect()))
+    assert secrets.scan(docs).columns == [*docs.columns, "secrets_"] and quality.classify(docs, labels).columns[-1] == "keep_"
+    assert simhash.fingerprints(docs, name="DOC").columns[-1] == "DOC_" and minhash.fingerprints(docs, name="ROW").columns[-1] == "ROW_"
+
+
 def test_large_benchmarks_are_shuffled(spark, monkeypatch):
     item = " ".join(f"word{i}" .replace("0", "o").replace("1", "i") for i in "abcdefghijklmnop")
     docs, bench = frame(spark, ["x " + item, "nothing"]), spark.createDataFrame([(1, item)], "item_id long, text string")
     want = decontam.contaminated(docs, bench).collect()
-    monkeypatch.setattr(decontam, "BROADCAST_WINDOWS", 1)
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", 1)
     assert decontam.contaminated(docs, bench).collect() == want and len(want) == 1
 
 

@@ -4,9 +4,11 @@ A text's tokens are its white-space pieces. A piece with a digit becomes the pla
 #unit, a capitalised piece that doesn't begin a sentence #name; the others are lower-cased and lose their punctuation.
 Windows of WINDOW template tokens are joined by hash, documents against benchmark items, so a question with other
 numbers, names or units meets the item that it was made from. An item without a window of enough literal tokens is one
-window as a whole: of its template, or of its very words and numbers if it has few literal tokens at all. Matches of a document and an item on one diagonal (their
-places' difference) are one occurrence. Its slots must be consistent: one value of the item always stands for one value
-of the document and the other way round.
+window as a whole: of its template, or of its very words and numbers if it has few literal tokens at all. Matches of a
+document and an item on one diagonal (their places' difference) are one occurrence. Its slots must be consistent: a name
+of the item always stands for one name of the document and the other way round. Two numbers, or two units, may be equal by
+chance in the item and not in the document, so with these half of the different pairs may break that rule. Slots are
+compared as templates are, in lower case and without punctuation.
 """
 
 from __future__ import annotations
@@ -22,8 +24,10 @@ LITERAL = 4
 #: An occurrence counts with this share of the item's windows, or with this many.
 COVERAGE = 0.5
 RUN = 5
-#: Benchmark windows that are sent to every task, at most; beyond it both sides are shuffled.
-BROADCAST_WINDOWS = 500_000
+#: Of the different pairs of numbers, or of units, so many at least must be one to one.
+AGREEING = 0.5
+#: Bytes of benchmark windows that are sent to every task, at most; beyond it both sides are shuffled (a frequent window is then a skewed join, which adaptive execution splits).
+BROADCAST_BYTES = 32 << 20
 _MARKS = ".,;:!?\"()'"
 UNITS = ("mm", "cm", "m", "km", "g", "mg", "kg", "t", "l", "ml", "s", "ms", "h", "min", "mph", "kmh", "lb", "lbs", "oz", "ft", "mi", "usd", "eur", "dollar", "dollars", "euro", "euros", "cent", "cents", "percent", "inch", "inches", "foot", "feet", "mile", "miles", "meter", "meters", "metre", "metres", "gram", "grams", "liter", "liters", "litre", "litres", "second", "seconds", "minute", "minutes", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years")
 
@@ -67,6 +71,7 @@ def _windows_of(modes: list[tuple[int, bool]]) -> Column:
 def matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
     """(row, doc_id, item_id, n_matched, n_windows, coverage, consistent) for every occurrence of window matches; row is the hash of doc_id and text."""
     part = lambda c, at, n=width: F.slice(c, F.col(at) + 1, n)
+    plain = lambda x: F.translate(F.lower(x), _MARKS, "")
     known = benchmark.where("text is not null")
     # Within a document an item may follow on other words; its first piece is then no beginning of a sentence.
     read = [(first, windows(known.select("item_id", text.alias("text")), width)) for first, text in ((0, F.col("text")), (1, F.concat(F.lit("a "), "text")))]
@@ -79,7 +84,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataF
     items = items.union(whole.drop("length", "exact")) if modes else items
     # The outer form of posexplode: for the inner one the optimizer adds a filter on the array's size and computes all arrays twice.
     total = items.groupBy("item_id").agg(F.count_distinct("item_at").alias("n_windows"))
-    few = items.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
+    weight = F.octet_length(F.array_join("item_pieces", "")) + F.octet_length(F.array_join("slots", "")) + 16 * (F.size("slots") + 4)
+    few = items.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0] <= BROADCAST_BYTES
     found = windows(docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text"), width).drop("text")
     if modes:
         found = found.withColumn("plain", F.transform("pieces", lambda x: F.translate(F.lower(x), _MARKS, "")))
@@ -97,11 +103,18 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataF
     size = F.size("slots") if modes else width
     pairs = F.arrays_zip(part("pieces", "at", size).alias("ours"), F.col("item_pieces").alias("theirs"), F.col("slots").alias("slot"))
     pairs = F.filter(pairs, lambda x: x["slot"].startswith("#"))
-    met = met.select("row", "doc_id", "item_id", "item_at", (F.col("at") - F.col("item_at")).alias("diagonal"), F.transform(pairs, lambda x: F.struct(F.lower(x["ours"]).alias("ours"), F.lower(x["theirs"]).alias("theirs"))).alias("pairs"))
+    met = met.select("row", "doc_id", "item_id", "item_at", (F.col("at") - F.col("item_at")).alias("diagonal"), F.transform(pairs, lambda x: F.struct(x["slot"].alias("slot"), plain(x["ours"]).alias("ours"), plain(x["theirs"]).alias("theirs"))).alias("pairs"))
     out = met.groupBy("row", "doc_id", "item_id", "diagonal").agg(F.count_distinct("item_at").alias("n_matched"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    one_to_one = (F.size(F.array_distinct(F.transform("pairs", lambda x: x["ours"]))) == F.size("pairs")) & (F.size(F.array_distinct(F.transform("pairs", lambda x: x["theirs"]))) == F.size("pairs"))
+
+    def one_to_one(share: float, *slots: str) -> Column:
+        """Whether such a share of the different pairs of these slots is as many values on either side."""
+        own = F.filter("pairs", lambda x: x["slot"].isin(*slots))
+        different = lambda side: F.size(F.array_distinct(F.transform(own, lambda x: F.concat_ws(" ", x["slot"], x[side]))))
+        return F.least(different("ours"), different("theirs")) >= share * F.size(own)
+
+    consistent = one_to_one(1.0, "#name") & one_to_one(AGREEING, "#num", "#unit")
     out = out.join(F.broadcast(total) if few else total, "item_id")
-    return out.select("row", "doc_id", "item_id", "n_matched", "n_windows", (F.col("n_matched") / F.col("n_windows")).alias("coverage"), one_to_one.alias("consistent"))
+    return out.select("row", "doc_id", "item_id", "n_matched", "n_windows", (F.col("n_matched") / F.col("n_windows")).alias("coverage"), consistent.alias("consistent"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, coverage: float = COVERAGE, run: int = RUN) -> DataFrame:
