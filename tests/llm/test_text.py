@@ -564,6 +564,18 @@ def test_co_training_keeps_the_clean(spark, none):
     assert quality.classify(none.select("doc_id", "text"), labels).count() == 0
 
 
+def test_views_teach_each_other(spark):
+    """A word that no labelled document has is learned from the unlabelled ones that the metadata view is sure of."""
+    rng = np.random.default_rng(3)
+    text, meta = quality.Logistic(), quality.Logistic()
+    meta.weights[[7, 8]] = -6, 6
+    rows = [([1, 2 if i % 2 else 3, int(rng.integers(10, 90))], [8 if i % 2 else 7]) for i in range(400)]
+    pool = spark.createDataFrame(rows, "text_set array<int>, meta_set array<int>").repartition(3)
+    for _ in range(2):
+        quality.exchange(pool, {"toxic": (text, meta)})
+    assert text.weights[2] > 0.5 and text.weights[3] < -0.5 and abs(text.weights[1]) < 0.1 and np.count_nonzero(text.weights[10:]) == 0
+
+
 def test_sources_are_told_apart_as_a_whole():
     import pyarrow as pa
 
@@ -571,6 +583,9 @@ def test_sources_are_told_apart_as_a_whole():
     rows = pa.RecordBatch.from_arrays([pa.array(["en"] * 6), pa.array(sources)], ["lang", "source"])
     of = quality.metadata_features(rows, np.zeros(7, np.int64))[0].reshape(6, 3)[:, 1].tolist()
     assert len(set(of)) == 5 and of[0] == of[5]
+    named = pa.RecordBatch.from_arrays([pa.array(["None", None])], ["lang"])
+    of = quality.metadata_features(named, np.zeros(3, np.int64))[0].reshape(2, 3)[:, 0].tolist()
+    assert of[0] != of[1]
 
 
 def test_quality_of_odd_texts(docs, spark):

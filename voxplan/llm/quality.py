@@ -1,12 +1,15 @@
 """Quality classifier by co-training.
 
 Two views of a document: its text (hashed tokens and shapes) and its metadata (language, source, length). For each of two
-targets, good quality and toxicity, a logistic model is fitted on either view from labelled documents. Over ROUNDS each
-view labels the documents of an unlabelled pool of which it is confident, and the other view learns from them as well.
-Scores of the two views are then calibrated together on labelled documents that neither was fitted on.
-
-The fit uses a bounded sample (LABELLED and POOL documents, by hash of the id), all else looks at every document. Models
-are arrays of a fixed size (2^HASH_BITS weights for each view and target), so scoring is one pass without a shuffle.
+targets, good quality and toxicity, a logistic model is fitted on either view from labelled documents. In each of ROUNDS
+each view labels all unlabelled documents of which it is confident, and the other view learns from them: one pass sums,
+for each feature, gradient and curvature of the other view's loss over the documents where it doesn't agree yet, and
+features that are significant take a damped Newton step. Scores of the two views are then calibrated together on labelled
+documents that neither was fitted on.
+
+The first fit uses a bounded sample of labelled documents (LABELLED, by hash of the id, with at most SETS features), all
+else looks at every document. Models are arrays of a fixed size (2^HASH_BITS weights for each view and target), so scoring
+is one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -16,16 +19,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import LOWER, SPACE, bounded_batches, fresh, mix, prefix_hash, range_hash, read_table, text_slices, words, written
 
-#: Documents that the fit looks at, at most: with labels, and without.
+#: Labelled documents that the first fit looks at, at most, and their features (4 bytes each).
 LABELLED = 12_000
-POOL = 6_000
+SETS = 12_000_000
 ROUNDS = 2
+#: A round moves no document's logit by more than that, on average.
+STEP = 4.0
+#: A confident label counts where the other view's probability differs by that.
+APART = 0.05
 #: A feature counts if its shares in the two classes differ by so many standard errors.
 SIGNIFICANT = 6.0
 #: Documents that have the feature, at least.
@@ -129,17 +136,61 @@ class Logistic:
         return self
 
 
-def co_train(text: list[np.ndarray], meta: list[np.ndarray], y: np.ndarray, pool_text: list[np.ndarray], pool_meta: list[np.ndarray], rounds: int = ROUNDS) -> tuple[Logistic, Logistic]:
-    """The two views' models; in each round either learns from the labels and from what the other is confident of in the pool."""
-    views = [(text, pool_text), (meta, pool_meta)]
-    models = [Logistic().fit(v, y) for v, _ in views]
-    for _ in range(rounds):
-        given = []
-        for model, (_, pool) in zip(models, views):
-            p = 1 / (1 + np.exp(-np.clip(model.logits(pool), -30, 30))) if pool else np.zeros(0)
-            given.append((np.flatnonzero((p >= CONFIDENT) | (p <= 1 - CONFIDENT)), p))
-        models = [Logistic().fit(own + [pool[i] for i in given[1 - k][0]], np.concatenate([y, given[1 - k][1][given[1 - k][0]] >= 0.5])) for k, (own, pool) in enumerate(views)]
-    return models[0], models[1]
+def logits(weights: np.ndarray, bias: float, features: np.ndarray, first: np.ndarray) -> np.ndarray:
+    total = np.concatenate([[0.0], np.cumsum(weights[features], dtype=float)])
+    return total[first[1:]] - total[first[:-1]] + bias
+
+
+def exchange(pool: DataFrame, models: dict[str, tuple[Logistic, Logistic]]) -> None:
+    """One round of co-training on all documents (text_set, meta_set) of the pool; the models are changed in place.
+
+    What reaches the driver is one row for each significant feature at most, so it's bounded by the models' size.
+    """
+    shared = pool.sparkSession.sparkContext.broadcast({t: [(m.weights.astype(np.float32), m.bias) for m in views] for t, views in models.items()})
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots = 2 * len(TARGETS)
+        total = np.zeros((slots, 3, (1 << HASH_BITS) + 1), np.float32)  # gradient, curvature, documents; the bias last
+        sizes = np.zeros(slots)
+        for batch in batches:
+            sets = []
+            for c in range(2):
+                x = batch.column(c)
+                at = x.offsets.to_numpy().astype(np.int64)
+                sets.append((x.flatten().to_numpy().astype(np.int64), at - at[0]))
+            for k, t in enumerate(TARGETS):
+                if t not in shared.value:
+                    continue
+                p = [1 / (1 + np.exp(-np.clip(logits(*m, *x), -30, 30))) for m, x in zip(shared.value[t], sets)]
+                for view in range(2):
+                    other, (features, at) = p[1 - view], sets[view]
+                    error = p[view] - (other >= 0.5)
+                    learn = ((other >= CONFIDENT) | (other <= 1 - CONFIDENT)) & (np.abs(error) >= APART)
+                    n = np.diff(at)
+                    who = np.repeat(np.where(learn, np.arange(len(n)), -1), n)
+                    of, features = who[who >= 0], features[who >= 0]
+                    own = total[2 * k + view]
+                    curve = p[view] * (1 - p[view])
+                    for row, value in enumerate((error, curve, np.ones(len(n)))):
+                        np.add.at(own[row], features, value[of].astype(np.float32))
+                        own[row, -1] += value[learn].sum()
+                    sizes[2 * k + view] += n[learn].sum()
+        slot, feature = np.nonzero(total[:, 2])
+        values = [total[slot, c, feature].astype(float) for c in range(3)]
+        bias = feature == 1 << HASH_BITS
+        yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(feature), *map(pa.array, values), pa.array(np.where(bias, sizes[slot], 0.0))], ["slot", "feature", "g", "h", "n", "size"])
+
+    rows = pool.select("text_set", "meta_set").mapInArrow(sums, "slot long, feature long, g double, h double, n double, size double")
+    rows = rows.groupBy("slot", "feature").agg(*(F.sum(c).alias(c) for c in ("g", "h", "n", "size")))
+    rows = rows.where((F.col("feature") == 1 << HASH_BITS) | ((F.col("n") >= SUPPORT) & (F.abs("g") >= SIGNIFICANT * F.sqrt("h")))).toArrow()
+    slot, feature, g, h, n, size = (rows.column(c).to_numpy() for c in rows.column_names)
+    for k, t in enumerate(TARGETS):
+        for view in range(2):
+            bias = (slot == 2 * k + view) & (feature == 1 << HASH_BITS)
+            if t in models and bias.any():
+                own = (slot == 2 * k + view) & (feature < 1 << HASH_BITS)
+                each = max(1.0, size[bias][0] / n[bias][0])
+                models[t][view].weights[feature[own]] -= np.clip(g[own] / (h[own] + 1), -1, 1) * STEP / each
 
 
 def calibrate(a: np.ndarray, b: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -180,32 +231,41 @@ def features(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, text_set array<int>, meta_set array<int>")
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> dict[str, tuple]:
-    """target: (text model, metadata model, calibration). A target without both classes gets its prior alone."""
+def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS) -> dict[str, tuple]:
+    """target: (text model, metadata model, calibration). A target without both classes gets its prior alone.
+
+    A document with several labels is good if one says so, and toxic if one does. Of equal unlabelled texts one counts,
+    and of near copies in the labelled sample the one of least hash of its id. No documents or no labels leave the prior.
+    """
     marks = labels.where("doc_id is not null").groupBy("doc_id").agg(*(F.max(t).alias(t) for t in TARGETS))
-    ids = docs.select("doc_id").where("doc_id is not null").distinct().join(marks, "doc_id", "left")
-    order = [F.xxhash64("doc_id"), "doc_id"]
-    chosen = ids.where("quality is not null and toxic is not null").orderBy(*order).limit(labelled).union(ids.where("quality is null and toxic is null").orderBy(*order).limit(pool))
-    chosen = written(chosen, "chosen")
-    columns = [c for c in ("doc_id", "text", "lang", "source") if c in docs.columns]
-    # The ids of the sample are bounded by labelled + pool.
-    rows = features(docs.select(*columns).join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")).join(F.broadcast(chosen), "doc_id").toArrow()
+    ids = docs.select("doc_id").distinct().join(marks, "doc_id").where("quality is not null and toxic is not null")
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    chosen = written(ids.orderBy(*order).limit(labelled), "chosen")
+    columns = docs.select(*(c for c in ("doc_id", "text", "lang", "source") if c in docs.columns))
+    # The sample is bounded by `labelled` and SETS, so it may be sent around and sorted as a whole.
+    rows = features(columns.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")).join(F.broadcast(chosen), "doc_id")
+    upto = F.sum(F.size("text_set")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("upto", upto).where(F.col("upto") <= SETS).toArrow()
     sets = [[x.values.to_numpy().astype(np.int64) for x in rows.column(c)] for c in ("text_set", "meta_set")]
-    have = np.array([v is not None for v in rows.column("quality").to_pylist()], bool)
-    have &= (single := one_of_each(sets[0]))
-    pool_of = single & np.array([v is None for v in rows.column("quality").to_pylist()], bool)
+    have = one_of_each(sets[0])
     turn = mix(np.array(rows.column("doc_id").to_pylist(), np.int64).view(np.uint64)) % np.uint64(4) == 0
     pick = lambda c, which: [sets[c][i] for i in np.flatnonzero(which)]
+    labels_of = {t: np.array([v or 0 for v in rows.column(t).to_pylist()], float) > 0 for t in TARGETS}
+    fit, held = have & ~turn, have & turn
+    views = {t: tuple(Logistic().fit(pick(c, fit), y[fit].astype(float)) for c in range(2)) for t, y in labels_of.items() if 0 < y[fit].sum() < fit.sum() and 0 < y[held].sum() < held.sum()}
+    if views and rounds:
+        pool = features(columns).join(marks.select("doc_id"), "doc_id", "left_anti").select("text_set", "meta_set", F.xxhash64("text_set").alias("key")).dropDuplicates(["key"])
+        pool = written(pool, "pool")
+        for _ in range(rounds):
+            exchange(pool, views)
     out = {}
-    for target in TARGETS:
-        y = np.array([v or 0 for v in rows.column(target).to_pylist()], float) > 0
-        fit, held = have & ~turn, have & turn
-        if not (0 < y[fit].sum() < fit.sum() and 0 < y[held].sum() < held.sum()):
-            share = (y[have].sum() + 1) / (have.sum() + 2) if have.any() else float(target == "quality")
-            out[target] = (Logistic(), Logistic(), np.array([0, 0, np.log(max(share, 1e-6) / max(1 - share, 1e-6))]))
-            continue
-        a, b = co_train(pick(0, fit), pick(1, fit), y[fit].astype(float), pick(0, pool_of), pick(1, pool_of))
-        out[target] = (a, b, calibrate(a.logits(pick(0, held)), b.logits(pick(1, held)), y[held].astype(float)))
+    for t, y in labels_of.items():
+        if t in views:
+            a, b = views[t]
+            out[t] = (a, b, calibrate(a.logits(pick(0, held)), b.logits(pick(1, held)), y[held].astype(float)))
+        else:
+            share = (y[have].sum() + 1) / (have.sum() + 2) if have.any() else float(t == "quality")
+            out[t] = (Logistic(), Logistic(), np.array([0, 0, np.log(max(share, 1e-6) / max(1 - share, 1e-6))]))
     return out
 
 
@@ -228,9 +288,8 @@ def scored(docs: DataFrame, models: dict[str, tuple], names: list[str] | None =
             for t in TARGETS:
                 *views, w = shared.value[t]
                 z = []
-                for (f, at), (weights, bias) in zip(made, views):
-                    total = np.concatenate([[0.0], np.cumsum(weights[f], dtype=float)])
-                    z.append(total[at[1:]] - total[at[:-1]] + bias)
+                for x, model in zip(made, views):
+                    z.append(logits(*model, *x))
                 both = w[0] * np.clip(z[0], -20, 20) + w[1] * np.clip(z[1], -20, 20) + w[2]
                 out += [pa.array(1 / (1 + np.exp(-np.clip(x, -30, 30)))) for x in (both, *z)]
             yield pa.RecordBatch.from_arrays([*rows.columns, *out], [*rows.schema.names, *names])
