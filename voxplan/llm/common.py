@@ -13,7 +13,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step looks at; a longer text is a step of its own.
 CHUNK_BYTES = 1 << 20
@@ -60,6 +61,18 @@ def written(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of two longs that are sent to every task to leave rows out, at most; beyond it both sides are shuffled.
+KNOWN = 1_000_000
+
+
+def without_rows(docs: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
+    """docs (doc_id, ...) without the rows whose (key, doc_id) is one of gone (row, doc_id), nulls alike; columns and order stay."""
+    row, doc = fresh("row", docs.columns), fresh("doc", docs.columns)
+    gone = written(gone.select(F.col("row").alias(row), F.col("doc_id").alias(doc)).distinct(), "gone")
+    gone = F.broadcast(gone) if gone.limit(KNOWN + 1).count() <= KNOWN else gone
+    return docs.join(gone, (key == gone[row]) & docs["doc_id"].eqNullSafe(gone[doc]), "left_anti")
+
+
 def fresh(name: str, *taken: list[str]) -> str:
     """name, or name with as many underscores as make it no column of the lists, whatever the case."""
     have = {c.lower() for columns in taken for c in columns}

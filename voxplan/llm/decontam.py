@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, read_table
+from .common import read_table, without_rows
 
 WINDOW = 8
 #: Tokens of a window that are no placeholders, at least; others say nothing.
@@ -134,6 +134,4 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the contaminated documents; columns, whatever their names, and repeated rows stay as they are."""
-    row, doc = fresh("row", docs.columns), fresh("doc", docs.columns)
-    bad = contaminated(docs, benchmark).select(F.col("row").alias(row), F.col("doc_id").alias(doc)).distinct()
-    return docs.join(bad, (F.xxhash64("doc_id", "text") == bad[row]) & docs["doc_id"].eqNullSafe(bad[doc]), "left_anti")
+    return without_rows(docs, F.xxhash64("doc_id", "text"), contaminated(docs, benchmark))

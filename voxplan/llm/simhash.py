@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, bounded_batches, fresh, mix, prefix_hash, range_hash, read_table, shingles, text_slices, words, written
+from .common import LOWER, bounded_batches, fresh, mix, prefix_hash, range_hash, read_table, shingles, text_slices, without_rows, words, written
 from .graph import components
 from .jaccard import bucket_roots, prefix_sizes, shared
 
@@ -236,10 +236,12 @@ def _shingled(docs: DataFrame, what: str, width: int, similarity: float, common:
                 yield pa.RecordBatch.from_arrays([row, _lists(sets, size)], ["row", "shingles"])
                 continue
             some, flat = prefix_sizes(size, similarity), np.concatenate(sets)
-            late = np.append(last.value, np.uint64(0))[np.searchsorted(last.value, flat)] == flat if len(last.value) else np.zeros(len(flat), bool)
+            top = (flat >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            late = np.append(last.value, np.int32(0))[np.searchsorted(last.value, top)] == top if len(last.value) else np.zeros(len(flat), bool)
             of, to = np.repeat(np.arange(len(sets)), size), np.cumsum(size)
             flat = flat[np.lexsort((late, of))]
-            prefix = _lists([flat[e - k : e - k + n] for e, k, n in zip(to.tolist(), size.tolist(), some.tolist())], some)
+            # The upper half of a hash deals as well as the whole.
+            prefix = _lists([flat[e - k : e - k + n] for e, k, n in zip(to.tolist(), size.tolist(), some.tolist())], some, np.uint64(32))
             if what == "prefix":
                 yield pa.RecordBatch.from_arrays([prefix], ["prefix"])
                 continue
@@ -247,11 +249,12 @@ def _shingled(docs: DataFrame, what: str, width: int, similarity: float, common:
             made = [pa.array(keys, pa.int64()), pa.array(size.astype(np.int32)), pa.array(simhash(raw, offsets, width).view(np.int64)), prefix]
             yield pa.RecordBatch.from_arrays([row, rows.column(rows.schema.get_field_index("doc_id")), *made], ["row", "doc_id", "set_key", "n", "fp", "prefix"])
 
-    return docs.mapInArrow(run, {"sets": "row long, shingles array<long>", "prefix": "prefix array<long>", "docs": "row long, doc_id long, set_key long, n int, fp long, prefix array<long>"}[what])
+    return docs.mapInArrow(run, {"sets": "row long, shingles array<long>", "prefix": "prefix array<int>", "docs": "row long, doc_id long, set_key long, n int, fp long, prefix array<int>"}[what])
 
 
-def _lists(values: list[np.ndarray], sizes: np.ndarray) -> pa.ListArray:
-    flat = np.concatenate([*values, np.zeros(0, np.uint64)]).view(np.int64)
+def _lists(values: list[np.ndarray], sizes: np.ndarray, shift: np.uint64 | None = None) -> pa.ListArray:
+    flat = np.concatenate([*values, np.zeros(0, np.uint64)])
+    flat = flat.view(np.int64) if shift is None else (flat >> shift).astype(np.uint32).view(np.int32)
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
 
 
@@ -263,12 +266,13 @@ def near_groups(docs: DataFrame, width: int = 5, distance: int = DISTANCE, simil
     which leaves out no pair; every link is verified by the sets.
     """
     # Which ones come last decides the cost, not the result: the most common of the prefixes, COMMON at most.
-    none = np.zeros(0, np.uint64)
+    none = np.zeros(0, np.int32)
     often = _shingled(docs, "prefix", width, similarity, none).select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
-    common = np.sort(np.array([r[0] for r in often.orderBy(F.desc("n"), "h").limit(COMMON).collect()], np.int64).view(np.uint64))
+    common = np.sort(np.array([r[0] for r in often.orderBy(F.desc("n"), "h").limit(COMMON).collect()], np.int32))
     marked = written(_shingled(docs, "docs", width, similarity, common), "docs")
-    classes = written(marked.where("n > 0").select(F.col("set_key").alias("id"), "row", "n", "fp", "prefix").dropDuplicates(["id"]), "sets")
-    members = written(shared(classes.select("id", "n", F.posexplode("prefix").alias("at", "bucket"))), "members")
+    classes = written(marked.where("n > 0").groupBy(F.col("set_key").alias("id")).agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("fp").alias("fp")), "classes")
+    own = marked.join(classes.select("row"), "row", "left_semi").dropDuplicates(["row"])
+    members = written(shared(own.select(F.col("set_key").alias("id"), "n", F.posexplode("prefix").alias("at", "bucket"))), "members")
     fps = classes.groupBy("fp").agg(F.min("id").alias("of"))
     u, v = fps.select(F.col("fp").alias("u"), F.col("of").alias("a")), fps.select(F.col("fp").alias("v"), F.col("of").alias("b"))
     near = links(written(fps, "fps"), distance).join(u, "u").join(v, "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -294,7 +298,4 @@ def keep_first_of_groups(docs: DataFrame, width: int = 5, distance: int = DISTAN
     """
     key = F.xxhash64("doc_id", "text")
     found = near_groups(docs.select(key.alias("row"), "doc_id", "text"), width, distance, similarity)
-    row, doc = fresh("row", docs.columns), fresh("doc", docs.columns)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("row").alias(row), F.col("doc_id").alias(doc))
-    kept = written(kept.distinct(), "kept")
-    return docs.join(kept, (key == kept[row]) & docs["doc_id"].eqNullSafe(kept[doc]), "left_semi")
+    return without_rows(docs, key, found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
