@@ -79,6 +79,16 @@ def test_bad_recordings_are_reported(spark):
     good, bad = framing.build_frames(df, split.assign_purposes(df))
     assert {r["recording"] for r in good.collect()} == {"r0"}
     assert [(r["recording"], r["reason"]) for r in bad.collect()] == [("r1", "too short")]
+    good, bad = framing.build_frames(df, split.assign_purposes(df).where("recording <> 'r0'"), sample_rate=16000)
+    assert good.count() == 0 and "mfcc" in good.columns
+    assert {(r["recording"], r["reason"]) for r in bad.collect()} == {("r0", "no purpose"), ("r1", "too short")}
+
+
+def test_all_channels_make_the_mean(spark):
+    rows = [("w", "three", 16000, 3, 2, [[1.0, 2.0], [2.0, 4.0], [6.0, 0.0]]), ("w", "none", 16000, 0, 0, [])]
+    df = spark.createDataFrame(rows, "word string, recording string, framerate int, nchannels int, nframes long, channels array<array<double>>")
+    got = {r["recording"]: r["samples"] for r in audio.standardize_audio(df).collect()}
+    assert got == {"three": [3.0, 2.0], "none": []}
 
 
 def test_purposes_by_share(spark):
@@ -275,7 +285,8 @@ def test_json_frames_round_trip(spark, tmp_path):
     rows = [("left", "s1", i, [1.0 * i], 16000, 1, 20.0, [0.5] * 13, i, 1) for i in range(3)]
     df = spark.createDataFrame(rows, "word string, recording string, frame_number int, raw_samples array<double>, sample_rate int, n_channels int, frame_duration_ms double, mfcc array<double>, parent_centroid_id int, generation int")
     tables.write_frames_json(df, str(tmp_path / "json"))
-    assert len(list((tmp_path / "json").rglob("*.json"))) == 1
+    back = tables.read_frames_json(spark, str(tmp_path / "json"))
+    assert sorted(map(tuple, back.select(*df.columns).collect())) == sorted(map(tuple, df.collect()))
     folder = tmp_path / "plain" / "left" / "s1"
     folder.mkdir(parents=True)
     (folder / "hmm_frames.json").write_text('[{"raw_samples":[1.5],"sample_rate":16000,"mfcc_vector":[0.25],"frame_number":0,"recording":"s1"}]')
@@ -283,6 +294,35 @@ def test_json_frames_round_trip(spark, tmp_path):
     assert len(got) == 1 and got[0]["word"] == "left" and got[0]["recording"] == "s1" and got[0]["mfcc"] == [0.25]
 
 
+def test_json_codebooks_round_trip(spark, tmp_path):
+    book = spark.createDataFrame([(1, [0.5, 2.0]), (0, [1.0, -1.0])], "id int, vec array<double>")
+    tables.write_codebook_json(book, str(tmp_path / "book"))
+    assert [tuple(r) for r in tables.read_codebook_json(spark, str(tmp_path / "book")).collect()] == [(0, [1.0, -1.0]), (1, [0.5, 2.0])]
+    past = spark.createDataFrame([(1, 1, [3.0]), (1, 0, [2.0]), (0, 0, [1.0])], "generation int, id int, vec array<double>")
+    tables.write_generations_json(past, str(tmp_path / "past"))
+    assert sorted(map(tuple, tables.read_generations_json(spark, str(tmp_path / "past")).collect())) == sorted(map(tuple, past.collect()))
+    (tmp_path / "own.json").write_text('[\n  {"mfcc": [1.5],\n "id": 4}\n]')
+    assert [tuple(r) for r in tables.read_codebook_json(spark, str(tmp_path / "own.json")).collect()] == [(4, [1.5])]
+
+
+def test_clips_keep_their_numbers_over_silence(spark, tmp_path):
+    """Recorder 1 stays idle until its gathered samples are let go; a chunk behind the watermark is dropped."""
+    from datetime import datetime, timedelta
+
+    from voxplan.streaming.recognise import assemble_clips
+
+    start, schema = datetime(2024, 1, 1), "recorder long, ts timestamp, seq long, samples array<double>"
+    parts = [[(1, 0, [1.0] * 20)], [(2, 100, [2.0] * 3)], [(2, 200, [2.0] * 3)], [(1, 201, [5.0] * 20), (1, 1, [9.0] * 99)], [(2, 202, [2.0])]]
+    for k, part in enumerate(parts):
+        rows = [(r, start + timedelta(minutes=m), k, x) for r, m, x in part]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "chunks"))
+    chunks = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "chunks"))
+    clips = assemble_clips(chunks, 16, idle="10 minutes", late="10 minutes")
+    clips.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start().awaitTermination()
+    got = {(r["recorder"], r["clip"]): r["samples"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {(1, 0): [1.0] * 16, (1, 1): [5.0] * 16}
+
+
 def test_words_as_tones_are_recognised(spark):
     """From signals to a report: ten words are ten tones."""
     rng = np.random.default_rng(8)
@@ -297,6 +337,7 @@ def test_words_as_tones_are_recognised(spark):
     book = vq.train_codebook(frames.where("purpose = 'train'"), k=16, max_iter=5)["codebook"].persist()
     models = hmm.train_hmms(vq.quantize(frames.where("purpose = 'hmm'"), book), 16, max_iter=2)[0]
     told = scoring.predict(scoring.score_all(vq.quantize(frames.where("purpose = 'test'"), book), models))
+    assert sorted(map(tuple, told.collect())) == sorted(map(tuple, scoring.predict_sequences(vq.quantize(frames.where("purpose = 'test'"), book), models).collect()))
     report = {r["label"]: r for r in scoring.classification_report(told).collect()}
     assert report["accuracy"]["support"] == 20 and report["accuracy"]["f1"] >= 0.9
 
@@ -308,8 +349,7 @@ def test_stream_gives_what_a_batch_gives(spark, sf_dir):
     from voxplan.streaming.recognise import recognise
 
     got = {tuple(r) for r in queries.st1_stream_recognize(spark, sf_dir).collect()}
-    own = fx.signals(spark, sf_dir).select("word", "recording", "samples")
-    frames = features.mfcc(framing.split_frames(signal.preprocess(own, "live", fx.FRAME, fx.HOP, fx.WINDOW, fx.WINDOW_HOP), fx.FRAME, fx.HOP), fx.RATE)
-    book = vq.codebook_array(queries._four(frames))
-    batch = recognise(own, book, hmm.initial_model(own, 4), fx.RATE, 5).select("word", "recording", "model_word", "rank", (F.round("loglik", 6) + 0.0).alias("loglik"))
+    own, book, models = queries._recogniser(spark, sf_dir)
+    batch = recognise(own, vq.codebook_array(book), models, fx.RATE, 5).select("word", "recording", "model_word", "rank", (F.round("loglik", 6) + 0.0).alias("loglik"))
+    assert len({r[4] for r in got if r[1] == min(x[1] for x in got)}) > 1
     assert got == {tuple(r) for r in batch.collect()}

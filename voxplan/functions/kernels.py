@@ -57,32 +57,49 @@ def lpc(frames: np.ndarray, order: int = 12) -> np.ndarray:
     return out
 
 
+def _root_angles(polynomials: np.ndarray) -> np.ndarray:
+    """Angles of the roots of polynomials (highest power first, its coefficient not 0), from stacked companion matrices."""
+    n = polynomials.shape[1] - 1
+    companion = np.zeros((len(polynomials), n, n))
+    companion[:, np.arange(1, n), np.arange(n - 1)] = 1
+    companion[:, 0] = -polynomials[:, 1:] / polynomials[:, :1]
+    return np.angle(np.linalg.eigvals(companion))
+
+
 def lpc_to_lsf(a: np.ndarray, order: int = 12) -> np.ndarray:
+    """Rows without a leading coefficient or with values that aren't finite have no frequencies: zeros."""
     out = np.zeros((len(a), order))
-    for i, row in enumerate(a):
-        longer = np.append(row, 0.0)
-        both = [longer + longer[::-1], longer - longer[::-1]]
-        angles = np.concatenate([np.angle(np.roots(x)) for x in both if np.any(x)])
-        angles = np.sort(angles[(angles > 1e-9) & (angles < np.pi - 1e-9)])[:order]
-        out[i, : len(angles)] = angles
+    good = np.flatnonzero(np.isfinite(a).all(axis=1) & (a[:, 0] != 0))
+    if not len(good):
+        return out
+    longer = np.pad(a[good], ((0, 0), (0, 1)))
+    angles = np.concatenate([_root_angles(longer + sign * longer[:, ::-1]) for sign in (1, -1)], axis=1)
+    angles = np.sort(np.where((angles > 1e-9) & (angles < np.pi - 1e-9), angles, np.inf), axis=1)[:, :order]
+    out[good, : angles.shape[1]] = np.where(np.isfinite(angles), angles, 0)
     return out
 
 
-def lsf_to_lpc(frequencies: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(frequencies), frequencies.shape[1] + 1))
-    for i, row in enumerate(frequencies):
-        total, difference = np.array([1.0]), np.array([1.0])
-        for k, w in enumerate(row):
-            factor = np.array([1.0, -2 * np.cos(w), 1.0])
-            total, difference = (np.convolve(total, factor), difference) if k % 2 == 0 else (total, np.convolve(difference, factor))
-        if len(row) % 2 == 0:
-            total, difference = np.convolve(total, [1.0, 1.0]), np.convolve(difference, [1.0, -1.0])
-        else:
-            difference = np.convolve(difference, [1.0, 0.0, -1.0])
-        out[i] = ((total + difference) / 2)[: len(row) + 1]
+def _times(polynomials: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """Products of polynomials and factors of three coefficients, row by row."""
+    out = np.pad(polynomials, ((0, 0), (0, 2)))
+    for k in (1, 2):
+        out[:, k : k + polynomials.shape[1]] += polynomials * factors[:, k : k + 1]
     return out
 
 
+def lsf_to_lpc(frequencies: np.ndarray) -> np.ndarray:
+    rows, order = frequencies.shape
+    both = [np.ones((rows, 1)), np.ones((rows, 1))]
+    for k in range(order):
+        both[k % 2] = _times(both[k % 2], np.column_stack([np.ones(rows), -2 * np.cos(frequencies[:, k]), np.ones(rows)]))
+    total, difference = both
+    if order % 2 == 0:
+        total, difference = (np.pad(x, ((0, 0), (0, 1))) + sign * np.pad(x, ((0, 0), (1, 0))) for x, sign in ((total, 1), (difference, -1)))
+    else:
+        difference = np.pad(difference, ((0, 0), (0, 2))) - np.pad(difference, ((0, 0), (2, 0)))
+    return ((total + difference) / 2)[:, : order + 1]
+
+
 def resample(x: np.ndarray, rate: int, target: int, half: int = 16) -> np.ndarray:
     """Windowed-sinc resampling; ceil(n target / rate) samples."""
     if rate == target or not len(x):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxplan.operators.features import mfcc
+
 
 def split_frames(df: DataFrame, frame: int = 320, hop: int = 160, min_tail: int = 13) -> DataFrame:
     """Rows' columns with frame_number and raw_samples in place of samples: full frames at 0, hop, ..., then the rest from the next hop on if it has min_tail samples."""
@@ -15,10 +17,15 @@ def split_frames(df: DataFrame, frame: int = 320, hop: int = 160, min_tail: int
     return rows.withColumn("raw_samples", F.slice("samples", F.col("frame_number") * hop + 1, F.lit(frame))).drop("samples")
 
 
-def build_frames(recordings: DataFrame, assignments: DataFrame, frame: int = 320, hop: int = 160, min_tail: int = 13) -> tuple[DataFrame, DataFrame]:
-    """(frames with purpose, recordings left out with the reason). The join is on names; which side is small is left to the optimizer."""
+def build_frames(recordings: DataFrame, assignments: DataFrame, frame: int = 320, hop: int = 160, min_tail: int = 13, sample_rate: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(frames with purpose, recordings left out with the reason); with mfcc if a sample rate is given.
+
+    Left out are recordings with a problem, too short ones, and those without an assignment. The join is on names; which
+    side is small is left to the optimizer.
+    """
     problem = F.col("problem") if "problem" in recordings.columns else F.lit(None).cast("string")
-    marked = recordings.withColumn("reason", F.coalesce(problem, F.when(F.size("samples") < min_tail, "too short")))
+    marked = recordings.join(assignments.select("word", "recording", "purpose"), ["word", "recording"], "left")
+    marked = marked.withColumn("reason", F.coalesce(problem, F.when(F.coalesce(F.size("samples"), F.lit(0)) < min_tail, "too short"), F.when(F.col("purpose").isNull(), "no purpose")))
     bad = marked.where("reason is not null").select("word", "recording", "reason")
-    good = marked.where("reason is null").drop("reason").join(assignments, ["word", "recording"])
-    return split_frames(good, frame, hop, min_tail), bad
+    frames = split_frames(marked.where("reason is null").drop("reason"), frame, hop, min_tail)
+    return frames if sample_rate is None else mfcc(frames, sample_rate), bad

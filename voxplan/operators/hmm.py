@@ -58,20 +58,28 @@ def _sequences(rows: pd.DataFrame, by: list[str]) -> Iterator[tuple[tuple, pd.Da
         yield key, part, np.stack(part["obs"].to_list()).astype(int)
 
 
-def forward_loglik(sequences: DataFrame, models: DataFrame) -> DataFrame:
-    """(word, recording, model_word, loglik) of every sequence under every model; models of one size are one tensor."""
+def forward_loglik(sequences: DataFrame, models: DataFrame, best: bool = False) -> DataFrame:
+    """(word, recording, model_word, loglik) of every sequence under every model, or only under its likeliest one (the
+    first by word of equally likely ones); models of one size are one tensor."""
     logs = log_arrays(models)
     sizes = {}
     for word in sorted(logs):
         sizes.setdefault(logs[word][1].shape, []).append(word)
     stacks = [(words, *(np.stack([logs[w][k] for w in words]) for k in range(3))) for words in sizes.values()]
+    names = np.array([w for words, *_ in stacks for w in words], object)
+    order = np.argsort(names, kind="stable")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for _, part, obs in _sequences(rows, []):
-                for words, a, b, pi in stacks:
-                    p = _lse(forward(obs, a, b, pi)[:, :, -1], 2)
-                    yield pd.DataFrame({"word": np.tile(part["word"], len(words)), "recording": np.tile(part["recording"], len(words)), "model_word": np.repeat(words, len(part)), "loglik": p.ravel()})
+                if not stacks:
+                    continue
+                p, said = np.concatenate([_lse(forward(obs, a, b, pi)[:, :, -1], 2) for _, a, b, pi in stacks])[order], names[order]
+                if best:
+                    at = p.argmax(axis=0)
+                    yield pd.DataFrame({"word": part["word"], "recording": part["recording"], "model_word": said[at], "loglik": p[at, np.arange(len(part))]})
+                else:
+                    yield pd.DataFrame({"word": np.tile(part["word"], len(said)), "recording": np.tile(part["recording"], len(said)), "model_word": np.repeat(said, len(part)), "loglik": p.ravel()})
 
     return sequences.select(*schema.KEY, "obs").mapInPandas(run, "word string, recording string, model_word string, loglik double")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxplan.sources.tables import shared_path
+
 #: All components within this of 0 count as zero.
 ZERO = 1e-8
 
@@ -68,22 +70,28 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     return every.join(F.broadcast(counts), "bin", "left").select("bin", (F.col("a") + F.col("bin") * width).alias("lo"), (F.col("a") + (F.col("bin") + 1) * width).alias("hi"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-def with_global_index(df: DataFrame, order: list[str], name: str = "i") -> DataFrame:
-    """df with its rows' numbers in the given order, from 0. Ranges are numbered on their own and shifted by the counts before them, one number for each range."""
+def _numbered(df: DataFrame, order: list[str], name: str) -> tuple[DataFrame, int]:
+    """(with_global_index(df, order, name), how many rows). The sorted ranges are written once to the shared folder."""
+    path = shared_path(df.sparkSession, "ranges")
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    ranged = ranged.withColumn("_m", F.monotonically_increasing_id()).persist()
-    sizes = dict(ranged.groupBy("_p").agg(F.count("*")).collect())
+    ranged.withColumn("_m", F.monotonically_increasing_id()).write.parquet(path)
+    ranged = df.sparkSession.read.parquet(path)
     base, at = {}, 0
-    for p in sorted(sizes):
-        base[p], at = at, at + sizes[p]
+    for p, n in sorted(ranged.groupBy("_p").agg(F.count("*")).collect()):  # a row for each range
+        base[p], at = at, at + n
     starts = F.create_map(*(F.lit(x) for kv in base.items() for x in kv)) if base else F.create_map().cast("map<int,int>")
-    return ranged.withColumn(name, F.element_at(starts, F.col("_p")).cast("long") + F.col("_m") - F.shiftleft(F.col("_p").cast("long"), 33)).drop("_p", "_m")
+    return ranged.withColumn(name, F.element_at(starts, F.col("_p")).cast("long") + F.col("_m") - F.shiftleft(F.col("_p").cast("long"), 33)).drop("_p", "_m"), at
+
+
+def with_global_index(df: DataFrame, order: list[str], name: str = "i") -> DataFrame:
+    """df with its rows' numbers in the given order, from 0. Ranges are numbered on their own and shifted by the counts before them, one number for each range."""
+    return _numbered(df, order, name)[0]
 
 
 def downsample(df: DataFrame, order: list[str], max_points: int = 1000) -> DataFrame:
     """Every max(1, n // max_points)-th row in order, with its number i."""
-    step = max(1, df.count() // max_points)
-    return with_global_index(df, order).where(F.col("i") % step == 0)
+    numbered, n = _numbered(df, order, "i")
+    return numbered.where(F.col("i") % max(1, n // max_points) == 0)
 
 
 def codebook_stats(codebook: DataFrame) -> DataFrame:

@@ -29,6 +29,12 @@ def predict(scores: DataFrame) -> DataFrame:
     return out.select("word", "recording", F.when(F.col("b.cost") == -NEVER, UNKNOWN).otherwise(F.col("b.model_word")).alias("predicted"), (-F.col("b.cost")).alias("loglik"))
 
 
+def predict_sequences(sequences: DataFrame, models: DataFrame) -> DataFrame:
+    """As predict(score_all(...)): the task that scores a recording has all models and picks the likeliest, so nothing is shuffled."""
+    best = forward_loglik(sequences, models, best=True)
+    return best.select("word", "recording", F.when(F.col("loglik") == NEVER, UNKNOWN).otherwise(F.col("model_word")).alias("predicted"), "loglik")
+
+
 def rank_models(scores: DataFrame) -> DataFrame:
     """scores with rank, from 1, by falling likelihood and then word."""
     order = W.partitionBy("word", "recording").orderBy(F.desc("loglik"), "model_word")

@@ -6,13 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from voxplan.operators.quality import with_global_index
+
 
 def assign_purposes(recordings: DataFrame, train: float = 0.3, hmm: float = 0.5) -> DataFrame:
     """(word, recording, purpose): of each word's n recordings in order of name the first floor(n train) train the codebook, the next floor(n hmm) the models, the rest tests. Works on names only."""
-    names = recordings.select("word", "recording").distinct()
-    rank, n = F.row_number().over(W.partitionBy("word").orderBy("recording")), F.count("*").over(W.partitionBy("word"))
+    names = with_global_index(recordings.select("word", "recording").distinct(), ["word", "recording"])
+    # A word with very many recordings is many ranges; its own numbers start with its least.
+    words = names.groupBy("word").agg(F.min("i").alias("_first"), F.count("*").alias("_n"))
+    rank, n = F.col("i") - F.col("_first") + 1, F.col("_n")
     a, b = F.floor(n * F.lit(train)), F.floor(n * F.lit(hmm))
-    return names.select("word", "recording", F.when(rank <= a, "train").when(rank <= a + b, "hmm").otherwise("test").alias("purpose"))
+    return names.join(words, "word").select("word", "recording", F.when(rank <= a, "train").when(rank <= a + b, "hmm").otherwise("test").alias("purpose"))
 
 
 def assignment_counts(rows: DataFrame) -> DataFrame:

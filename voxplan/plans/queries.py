@@ -283,8 +283,13 @@ def _scores(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.score_all(seqs, _trained(seqs))
 
 
+def _predictions(spark: SparkSession, sf: str) -> DataFrame:
+    seqs = fx.sequences(spark, sf)
+    return scoring.predict_sequences(seqs, _trained(seqs))
+
+
 def sc2_predict(spark: SparkSession, sf: str) -> DataFrame:
-    return scoring.predict(_scores(spark, sf)).select("word", "recording", "predicted", r6("loglik").alias("loglik"))
+    return _predictions(spark, sf).select("word", "recording", "predicted", r6("loglik").alias("loglik"))
 
 
 def sc3_rank_models(spark: SparkSession, sf: str) -> DataFrame:
@@ -297,7 +302,7 @@ def sc4_confusion_matrix(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sc5_classification_report(spark: SparkSession, sf: str) -> DataFrame:
-    out = scoring.classification_report(scoring.predict(_scores(spark, sf)))
+    out = scoring.classification_report(_predictions(spark, sf))
     return out.select("label", *(r6(c).alias(c) for c in ("precision", "recall", "f1")), "support")
 
 
@@ -333,10 +338,13 @@ def io5_codebook(spark: SparkSession, sf: str) -> DataFrame:
     frames = fx.frames64(spark, sf)
     path, past = tables.shared_path(spark, "codebook"), tables.shared_path(spark, "generations")
     tables.write_codebook(_four(frames), path)
+    array = tables.shared_path(spark, "codebook-json")
+    tables.write_codebook_json(tables.read_codebook(spark, path), array)
     first, second = vq.initial_centroid(frames), vq.split_codebook(vq.initial_centroid(frames))
     tables.write_generations(first.select(F.lit(0).alias("generation"), "*").union(second.select(F.lit(1).alias("generation"), "*")), past)
-    nested = tables.generations_nested(tables.read_generations(spark, past))
-    rows = tables.generations_flat(nested).union(tables.read_codebook(spark, path).select(F.lit(2).alias("generation"), "id", "vec"))
+    nested, arrays = tables.generations_nested(tables.read_generations(spark, past)), tables.shared_path(spark, "generations-json")
+    tables.write_generations_json(tables.generations_flat(nested), arrays)
+    rows = tables.read_generations_json(spark, arrays).select("generation", "id", "vec").union(tables.read_codebook_json(spark, array).select(F.lit(2).alias("generation"), "id", "vec"))
     return rows.select("generation", "id", F.posexplode("vec").alias("pos", "v")).select("generation", "id", "pos", r6("v").alias("v"))
 
 
@@ -350,17 +358,21 @@ def io6_models(spark: SparkSession, sf: str) -> DataFrame:
 # Streams
 
 
-def st1_stream_recognize(spark: SparkSession, sf: str) -> DataFrame:
-    clips = tables.shared_path(spark, "clips")
+def _recogniser(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(clips, codebook of four centroids, models trained on the clips' symbols)."""
     own = fx.signals(spark, sf).select("word", "recording", "samples")
+    heard = signal.preprocess(signal.drop_leading(own, 5), "live", FRAME, HOP, WINDOW, WINDOW_HOP)
+    frames = features.mfcc(framing.split_frames(heard, FRAME, HOP), fx.RATE)
+    book = _four(frames)
+    return own, book, hmm.train_hmms(vq.quantize(frames, vq.codebook_array(book)), 4, max_iter=2)[0]
+
+
+def st1_stream_recognize(spark: SparkSession, sf: str) -> DataFrame:
+    clips, out = tables.shared_path(spark, "clips"), tables.shared_path(spark, "recognised")
+    own, book, models = _recogniser(spark, sf)
     own.repartition(4, "recording").write.parquet(clips)
-    frames = features.mfcc(framing.split_frames(signal.preprocess(own, "live", FRAME, HOP, WINDOW, WINDOW_HOP), FRAME, HOP), fx.RATE)
-    book = vq.codebook_array(_four(frames))
-    models = hmm.initial_model(own, 4)
     stream = spark.readStream.schema("word string, recording string, samples array<double>").option("maxFilesPerTrigger", 1).parquet(clips)
-    out = tables.shared_path(spark, "recognised")
-    judge = lambda rows: streaming.recognise(rows, book, models, fx.RATE, 5)
-    streaming.stream_recognize(stream, spark.createDataFrame([(0, [0.0])], schema.CODEBOOK), models, out, tables.shared_path(spark, "progress"), judge).awaitTermination()
+    streaming.stream_recognize(stream, book, models, out, tables.shared_path(spark, "progress"), fx.RATE, 5).awaitTermination()
     return spark.read.parquet(out).select("word", "recording", "model_word", "rank", r6("loglik").alias("loglik"))
 
 
@@ -371,8 +383,8 @@ def st2_assemble_clips(spark: SparkSession, sf: str) -> DataFrame:
     cuts = rows.select(F.unix_micros("ts").alias("u")).approxQuantile("u", [0.25, 0.5, 0.75], 0.01)
     part = sum((F.unix_micros("ts") > F.lit(int(c))).cast("int") for c in cuts)
     for k in range(4):
-        rows.where(part == k).coalesce(1).write.mode("append").parquet(path)
-    chunks = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        rows.where(part == k).repartition(4, "recorder").write.mode("append").parquet(path)
+    chunks = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(path)
     clips = streaming.assemble_clips(chunks, 16, idle="3650 days", late="3650 days")
     clips.writeStream.format("parquet").option("path", out).option("checkpointLocation", tables.shared_path(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("recorder long, clip long, samples array<double>").parquet(out).select("recorder", "clip", F.size("samples").alias("n"), r6(_sum("samples")).alias("total"))

@@ -62,10 +62,11 @@ def read_wav_channels(spark: SparkSession, root: str) -> DataFrame:
 
 
 def standardize_audio(df: DataFrame, target: int = 16000) -> DataFrame:
-    """One channel (the mean) at the target rate: rows with channels become rows with samples and reasons, what was changed, comma-joined."""
+    """One channel (the mean of all) at the target rate: rows with channels become rows with samples and reasons, what was changed, comma-joined."""
     reasons = F.concat_ws(",", F.when(F.col("nchannels") != 1, "stereo"), F.when(F.col("framerate") != target, "framerate"))
     n = F.size("channels")
-    mono = F.when(n == 1, F.element_at("channels", 1)).when(n > 1, F.transform(F.arrays_zip(*(F.try_element_at("channels", F.lit(i)) for i in (1, 2))), lambda z: (z["0"] + z["1"]) / 2)).otherwise(F.array().cast("array<double>"))
+    added = F.aggregate(F.slice("channels", 2, F.greatest(n - 1, F.lit(0))), F.element_at("channels", 1), lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
+    mono = F.when(n > 0, F.transform(added, lambda x: x / n)).otherwise(F.array().cast("array<double>"))
     marked = df.withColumn("reasons", reasons).withColumn("samples", mono).drop("channels")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

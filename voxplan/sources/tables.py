@@ -5,15 +5,19 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxplan import schema
 
 
 def shared_path(spark: SparkSession, what: str) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir); a local one only where that is unset."""
-    top = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", "") or "file://" + tempfile.mkdtemp(prefix="voxplan-")
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir); a temporary one only where that is unset and all run on one machine."""
+    top = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", "")
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder: on a cluster, steps need one that driver and executors share")
+        top = "file://" + tempfile.mkdtemp(prefix="voxplan-")
     return f"{top.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
@@ -26,9 +30,10 @@ def read_processed(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def write_frames(df: DataFrame, path: str) -> None:
-    """Frames, one folder for each purpose and word; reading one purpose reads its folders only."""
-    df.repartition("purpose", "word").write.mode("overwrite").partitionBy("purpose", "word").parquet(path)
+def write_frames(df: DataFrame, path: str, files: int = 8) -> None:
+    """Frames, one folder for each purpose and word with up to so many files; reading one purpose reads its folders only."""
+    salt = F.pmod(F.xxhash64("recording"), F.lit(files))
+    df.repartition("purpose", "word", salt).write.mode("overwrite").partitionBy("purpose", "word").parquet(path)
 
 
 def read_frames(spark: SparkSession, path: str, purpose: str | None = None, word: str | None = None, recording: str | None = None) -> DataFrame:
@@ -39,17 +44,18 @@ def read_frames(spark: SparkSession, path: str, purpose: str | None = None, word
     return out
 
 
-def read_frames_json(spark: SparkSession, path: str, file_name: str = "*.json") -> DataFrame:
-    """Frames of JSON arrays in <path>/<word>/<recording>/<file>; word and recording come from the folders, stored features are taken as they are."""
+def read_frames_json(spark: SparkSession, path: str, file_name: str = "*.{json,txt}") -> DataFrame:
+    """Frames of JSON arrays in <path>/<word>/<recording>/<file>; word and recording come from the folders (whose names may be name=value), stored features are taken as they are."""
     rows = spark.read.schema(schema.FRAME_JSON).option("multiLine", True).option("pathGlobFilter", file_name).option("recursiveFileLookup", "true").json(path)
-    at = F.col("_metadata.file_path")
-    return rows.select(F.regexp_extract(at, r"([^/]+)/[^/]+/[^/]+$", 1).alias("word"), F.regexp_extract(at, r"([^/]+)/[^/]+$", 1).alias("recording"), "frame_number", "raw_samples", "sample_rate", "n_channels", "frame_duration_ms", F.col("mfcc_vector").alias("mfcc"), "parent_centroid_id", "generation")
+    folder = lambda up: F.regexp_extract(F.col("_metadata.file_path"), "(?:[^/=]*=)?([^/]+)" + "/[^/]+" * up + "$", 1)
+    return rows.select(folder(2).alias("word"), folder(1).alias("recording"), "frame_number", "raw_samples", "sample_rate", "n_channels", "frame_duration_ms", F.col("mfcc_vector").alias("mfcc"), "parent_centroid_id", "generation")
 
 
 def write_frames_json(df: DataFrame, path: str) -> None:
-    """One object for each line below <path>/word=<word>/recording=<recording>/."""
-    named = df.select("word", F.col("recording").alias("recording_name"), "raw_samples", "sample_rate", "n_channels", "frame_duration_ms", F.col("mfcc").alias("mfcc_vector"), "parent_centroid_id", "generation", "frame_number", "recording")
-    named.repartition("word", "recording_name").write.mode("overwrite").partitionBy("word", "recording_name").json(path)
+    """The frames of a recording, by number, as one JSON array in <path>/word=<word>/recording_name=<recording>/; read_frames_json reads it back."""
+    one = F.struct("frame_number", "raw_samples", "sample_rate", "n_channels", "frame_duration_ms", F.col("mfcc").alias("mfcc_vector"), "parent_centroid_id", "generation", "recording")
+    rows = df.groupBy("word", F.col("recording").alias("recording_name")).agg(F.to_json(F.array_sort(F.collect_list(one))).alias("value"))
+    rows.write.mode("overwrite").partitionBy("word", "recording_name").text(path)
 
 
 def write_codebook(df: DataFrame, path: str) -> None:
@@ -77,6 +83,37 @@ def generations_flat(df: DataFrame) -> DataFrame:
     return df.select("generation", F.explode("codebook").alias("c")).select("generation", "c.id", "c.vec")
 
 
+_CENTROIDS = "array<struct<mfcc:array<double>,id:int>>"
+
+
+def _centroids() -> Column:
+    """A codebook (some hundred rows at most) as an array by id."""
+    by_id = F.array_sort(F.collect_list(F.struct("id", F.col("vec").alias("mfcc"))))
+    return F.transform(by_id, lambda c: F.struct(c["mfcc"].alias("mfcc"), c["id"].alias("id")))
+
+
+def write_codebook_json(df: DataFrame, path: str) -> None:
+    """One JSON array of objects (mfcc, id), by id."""
+    df.agg(F.to_json(_centroids()).alias("value")).write.mode("overwrite").text(path)
+
+
+def read_codebook_json(spark: SparkSession, path: str) -> DataFrame:
+    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", _CENTROIDS)).alias("c"))
+    return rows.select("c.id", F.col("c.mfcc").alias("vec"))
+
+
+def write_generations_json(df: DataFrame, path: str) -> None:
+    """One JSON array with an array of objects (mfcc, id) for each generation, in order; generations are numbered from 0 without gaps."""
+    each = df.groupBy("generation").agg(_centroids().alias("g"))
+    rows = each.agg(F.transform(F.array_sort(F.collect_list(F.struct("generation", "g"))), lambda x: x["g"]).alias("gs"))
+    rows.select(F.to_json("gs").alias("value")).write.mode("overwrite").text(path)
+
+
+def read_generations_json(spark: SparkSession, path: str) -> DataFrame:
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", f"array<{_CENTROIDS}>")).alias("generation", "g"))
+    return rows.select("generation", F.explode("g").alias("c")).select("generation", "c.id", F.col("c.mfcc").alias("vec"))
+
+
 def write_models(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -23,28 +23,32 @@ def recognise(clips: DataFrame, codebook: DataFrame, models: DataFrame, sample_r
     return rank_models(score_all(quantize(mfcc(framing.split_frames(ready, frame, hop), sample_rate), codebook), models))
 
 
-def stream_recognize(clips: DataFrame, codebook: DataFrame, models: DataFrame, out: str, checkpoint: str, judge: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
-    """Starts recognising a stream of clips into Parquet below `out`; each micro-batch has a folder of its own and overwrites it when it is repeated, so results come once."""
+def stream_recognize(clips: DataFrame, codebook: DataFrame, models: DataFrame, out: str, checkpoint: str, sample_rate: int = 16000, skip: int = 500, mode: str = "live", trigger: dict | None = None) -> StreamingQuery:
+    """Starts recognising a stream of clips into Parquet below `out`; each micro-batch has a folder of its own and overwrites it when it is repeated, so results come once.
+
+    trigger: the arguments of DataStreamWriter.trigger, such as {"processingTime": "2 seconds"} for a live stream; by
+    default what is there is recognised and the stream ends.
+    """
     book = codebook_array(codebook)
     kept = models.persist()
-    ranked = judge or (lambda rows: recognise(rows, book, kept))
 
     def write(rows: DataFrame, batch: int) -> None:
-        ranked(rows).write.mode("overwrite").parquet(f"{out}/batch={batch}")
+        recognise(rows, book, kept, sample_rate, skip, mode).write.mode("overwrite").parquet(f"{out}/batch={batch}")
 
-    return clips.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return clips.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def assemble_clips(chunks: DataFrame, clip_samples: int = 32000, idle: str = "10 minutes", late: str = "10 minutes") -> DataFrame:
     """(recorder, clip, samples): a clip for each clip_samples of a recorder's chunks (recorder, ts, seq, samples), in order of ts and seq within a batch.
 
-    Chunks later than the watermark are dropped, and what a recorder has gathered is let go when it stays idle.
+    Chunks later than the watermark are dropped, and what a recorder has gathered is let go when it stays idle; its next
+    clip's number stays, so (recorder, clip) never repeats.
     """
     idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def gather(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
-            state.remove()
+            state.update(([], state.get[1]))
             return
         have, clip = state.get if state.exists else ([], 0)
         have, last = list(have), 0
