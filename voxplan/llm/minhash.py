@@ -94,16 +94,16 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     return member.join(roots, "class_id", "left").select("doc_id", "class_id", F.coalesce("component_id", "class_id").alias("component_id"))
 
 
-def with_next(docs: DataFrame, rows_each: int = 2000) -> DataFrame:
+def with_next(docs: DataFrame, rows_each: int = 2000, most: int = 10_000) -> DataFrame:
     """Rows (doc_id, text) with the next document's, in descending doc_id and from the last on to the first again.
 
-    Documents are cut into ranges of about rows_each by quantiles of doc_id. The first document of a range is also sent
+    Documents are cut into ranges of about rows_each, or `most` longer ranges, by quantiles of doc_id. The first document of a range is also sent
     to the range before, so one shuffle brings every document together with its next, and ranges are read as streams.
-    What reaches the driver is one doc_id for each range. Rows of equal doc_id follow each other by text; a null
+    What reaches the driver and every task is one doc_id for each range, so `most` bounds it. Rows of equal doc_id follow each other by text; a null
     doc_id comes last.
     """
     spark, count = docs.sparkSession, docs.count()
-    n = max(1, -(-count // rows_each))
+    n = max(1, min(most, -(-count // rows_each)))
     cuts = sorted({int(x) for x in docs.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.1 / n)}, reverse=True) if n > 1 else []
     cut = spark.sparkContext.broadcast(np.array(cuts[::-1], np.int64))
 

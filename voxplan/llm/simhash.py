@@ -9,8 +9,9 @@ Per anchor, the fingerprints at home there are compared with those replicated to
 
 Exact copies share a fingerprint and are one row from the start. An anchor's two lists are dealt to a grid of cells of at
 most CELL x CELL expected comparisons, so a hot anchor is many bounded cells, and a cell returns a spanning forest of its
-links rather than all of them. Longer blocks give fewer replicas and more comparisons: the length is a parameter, results
-do not depend on it.
+links rather than all of them. Longer blocks give fewer replicas and more comparisons: by default the length is chosen from
+the number of fingerprints, results do not depend on it. With the shortest block comparisons still grow with the square of
+the number of different fingerprints, by 2^-14.
 """
 
 from __future__ import annotations
@@ -32,7 +33,9 @@ from .jaccard import bucket_roots, prefix_sizes, shared
 
 DISTANCE = 4
 WIDTH = 4
-BLOCK = 7
+#: Lengths of blocks to choose from, and the cost of a replica in comparisons.
+BLOCKS = (5, 7, 9, 11)
+REPLICA = 100
 #: Jaccard likeness of near duplicates where no number of bits is asked for.
 SIMILARITY = 0.8
 #: Shingles of so many prefixes are common; so many of them at most come last.
@@ -106,6 +109,13 @@ def anchors(fps: np.ndarray, distance: int, length: int) -> tuple[np.ndarray, np
     return home, index, home[index] ^ mask[which]
 
 
+def block_for(n: int, distance: int = DISTANCE) -> int:
+    """The length of blocks that costs least for n fingerprints, taken as random ones."""
+    some = np.random.default_rng(1).integers(0, 1 << 63, 512, dtype=np.uint64) * np.uint64(2)
+    cost = lambda b: len(anchors(some, distance, b)[1]) * (REPLICA + n / (1 << len(_blocks(b))))
+    return min(BLOCKS, key=cost)
+
+
 def _forest(a: np.ndarray, b: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges (node, root) that connect what links between a and b connect."""
     nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -129,8 +139,9 @@ def _forest(a: np.ndarray, b: np.ndarray, distance: int) -> tuple[np.ndarray, np
     return nodes[linked], nodes[root[linked]]
 
 
-def links(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
-    """Edges (u, v) that connect the distinct fingerprints `fp` exactly as all links of `distance` bits or fewer do."""
+def links(fps: DataFrame, distance: int = DISTANCE, block: int | None = None) -> DataFrame:
+    """Edges (u, v) that connect the distinct fingerprints `fp` exactly as all links of `distance` bits or fewer do; block: the blocks' length, by default block_for()."""
+    block = block or block_for(fps.count(), distance)
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         held, n = [], 0
@@ -201,7 +212,7 @@ def links(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataF
     return dealt.mapInArrow(compare, "u long, v long")
 
 
-def groups(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
+def groups(fps: DataFrame, distance: int = DISTANCE, block: int | None = None) -> DataFrame:
     """(fp, component_id) for rows (doc_id, fp): the least doc_id that is reachable by links, itself included; one row for each distinct fp."""
     classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "fps")
     roots = components(links(classes, distance, block)).select(F.col("node").alias("fp"), "root")
