@@ -29,7 +29,8 @@ from pyspark.sql import types as T
 
 from .common import LOWER, bounded_batches, fresh, mix, prefix_hash, range_hash, read_table, shingles, text_slices, without_rows, words, written
 from .graph import components
-from .jaccard import bucket_roots, prefix_sizes, shared
+from .jaccard import bucket_roots, shared
+from .minhash import signatures
 
 DISTANCE = 4
 WIDTH = 4
@@ -38,9 +39,9 @@ BLOCKS = (5, 7, 9, 11)
 REPLICA = 100
 #: Jaccard likeness of near duplicates where no number of bits is asked for.
 SIMILARITY = 0.8
-#: Shingles of so many prefixes are common; so many of them at most come last.
-OFTEN = 8
-COMMON = 100_000
+#: Bands of the signatures (of six values each), and rounds in which a bucket's members meet one of them.
+BANDS = 21
+HEADS = 3
 CELL = 4096
 _FLUSH = 1 << 15
 
@@ -227,13 +228,20 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(groups(docs), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _shingled(docs: DataFrame, what: str, width: int, similarity: float, common: np.ndarray) -> DataFrame:
-    """Of docs (row, doc_id, text) with their distinct shingles in order of hash, the sorted `common` ones last:
+def _bands(sets: list[np.ndarray], size: np.ndarray) -> pa.ListArray:
+    """Hashes of the BANDS bands of each set's MinHash signature; empty sets have none."""
+    made = signatures(np.concatenate([*sets, np.zeros(0, np.uint64)]) >> np.uint64(32), np.concatenate([[0], np.cumsum(size)])).astype(np.uint64)
+    rows = made.shape[1] // BANDS
+    h = np.tile(np.arange(BANDS, dtype=np.uint64), (len(sets), 1))
+    for k in range(rows):
+        h = mix(h * np.uint64(31) + made[:, k : rows * BANDS : rows])
+    some = np.where(size > 0, BANDS, 0)
+    return _lists(list(h[size > 0]), some)
 
-    "prefix": (prefix), the part that a like set shares; "sets": (row, shingles); "docs": (row, doc_id, set_key, n, fp, prefix).
-    """
+
+def _shingled(docs: DataFrame, what: str, width: int) -> DataFrame:
+    """Of docs (row, doc_id, text) with their distinct shingles: "sets": (row, shingles); "docs": (row, doc_id, set_key, n, fp, bands)."""
     bounded_batches(docs.sparkSession)
-    last = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, raw, offsets in text_slices(batches):
@@ -246,44 +254,30 @@ def _shingled(docs: DataFrame, what: str, width: int, similarity: float, common:
             if what == "sets":
                 yield pa.RecordBatch.from_arrays([row, _lists(sets, size)], ["row", "shingles"])
                 continue
-            some, flat = prefix_sizes(size, similarity), np.concatenate(sets)
-            top = (flat >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            late = np.append(last.value, np.int32(0))[np.searchsorted(last.value, top)] == top if len(last.value) else np.zeros(len(flat), bool)
-            of, to = np.repeat(np.arange(len(sets)), size), np.cumsum(size)
-            flat = flat[np.lexsort((late, of))]
-            # The upper half of a hash deals as well as the whole.
-            prefix = _lists([flat[e - k : e - k + n] for e, k, n in zip(to.tolist(), size.tolist(), some.tolist())], some, np.uint64(32))
-            if what == "prefix":
-                yield pa.RecordBatch.from_arrays([prefix], ["prefix"])
-                continue
             keys = [int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8).digest(), signed=True) for x in sets]
-            made = [pa.array(keys, pa.int64()), pa.array(size.astype(np.int32)), pa.array(simhash(raw, offsets, width).view(np.int64)), prefix]
-            yield pa.RecordBatch.from_arrays([row, rows.column(rows.schema.get_field_index("doc_id")), *made], ["row", "doc_id", "set_key", "n", "fp", "prefix"])
+            made = [pa.array(keys, pa.int64()), pa.array(size.astype(np.int32)), pa.array(simhash(raw, offsets, width).view(np.int64)), _bands(sets, size)]
+            yield pa.RecordBatch.from_arrays([row, rows.column(rows.schema.get_field_index("doc_id")), *made], ["row", "doc_id", "set_key", "n", "fp", "bands"])
 
-    return docs.mapInArrow(run, {"sets": "row long, shingles array<long>", "prefix": "prefix array<int>", "docs": "row long, doc_id long, set_key long, n int, fp long, prefix array<int>"}[what])
+    return docs.mapInArrow(run, {"sets": "row long, shingles array<long>", "docs": "row long, doc_id long, set_key long, n int, fp long, bands array<long>"}[what])
 
 
-def _lists(values: list[np.ndarray], sizes: np.ndarray, shift: np.uint64 | None = None) -> pa.ListArray:
-    flat = np.concatenate([*values, np.zeros(0, np.uint64)])
-    flat = flat.view(np.int64) if shift is None else (flat >> shift).astype(np.uint32).view(np.int32)
+def _lists(values: list[np.ndarray], sizes: np.ndarray) -> pa.ListArray:
+    flat = np.concatenate([*values, np.zeros(0, np.uint64)]).view(np.int64)
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
 
 
 def near_groups(docs: DataFrame, width: int = 5, distance: int = DISTANCE, similarity: float = SIMILARITY) -> DataFrame:
-    """(row, doc_id, component_id) for docs (row, doc_id, text): the least doc_id reachable by links of that exact Jaccard likeness of the texts' shingle sets.
+    """(row, doc_id, component_id) for docs (row, doc_id, text): the least doc_id reachable by links of that Jaccard likeness of the texts' shingle sets.
 
     Equal sets are one from the start (texts without words have the empty set). Candidates are fingerprints within
-    `distance` bits, which connects the very near ones at little cost, and sets that share a shingle of their prefixes,
-    which leaves out no pair; every link is verified by the sets.
+    `distance` bits, from the anchors, and then sets that share a band of their MinHash signatures: in HEADS rounds the
+    members of a bucket meet one of them. Every link is verified by the sets, so none is wrong; a pair of likeness 0.8 shares
+    a band with odds of 0.998, and may stay apart if neither it nor a chain of links meets a head.
     """
-    # Which ones come last decides the cost, not the result: the most common of the prefixes, COMMON at most.
-    none = np.zeros(0, np.int32)
-    often = _shingled(docs, "prefix", width, similarity, none).select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
-    common = np.sort(np.array([r[0] for r in often.orderBy(F.desc("n"), "h").limit(COMMON).collect()], np.int32))
-    marked = written(_shingled(docs, "docs", width, similarity, common), "docs")
+    marked = written(_shingled(docs, "docs", width), "docs")
     classes = written(marked.where("n > 0").groupBy(F.col("set_key").alias("id")).agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("fp").alias("fp")), "classes")
-    own = marked.join(classes.select("row"), "row", "left_semi").dropDuplicates(["row"])
-    members = written(shared(own.select(F.col("set_key").alias("id"), "n", F.posexplode("prefix").alias("at", "bucket"))), "members")
+    own = marked.where("n > 0").groupBy(F.col("set_key").alias("id")).agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
+    members = written(shared(own.select("id", "n", F.lit(0).alias("at"), F.explode("bands").alias("bucket"))), "members")
     fps = classes.groupBy("fp").agg(F.min("id").alias("of"))
     u, v = fps.select(F.col("fp").alias("u"), F.col("of").alias("a")), fps.select(F.col("fp").alias("v"), F.col("of").alias("b"))
     near = links(written(fps, "fps"), distance).join(u, "u").join(v, "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -293,9 +287,9 @@ def near_groups(docs: DataFrame, width: int = 5, distance: int = DISTANCE, simil
         # Read and shingled again for each call, but for these texts only: cheaper than to keep the sets of all.
         rows = classes.select("id", "row").join(F.broadcast(ids) if few else ids, "id")
         texts = docs.join(F.broadcast(rows) if few else rows, "row").select(F.col("id").alias("row"), "doc_id", "text")
-        return _shingled(texts, "sets", width, similarity, none).select(F.col("row").alias("id"), "shingles").dropDuplicates(["id"])
+        return _shingled(texts, "sets", width).select(F.col("row").alias("id"), "shingles").dropDuplicates(["id"])
 
-    rooted = classes.select("id").join(bucket_roots(members, sets, similarity, near), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+    rooted = classes.select("id").join(bucket_roots(members, sets, similarity, near, HEADS, rest=False), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
     least = marked.groupBy(F.col("set_key").alias("id")).agg(F.min("doc_id").alias("least")).join(rooted, "id", "left").withColumn("root", F.coalesce("root", "id"))
     component = least.groupBy("root").agg(F.min("least").alias("component_id"))
     of = least.join(component, "root").select(F.col("id").alias("set_key"), "component_id")
