@@ -314,7 +314,7 @@ def plain_tree(counts, depth, path, bits):
             own = kt(pair(context))
             if len(context) == depth:
                 return own
-            below = sum(weighted((*context, c)) for c in range(32) if any(ctx[: len(context) + 1] == (*context, c) for ctx, _ in counts))
+            below = sum(weighted((*context, c)) for c in {ctx[len(context)] for ctx, _ in counts if ctx[: len(context)] == context})
             return np.logaddexp(own, below) - np.log(2)
 
         def chance(context):
@@ -322,7 +322,7 @@ def plain_tree(counts, depth, path, bits):
             own = (n[1] + 0.5) / (sum(n) + 1)
             if len(context) == depth:
                 return own
-            below = sum(weighted((*context, c)) for c in range(32) if any(ctx[: len(context) + 1] == (*context, c) for ctx, _ in counts))
+            below = sum(weighted((*context, c)) for c in {ctx[len(context)] for ctx, _ in counts if ctx[: len(context)] == context})
             w = np.exp(kt(n) - np.logaddexp(kt(n), below))
             return w * own + (1 - w) * chance(path[: len(context) + 1])
 
@@ -331,19 +331,55 @@ def plain_tree(counts, depth, path, bits):
     return total
 
 
-def test_weighted_tables_by_definition():
-    rng = np.random.default_rng(6)
+@pytest.mark.parametrize("depth, split, grams", [(1, 3, 21), (2, 1, 21), (3, 2, 2), (3, 3, 2)])
+def test_context_trees_by_definition(spark, monkeypatch, depth, split, grams):
+    """Parts and the depths above them, grams that every task has and grams that are joined, against the definition."""
+    monkeypatch.setattr(scoring, "SPLIT", split)
+    monkeypatch.setattr(scoring, "GRAMS", grams)
+    monkeypatch.setattr(scoring, "_PART", 5)
+    texts = {1: "abab abba", 2: "abab", 3: "", 4: None, 5: "a\u00e4b", 6: "abab abba", 7: "xyz ab", 8: "ab\u0000ab"}
+    held = {i for i in texts if zlib.crc32(str(i).encode()) % 7 == 2}
+    assert held and len(held) < len(texts)
+
+    def grams_of(text):
+        raw = [0] * depth + list((text or "").encode()) + [255]
+        return [(tuple(raw[k - 1 - d] for d in range(depth)), raw[k]) for k in range(depth, len(raw))]
+
     counts = {}
-    for _ in range(30):
-        counts[tuple(int(x) for x in rng.integers(0, 3, 2)), int(rng.choice([97, 98, 255]))] = int(rng.integers(1, 20))
-    table = np.zeros((1 << 10, 256), np.int64)
-    for (ctx, byte), n in counts.items():
-        table[ctx[0] | ctx[1] << 5, byte] = n
-    made = scoring.weighted_tables(table)
-    for ctx in ((0, 0), (1, 2), (2, 1), (7, 7), (1, 9)):
-        for byte in (97, 98, 255, 0):
-            assert made[ctx[0] | ctx[1] << 5, byte] == pytest.approx(plain_tree(counts, 2, ctx, byte), abs=1e-4)
-    assert np.allclose((10.0**made).sum(axis=1), 1, atol=1e-5)
+    for i, t in texts.items():
+        for g in grams_of(t) if i not in held else []:
+            counts[g] = counts.get(g, 0) + 1
+    cost = {g: plain_tree(counts, depth, *g) for t in texts.values() for g in grams_of(t)}
+    out = {r["doc_id"]: r["score"] for r in scoring.score(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(2), depth).collect()}
+    for i, t in texts.items():
+        assert out[i] == pytest.approx(sum(cost[g] for g in grams_of(t)), abs=1e-4)
+
+
+def test_bytes_of_a_context_sum_to_one():
+    rng = np.random.default_rng(6)
+    context = rng.integers(0, 3, (20, 3))
+    code = np.unique((context[:, 0] << 24 | context[:, 1] << 16 | context[:, 2] << 8)[:, None] | np.arange(256))
+    n = np.where(rng.random(len(code)) < 0.02, rng.integers(1, 10**6, len(code)), 0)
+    chances, (node, *top) = scoring.mix_parts(code, n, 3, 2)
+    order = np.argsort(node)
+    shares, rest = scoring.mix_top(node[order], *(x[order] for x in top), 2)
+    p = np.ones(len(code))
+    for level in range(8):
+        at = np.searchsorted(node[order], scoring._at_depth(code, 2, level))
+        p *= shares[code >> (7 - level) & 1, at] + rest[at] * chances[:, level]
+    assert np.allclose(p.reshape(-1, 256).sum(axis=1), 1, atol=1e-5)
+
+
+def test_repeated_documents_score_above_others(spark):
+    """A model of the whole corpus tells a text that it has seen from one of the same words that it has not."""
+    rng = np.random.default_rng(11)
+    vocabulary = ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(300)]
+    rows = [(i, " ".join(rng.choice(vocabulary, 60))) for i in range(200)]
+    seen = next(t for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2)
+    fresh = [i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    rows += [(fresh[0], seen), (fresh[1], " ".join(rng.choice(vocabulary, 60)))]
+    out = {r["doc_id"]: r for r in scoring.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[fresh[0]]["held_out"] and out[fresh[0]]["score"] / out[fresh[0]]["n_bytes"] > out[fresh[1]]["score"] / out[fresh[1]]["n_bytes"]
 
 
 def test_token_scores(docs, none, monkeypatch):
