@@ -337,6 +337,7 @@ def test_context_trees_by_definition(spark, monkeypatch, depth, split, grams):
     monkeypatch.setattr(scoring, "SPLIT", split)
     monkeypatch.setattr(scoring, "GRAMS", grams)
     monkeypatch.setattr(scoring, "_PART", 5)
+    monkeypatch.setattr(scoring, "_PIECE", 7)
     texts = {1: "abab abba", 2: "abab", 3: "", 4: None, 5: "a\u00e4b", 6: "abab abba", 7: "xyz ab", 8: "ab\u0000ab"}
     held = {i for i in texts if zlib.crc32(str(i).encode()) % 7 == 2}
     assert held and len(held) < len(texts)

@@ -35,23 +35,29 @@ END_BYTE = 0xFF
 END_TOKEN = -1
 _COMMON = 20
 _TOKEN, _BYTE = 0, 1
-#: Grams that a task mixes, on average.
-_PART = 1 << 18
+#: Grams that a task mixes, on average; grams of texts that one vectorised step looks at.
+_PART, _PIECE = 1 << 17, 1 << 19
 
 
-def gram_codes(raw: np.ndarray, offsets: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
-    """(code, first): for every byte of the texts and their end bytes, the context (latest byte highest) times 256 plus the byte."""
-    size = np.diff(offsets)
-    n = len(size)
-    out = np.zeros(len(raw) + n * (depth + 1), np.int64)
-    at = offsets[:-1] + np.arange(n) * (depth + 1) + depth
-    out[np.arange(len(raw)) + np.repeat(at - offsets[:-1], size)] = raw
-    out[at + size] = END_BYTE
-    here = np.arange(len(raw) + n) + np.repeat(at - offsets[:-1] - np.arange(n), size + 1)
-    code = out[here]
-    for d in range(depth):
-        code |= out[here - d - 1] << (8 * (depth - d))
-    return code, offsets + np.arange(n + 1)
+def gram_pieces(raw: np.ndarray, offsets: np.ndarray, depth: int = DEPTH) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(code, text) for every byte of the texts and their end bytes, in pieces, as one text may be very long.
+
+    The code is the context (latest byte highest) times 256 plus the byte.
+    """
+    ends = offsets[1:] + np.arange(1, len(offsets))
+    out = np.zeros(len(raw) + (len(offsets) - 1) * (depth + 1), np.uint8)
+    for start, stop, at in zip(offsets[:-1].tolist(), offsets[1:].tolist(), ((offsets[:-1] + np.arange(len(ends)) * (depth + 1)) + depth).tolist()):
+        out[at : at + stop - start] = raw[start:stop]
+        out[at + stop - start] = END_BYTE
+    for k in range(0, len(raw) + len(ends), _PIECE):
+        gram = np.arange(k, min(k + _PIECE, len(raw) + len(ends)))
+        text = np.searchsorted(ends, gram, "right")
+        here = gram + depth * (text + 1)
+        code = out[here].astype(np.int64)
+        for d in range(depth):
+            here -= 1
+            code |= out[here].astype(np.int64) << (8 * (depth - d))
+        yield code, text
 
 
 def _runs(values: np.ndarray) -> np.ndarray:
@@ -115,10 +121,10 @@ def corpus_counts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
 
         for rows, raw, offsets in text_slices(batches):
             held = rows.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
-            code, at = gram_codes(raw, offsets, depth)
-            codes.append(code << 1 | np.repeat(held, np.diff(at)))
-            if sum(map(len, codes)) > 1 << 22:
-                yield from add_grams()
+            for code, text in gram_pieces(raw, offsets, depth):
+                codes.append(code << 1 | held[text])
+                if sum(map(len, codes)) > 1 << 22:
+                    yield from add_grams()
             keep = held == 0
             if not keep.any():
                 continue
@@ -298,18 +304,22 @@ def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
             grams, cost = np.array([-1]), np.array([0], np.float32)
         for rows, raw, offsets in text_slices(batches):
             n_rows = len(offsets) - 1
-            code, at = gram_codes(raw, offsets, depth)
-            met = code.view(np.uint64) << np.uint64(16) | np.repeat(np.arange(n_rows, dtype=np.uint64), np.diff(at))
-            met.sort()
-            first = _runs(met)  # of a gram in a text
-            times = np.diff(np.append(first, len(met)))
-            met = met[first]
-            code, text = (met >> np.uint64(16)).view(np.int64), (met & np.uint64(0xFFFF)).astype(np.int64)
-            new = _runs(code)
-            place = np.minimum(np.searchsorted(grams, code[new]), len(grams) - 1)
-            which = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(code))))
-            there = (grams[place] == code[new])[which]
-            text_score = np.bincount(text, np.where(there, cost[place][which] * times, 0.0), n_rows)
+            text_score, missing = np.zeros(n_rows), [np.zeros((3, 0), np.int64)]
+            for code, text in gram_pieces(raw, offsets, depth):
+                met = code.view(np.uint64) << np.uint64(16) | text.view(np.uint64)
+                met.sort()
+                first = _runs(met)  # of a gram in a text
+                times = np.diff(np.append(first, len(met)))
+                met = met[first]
+                code, text = (met >> np.uint64(16)).view(np.int64), (met & np.uint64(0xFFFF)).view(np.int64)
+                new = _runs(code)
+                place = np.minimum(np.searchsorted(grams, code[new]), len(grams) - 1)
+                found = grams[place] == code[new]
+                each_text = np.diff(np.append(new, len(code)))
+                text_score += np.bincount(text, np.repeat(np.where(found, cost[place], 0), each_text) * times, n_rows)
+                gone = ~np.repeat(found, each_text)
+                missing.append(np.stack([text[gone], code[gone], times[gone]]))
+            gone_text, gone_code, gone_times = np.concatenate(missing, axis=1)
             hashes, first = token_hashes(raw, offsets)
             n = np.diff(first) + 1
             token, which = np.unique(hashes, return_inverse=True)
@@ -320,10 +330,10 @@ def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
             doc = np.repeat(np.arange(len(n)), n - 1)
             rare = ~hit[which]
             pair, seen = np.unique(doc[rare] * len(token) + which[rare], return_counts=True)
-            of = np.concatenate([pair // max(1, len(token)), text[~there]])
+            of = np.concatenate([pair // max(1, len(token)), gone_text])
             order = np.argsort(of, kind="stable")
             begin = np.searchsorted(of[order], np.arange(len(n) + 1)).astype(np.int32)
-            values = [np.repeat(np.array([_TOKEN, _BYTE], np.int8), [len(pair), (~there).sum()]), np.concatenate([token[pair % max(1, len(token))], code[~there]]), np.concatenate([seen, times[~there]]).astype(np.int32)]
+            values = [np.repeat(np.array([_TOKEN, _BYTE], np.int8), [len(pair), len(gone_code)]), np.concatenate([token[pair % max(1, len(token))], gone_code]), np.concatenate([seen, gone_times]).astype(np.int32)]
             lists = pa.ListArray.from_arrays(pa.array(begin), pa.StructArray.from_arrays([pa.array(v[order]) for v in values], ["kind", "code", "times"]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(row + np.arange(len(n))), rows.column(0), rows.column(2), pa.array(n), pa.array(n_known), pa.array(base), pa.array(text_score), pa.array(np.diff(offsets)), lists],
