@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from voxplan.llm import common, decontam, minhash, packing, pii, quality, scoring, secrets, simhash, suffixes, urls
+from voxplan.llm import common, decontam, graph, minhash, packing, pii, quality, scoring, secrets, simhash, suffixes, urls
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, row string, p_quality double, secrets string, `at` string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -101,6 +101,34 @@ def test_simhash_is_the_majority_of_bits(docs):
         assert r["made"] % (1 << 64) == plain_simhash(r["text"] or "")
 
 
+def roots_by_hand(edges):
+    root = {x: x for e in edges for x in e if e[0] != e[1]}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for u, v in edges:
+        if u != v:
+            root[find(u)] = find(v)
+    return {x: find(x) for x in root}
+
+
+@pytest.mark.parametrize("hot", [1, 5, 1000])
+def test_components_of_hubs_and_chains(spark, monkeypatch, hot):
+    monkeypatch.setattr(graph, "HOT", hot)
+    rng = random.Random(hot)
+    ids = rng.sample(range(-(10**12), 10**12), 700)
+    edges = [(ids[300], x) for x in ids[:200]] + list(zip(ids[200:300], ids[201:300])) + [(ids[301], x) for x in ids[302:330]] + [(ids[i], ids[rng.randrange(400, 700)]) for i in range(400, 560)]
+    edges += [(ids[320], ids[5]), (ids[7], ids[7]), (ids[699], ids[699]), edges[0], edges[0][::-1]]
+    found = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    want = roots_by_hand(edges)
+    assert set(found) == set(want)
+    assert {frozenset(x for x in want if want[x] == r) for r in set(want.values())} == {frozenset(x for x in found if found[x] == r) for r in set(found.values())}
+    assert graph.components(spark.createDataFrame([(3, 3)], "u long, v long")).count() == 0
+
+
 @pytest.mark.parametrize("block", [3, 5, 7, 9])
 def test_links_lose_no_pair(spark, block):
     rng = np.random.default_rng(block)

@@ -7,13 +7,33 @@ from pyspark.sql import functions as F
 
 from .common import written
 
+#: A key with over one HOT-th of the rows is no key of a shuffle; there are fewer than HOT of them.
+HOT = 1000
+
+
+def _often(rows: DataFrame, key: str) -> DataFrame:
+    """The keys of a written table that have over one HOT-th of its rows."""
+    return rows.groupBy(key).count().where(F.col("count") * HOT > rows.count()).select(key)
+
+
+def _labelled(rows: DataFrame, key: str, often: DataFrame, labels: DataFrame, name: str) -> DataFrame:
+    """rows with the root, as `name`, that labels (node, root) has for their `key`; null where there is none.
+
+    Rows of the keys in `often` (key), fewer than HOT, get it from a table that every task has, and the others by a
+    shuffle, of which no key has more than one HOT-th.
+    """
+    of = labels.select(F.col("node").alias(key), F.col("root").alias(name))
+    hot = F.broadcast(written(often.join(of.join(F.broadcast(often), key, "left_semi"), key, "left"), "hot"))
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(of, key, "left"))
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (u, v), both long; root is one node of the component, the same for all.
 
     In every round each node points to the least of itself and its neighbours, and the edges between what they point to
     stay; a component shrinks by half at least, so rounds grow with the logarithm of its size. Nothing reaches the
-    driver but whether edges are left. A hub's edges are reduced by partial minima before the shuffle.
+    driver but numbers of edges. A hub's edges are reduced by partial minima before the shuffle, and neither they nor
+    the nodes of a large component meet in one task.
     Loops and repeated edges do no harm; no edges give no rows.
     """
     edges = written(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
@@ -21,13 +41,12 @@ def components(edges: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         step = written(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("least")).select("node", F.least("node", "least").alias("root")), "step")
-        u, v = step.select(F.col("node").alias("u"), F.col("root").alias("a")), step.select(F.col("node").alias("v"), F.col("root").alias("b"))
-        edges = written(edges.join(u, "u").join(v, "v").where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "edges")
+        ends = _labelled(_labelled(edges, "u", _often(edges, "u"), step, "a"), "v", _often(edges, "v"), step, "b")
+        edges = written(ends.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "edges")
         steps.append(step)
     if not steps:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     out = steps[0]
     for step in steps[1:]:
-        nxt = step.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        out = out.join(nxt, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+        out = written(_labelled(out, "root", _often(out, "root"), step, "next").select("node", F.coalesce("next", "root").alias("root")), "roots")
     return out
