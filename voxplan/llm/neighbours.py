@@ -34,7 +34,7 @@ START = 0.8
 #: Vectors whose distances bound R from above, and numbers in them; classes of a block, numbers in them, and queries of a chunk, at most about.
 SAMPLE, SAMPLE_NUMBERS = 4096, 1 << 22
 BLOCK, BLOCK_NUMBERS = 16384, 1 << 23
-CHUNK = 1024
+CHUNK = 4096
 #: Parts that the queries of one class are dealt to when they get its neighbours.
 _COPIES = 16
 
@@ -108,8 +108,9 @@ def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
 
 
 def valid(vectors: DataFrame, row_id: str, column: str) -> DataFrame:
-    """(vec_id, vector) of the rows that take part, each once; the vector as doubles."""
-    out = vectors.select(F.col(row_id).cast("long").alias("vec_id"), F.col(column).cast("array<double>").alias("vector"))
+    """(vec_id, vector) of the rows that take part, each once; the vector as it is, or as doubles if its numbers aren't floats."""
+    vector = F.col(column) if dict(vectors.dtypes)[column] == "array<float>" else F.col(column).cast("array<double>")
+    out = vectors.select(F.col(row_id).cast("long").alias("vec_id"), vector.alias("vector"))
     number = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     return out.where(F.col("vec_id").isNotNull() & F.forall("vector", number) & F.exists("vector", lambda x: x != 0)).distinct()
 
@@ -129,7 +130,7 @@ def nearest(vectors: DataFrame, is_query, nearest: int = NEAREST, row_id: str =
     classes = rows.withColumn("turn", F.row_number().over(first)).where(F.col("turn") <= many).groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     asked = rows.where(query).select("vector").distinct().withColumn("asked", F.lit(True))
     classes = written(classes.join(asked, "vector", "left").select(F.monotonically_increasing_id().alias("cid"), F.size("vector").alias("dim"), "vector", "ids", F.coalesce("asked", F.lit(False)).alias("asked")), "classes")
-    length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
+    length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     known = {r["dim"]: r for r in classes.groupBy("dim").agg(F.count("*").alias("n"), F.max(length).alias("longest"), F.count_if("asked").alias("asked")).collect()}  # a row for each length of vectors
     share = F.create_map(*[F.lit(x) for d, r in known.items() for x in (d, min(sample, SAMPLE_NUMBERS // d + many) / r["n"])])[F.col("dim")] if known else F.lit(0.0)
     picked = classes.where(F.pmod(F.xxhash64("vector"), F.lit(1 << 20)) < share * (1 << 20)).select("dim", "vector").toArrow()  # about `sample` of each length
@@ -157,7 +158,7 @@ def nearest(vectors: DataFrame, is_query, nearest: int = NEAREST, row_id: str =
     chunks = number("asked", lambda d: chunk)
     deal = lambda many: F.pmod(F.xxhash64("vector", F.lit(1)), many).cast("int")
     grid = classes.select("dim", deal(blocks).alias("block"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), "cid", "vector", "ids")
-    queries = classes.where("asked").select("cid", "dim", "vector").mapInArrow(bounds, "cid long, dim int, vector array<double>, bound double")
+    queries = classes.where("asked").select("cid", "dim", "vector").mapInArrow(bounds, f"cid long, dim int, vector {dict(classes.dtypes)['vector']}, bound double")
     queries = queries.select("dim", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), deal(chunks).alias("chunk"), "cid", "vector", "bound")
 
     def search(own: pa.Table, asking: pa.Table) -> pa.Table:
