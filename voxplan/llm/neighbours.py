@@ -63,6 +63,18 @@ class SortedArrays:
         at = np.column_stack([vectors, rest]) @ projections(vectors.shape[1] + 1).T
         self.order = np.ascontiguousarray(np.argsort(at, axis=0, kind="stable").T)
         self.at = np.ascontiguousarray(np.take_along_axis(at.T, self.order, axis=1))
+        self.place = np.empty(self.order.shape, np.uint16 if len(vectors) < 1 << 16 else np.uint32)  # each vector's place in each array
+        np.put_along_axis(self.place, self.order, np.broadcast_to(np.arange(len(vectors), dtype=self.place.dtype), self.order.shape), axis=1)
+
+    def _met(self, lo: list[int], hi: list[int]) -> np.ndarray:
+        """How many of the windows lo..hi each vector lies in: for wide windows, by all places; else by what the windows hold."""
+        n, kind = len(self.vectors), self.place.dtype.type
+        if sum(hi) - sum(lo) > n * len(lo) // 8:
+            met = np.zeros(n, np.uint16)
+            for place, s, e in zip(self.place, lo, hi):
+                met += place - kind(s) < kind(e - s)  # places before s wrap around
+            return met
+        return np.bincount(np.concatenate([o[s:e] for o, s, e in zip(self.order, lo, hi)]), minlength=n)
 
     def search(self, query: np.ndarray, bound: float, many: int) -> tuple[np.ndarray, np.ndarray]:
         """(vectors, inner products) of the `many` nearest among the verified vectors, with all that tie; bound: a distance that so many of all vectors don't exceed."""
@@ -77,15 +89,12 @@ class SortedArrays:
             reach = WIDTH * radius
             lo = [int(a.searchsorted(c - reach, "left")) if reach < np.inf else 0 for a, c in zip(self.at, centre)]
             hi = [int(a.searchsorted(c + reach, "right")) if reach < np.inf else n for a, c in zip(self.at, centre)]
-            outside = left is None and 2 * (sum(hi) - sum(lo)) > n * len(lo)  # wide windows: count what they leave out
-            if left is None and not outside:
-                new = [o[s:e] for o, s, e in zip(self.order, lo, hi)]
+            if left is None:
+                count += self._met(lo, hi)
             else:
-                new = [o[s:e] for o, s, e in zip(self.order, [0] * len(lo) if outside else lo, lo if outside else left)]
-                new += [o[s:e] for o, s, e in zip(self.order, hi if outside else right, [n] * len(hi) if outside else hi)]
+                new = [o[s:e] for o, s, e in zip(self.order, lo, left)] + [o[s:e] for o, s, e in zip(self.order, right, hi)]
+                count += np.bincount(np.concatenate(new), minlength=n)
             left, right = lo, hi
-            met = np.bincount(np.concatenate(new), minlength=n)
-            count += len(lo) - met if outside else met
             fit = np.flatnonzero((count >= need) & (score == -np.inf))
             score[fit] = self.vectors.take(fit, axis=0) @ query
             last = np.partition(score, n - many)[n - many] if n >= many else -np.inf
