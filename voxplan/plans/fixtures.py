@@ -31,6 +31,12 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*_recording("r", "user_id"), F.lit(RATE).alias("framerate"), F.col("_s.value").alias("samples"))
 
 
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(word, recording, idx, x): signals() in long form, numbered without an array."""
+    idx = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")).cast("long") - 1
+    return table(spark, sf_dir, "events").select(*_recording("r", "user_id"), idx.alias("idx"), F.col("value").alias("x"))
+
+
 def signals16k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(word, recording, samples): a supplier's line quantities, at full frame size."""
     names = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"]

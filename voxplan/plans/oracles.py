@@ -226,3 +226,6 @@ UNION ALL SELECT 'weighted avg', {r6('sum(p * support) / sum(support)')}, {r6('s
     "io6_models": with_(SYM, _START, out=f"SELECT 'all' AS read, word, kind, i, j, {r6('p')} AS p FROM start UNION ALL SELECT 'one', word, kind, i, j, {r6('p')} FROM start WHERE word = 'w0'"),
     "st2_assemble_clips": with_("t AS (SELECT user_id AS recorder, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx FROM events)", out=f"SELECT recorder, CAST(idx // 16 AS BIGINT) AS clip, CAST(count(*) AS INT) AS n, {r6('sum(value)')} AS total FROM t GROUP BY recorder, idx // 16 HAVING count(*) = 16"),
 }
+
+#: The chunked operators have the rows of those on arrays.
+SQL |= {f"{name}_chunked": SQL[name] for name in ("sg2_preemphasis", "sg3_short_time_stats", "sg4_trim_silence", "sg5_trim_two_level", "sg6_hamming", "sg7_preprocess")}

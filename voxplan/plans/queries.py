@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from voxplan import schema
 from voxplan.functions import logmath
 from voxplan.operators import codebook as vq
-from voxplan.operators import features, framing, hmm, quality, scoring, signal, split
+from voxplan.operators import chunked, features, framing, hmm, quality, scoring, signal, split
 from voxplan.plans import fixtures as fx
 from voxplan.plans.fixtures import FRAME, HOP, WINDOW, WINDOW_HOP
 from voxplan.sources import audio, tables
@@ -64,6 +64,41 @@ def sg8_drop_leading(spark: SparkSession, sf: str) -> DataFrame:
     return _long(signal.drop_leading(fx.signals(spark, sf), 5))
 
 
+#: A chunk here has no whole number of frames or hops, so that frames and windows lie across its ends.
+CHUNK = 13
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select("word", "recording", "idx", r6("x").alias("x"))
+
+
+def sg2_preemphasis_chunked(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(chunked.preemphasis(fx.samples(spark, sf), chunk=CHUNK))
+
+
+def sg3_short_time_stats_chunked(spark: SparkSession, sf: str) -> DataFrame:
+    rows = chunked.short_time_stats(chunked.preemphasis(fx.samples(spark, sf), chunk=CHUNK), FRAME, HOP, CHUNK)
+    return rows.select("word", "recording", "frame", r6("power").alias("power"), r6("zcr").alias("zcr"))
+
+
+def sg4_trim_silence_chunked(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(chunked.trim_silence(chunked.preemphasis(fx.samples(spark, sf), chunk=CHUNK), FRAME, HOP, 0.4, CHUNK))
+
+
+def sg5_trim_two_level_chunked(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(chunked.trim_silence_two_level(chunked.preemphasis(fx.samples(spark, sf), chunk=CHUNK), FRAME, HOP, (0.5, 0.5), (0.4, 0.3), CHUNK))
+
+
+def sg6_hamming_chunked(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(chunked.hamming_cumulative(fx.samples(spark, sf), WINDOW, WINDOW_HOP, CHUNK))
+
+
+def sg7_preprocess_chunked(spark: SparkSession, sf: str) -> DataFrame:
+    own = fx.samples(spark, sf)
+    parts = [_rounded(chunked.preprocess(own, mode, FRAME, HOP, WINDOW, WINDOW_HOP, CHUNK)).select(F.lit(mode).alias("mode"), "*") for mode in ("batch", "live")]
+    return parts[0].union(parts[1])
+
+
 # Split and frames
 
 
