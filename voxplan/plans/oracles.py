@@ -229,3 +229,17 @@ UNION ALL SELECT 'weighted avg', {r6('sum(p * support) / sum(support)')}, {r6('s
 
 #: The chunked operators have the rows of those on arrays.
 SQL |= {f"{name}_chunked": SQL[name] for name in ("sg2_preemphasis", "sg3_short_time_stats", "sg4_trim_silence", "sg5_trim_two_level", "sg6_hamming", "sg7_preprocess")}
+SQL |= {
+    "io4_frames_json": with_(
+        FR64, f"z AS (SELECT *, CAST(regexp_extract(recording, '-([0-9]+)$', 1) AS INT) % 3 AS s, list_sum(mfcc) AS m FROM fr)",
+        f"smp AS (SELECT {_KEYS}, unnest(raw_samples) AS x, unnest(range(64)) AS n FROM fr)",
+        f"ac AS (SELECT a.word, a.recording, a.frame_number, sum(a.x * b.x) AS r FROM smp a JOIN smp b ON a.word = b.word AND a.recording = b.recording AND a.frame_number = b.frame_number AND b.n >= a.n AND b.n - a.n <= 12 GROUP BY ALL)",
+        out=f"""SELECT {_KEYS}, CASE s WHEN 0 THEN 'mfcc' WHEN 1 THEN 'lpc' ELSE 'raw' END AS shape, CASE WHEN s < 2 THEN 1 ELSE -1 END AS generation, CASE WHEN s < 2 THEN frame_number ELSE -1 END AS parent_centroid_id, {r6('list_sum(raw_samples)')} AS raw_samples,
+CASE s WHEN 0 THEN {r6('m')} END AS mfcc, CASE WHEN s > 0 THEN {r6('r')} END AS autocorr, CASE s WHEN 1 THEN {r6('m')} END AS lpc, CASE s WHEN 1 THEN {r6('m - mfcc[1]')} END AS lsf FROM z JOIN ac USING ({_KEYS})""",
+    ),
+    "io5_codebook_lsf": with_(
+        FR64, _EACH, _MEAN, _FOUR, "s AS (SELECT id, sum(v) AS a, sum(v) FILTER (pos > 0) AS b FROM four GROUP BY id)",
+        out=f"SELECT id % 2 AS generation, id, 'lsf' AS shape, {r6('b')} AS vec, {r6('a')} AS lpc FROM s UNION ALL SELECT -1, id, 'lsf', {r6('b')}, {r6('a')} FROM s UNION ALL SELECT -1, id, 'mfcc', {r6('a')}, NULL FROM s",
+    ),
+    "io6_models_json": SQL["io6_models"],
+}

@@ -11,7 +11,7 @@ from voxplan.operators import codebook as vq
 from voxplan.operators import chunked, features, framing, hmm, quality, scoring, signal, split
 from voxplan.plans import fixtures as fx
 from voxplan.plans.fixtures import FRAME, HOP, WINDOW, WINDOW_HOP
-from voxplan.sources import audio, tables
+from voxplan.sources import audio, interchange, tables
 from voxplan.streaming import recognise as streaming
 
 
@@ -390,6 +390,38 @@ def io6_models(spark: SparkSession, sf: str) -> DataFrame:
     return one.union(hmm.long_form(tables.read_models(spark, path)).select(F.lit("all").alias("read"), "*")).select("read", "word", "kind", "i", "j", r6("p").alias("p"))
 
 
+def io4_frames_json(spark: SparkSession, sf: str) -> DataFrame:
+    """Frames as JSON of three shapes below one path, by recording; the three shapes are told apart when they are read."""
+    path, number = tables.shared_path(spark, "frames-json"), F.regexp_extract("recording", "-([0-9]+)$", 1).cast("int") % 3
+    frames = features.autocorrelation(fx.frames64(spark, sf)).withColumns({"lpc": F.reverse("mfcc"), "lsf": F.slice("mfcc", 2, 12), "generation": F.lit(1), "parent_centroid_id": F.col("frame_number"), "sample_rate": F.lit(fx.RATE), "n_channels": F.lit(1), "frame_duration_ms": F.lit(20.0)})
+    for k, shape in enumerate(("mfcc", "lpc", "raw")):
+        interchange.write_frame_records(frames.where(number == k), f"{path}/{shape}", shape)
+    rows = interchange.read_frame_records(spark, path)
+    total = {c: r6(_sum(c)) for c in ("raw_samples", "mfcc", "autocorr", "lpc", "lsf")}
+    return rows.select("word", "recording", "shape", "frame_number", *(F.coalesce(c, F.lit(-1)).alias(c) for c in ("generation", "parent_centroid_id")), *(v.alias(c) for c, v in total.items()))
+
+
+def io5_codebook_lsf(spark: SparkSession, sf: str) -> DataFrame:
+    """Codebooks of line spectral frequencies, alone and as generations, and one of features, read by the same function."""
+    four = _four(fx.frames64(spark, sf)).select("id", F.slice("vec", 2, 12).alias("lsf"), F.col("vec").alias("lpc"))
+    book, past, plain = (tables.shared_path(spark, x) for x in ("lsf", "lsf-generations", "mfcc"))
+    interchange.write_lsf_codebook_json(four, book)
+    interchange.write_lsf_generations_json(four.select((F.col("id") % 2).alias("generation"), "*"), past)
+    tables.write_codebook_json(four.select("id", F.col("lpc").alias("vec")), plain)
+    rows = interchange.read_centroid_generations_json(spark, past)
+    for path in (book, plain):
+        rows = rows.unionByName(interchange.read_centroids_json(spark, path).withColumn("generation", F.lit(-1)))
+    return rows.select("generation", "id", "shape", r6(_sum("vec")).alias("vec"), r6(_sum("lpc")).alias("lpc"))
+
+
+def io6_models_json(spark: SparkSession, sf: str) -> DataFrame:
+    """As io6_models, as one JSON document for each word."""
+    path = tables.shared_path(spark, "models-json")
+    interchange.write_models_json(_start(fx.sequences(spark, sf)), path)
+    parts = [hmm.long_form(interchange.read_models_json(spark, path, word)).select(F.lit(read).alias("read"), "*") for read, word in (("one", "w0"), ("all", None))]
+    return parts[0].union(parts[1]).select("read", "word", "kind", "i", "j", r6("p").alias("p"))
+
+
 # Streams
 
 
