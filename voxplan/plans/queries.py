@@ -12,6 +12,7 @@ from voxplan.operators import chunked, features, framing, hmm, quality, scoring,
 from voxplan.plans import fixtures as fx
 from voxplan.plans.fixtures import FRAME, HOP, WINDOW, WINDOW_HOP
 from voxplan.sources import audio, interchange, tables
+from voxplan.streaming import clips as clipping
 from voxplan.streaming import recognise as streaming
 
 
@@ -443,18 +444,44 @@ def st1_stream_recognize(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(out).select("word", "recording", "model_word", "rank", r6("loglik").alias("loglik"))
 
 
+def st1_stream_wav(spark: SparkSession, sf: str) -> DataFrame:
+    """Clips that arrive as wav files, of which some are empty: ranks of the heard ones, and the problems of the others."""
+    root, out, problems = (tables.shared_path(spark, x).removeprefix("file://").removeprefix("file:") for x in ("arriving", "recognised", "problems"))
+    own, book, models = _recogniser(spark, sf)
+    silent = F.pmod(F.xxhash64("recording"), F.lit(7)) == 0
+    samples = F.when(silent, F.array().cast("array<double>")).otherwise(F.transform("samples", lambda x: x * 100))
+    audio.write_wav_corpus(own.withColumn("samples", samples), root, fx.RATE)
+    streaming.stream_recognize_wav(spark, root, book, models, out, problems, tables.shared_path(spark, "progress"), fx.RATE, 5, files=100).awaitTermination()
+    heard = spark.read.parquet(out).select("word", "recording", "model_word", "rank", r6("loglik").alias("loglik"), F.lit("").alias("problem"))
+    return heard.union(spark.read.parquet(problems).select("word", "recording", F.lit(""), F.lit(0), F.lit(0.0), "problem"))
+
+
 def st2_assemble_clips(spark: SparkSession, sf: str) -> DataFrame:
     """Events as chunks of one sample, arriving in four parts by time; clips of 16 samples."""
-    path, out = tables.shared_path(spark, "chunks"), tables.shared_path(spark, "assembled")
+    clips = streaming.assemble_clips(_chunks(spark, sf), 16, idle="3650 days", late="3650 days")
+    return _run(spark, clips).select("recorder", "clip", F.size("samples").alias("n"), r6(_sum("samples")).alias("total"))
+
+
+def st2_clips_by_start(spark: SparkSession, sf: str) -> DataFrame:
+    """As st2_assemble_clips; a clip is told by its first sample."""
+    clips = clipping.assemble_clips_by_start(_chunks(spark, sf), 16, idle="3650 days", late="3650 days")
+    return _run(spark, clips).select("recorder", "us", "seq", "first", F.size("samples").alias("n"), r6(_sum("samples")).alias("total"))
+
+
+def _chunks(spark: SparkSession, sf: str) -> DataFrame:
+    path = tables.shared_path(spark, "chunks")
     rows = fx.table(spark, sf, "events").select(F.col("user_id").alias("recorder"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.array("value").alias("samples"))
     cuts = rows.select(F.unix_micros("ts").alias("u")).approxQuantile("u", [0.25, 0.5, 0.75], 0.01)
     part = sum((F.unix_micros("ts") > F.lit(int(c))).cast("int") for c in cuts)
     for k in range(4):
         rows.where(part == k).repartition(4, "recorder").write.mode("append").parquet(path)
-    chunks = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(path)
-    clips = streaming.assemble_clips(chunks, 16, idle="3650 days", late="3650 days")
-    clips.writeStream.format("parquet").option("path", out).option("checkpointLocation", tables.shared_path(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("recorder long, clip long, samples array<double>").parquet(out).select("recorder", "clip", F.size("samples").alias("n"), r6(_sum("samples")).alias("total"))
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(path)
+
+
+def _run(spark: SparkSession, stream: DataFrame) -> DataFrame:
+    out = tables.shared_path(spark, "assembled")
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", tables.shared_path(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
 
 
 QUERIES = {

@@ -36,10 +36,12 @@ def decode(content: bytes) -> tuple[int, int, int, list[np.ndarray], str | None]
 def read_wav_corpus(spark: SparkSession, root: str) -> DataFrame:
     """Recordings below <root>/<word>/*.wav: word is the folder, recording the file's stem, samples the first channel in the file's own scale; problem tells what can't be read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").option("recursiveFileLookup", "true").load(root).select("path", "content")
-    return _decoded(files, all_channels=False)
+    return decoded(files, all_channels=False)
 
 
-def _decoded(files: DataFrame, all_channels: bool) -> DataFrame:
+def decoded(files: DataFrame, all_channels: bool) -> DataFrame:
+    """Files (path, content), of a table or a stream, as rows of read_wav_corpus() or read_wav_channels()."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             made = [decode(bytes(c)) for c in rows["content"]]
@@ -58,7 +60,7 @@ def _decoded(files: DataFrame, all_channels: bool) -> DataFrame:
 
 def read_wav_channels(spark: SparkSession, root: str) -> DataFrame:
     """As read_wav_corpus, with channels, an array of samples for each, in place of samples."""
-    return _decoded(spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").option("recursiveFileLookup", "true").load(root).select("path", "content"), all_channels=True)
+    return decoded(spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").option("recursiveFileLookup", "true").load(root).select("path", "content"), all_channels=True)
 
 
 def standardize_audio(df: DataFrame, target: int = 16000) -> DataFrame:

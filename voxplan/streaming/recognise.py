@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -14,6 +14,7 @@ from voxplan.operators import framing, signal
 from voxplan.operators.codebook import codebook_array, quantize
 from voxplan.operators.features import mfcc
 from voxplan.operators.scoring import rank_models, score_all
+from voxplan.sources.audio import decoded, standardize_audio
 
 
 def recognise(clips: DataFrame, codebook: DataFrame, models: DataFrame, sample_rate: int = 16000, skip: int = 500, mode: str = "live") -> DataFrame:
@@ -29,8 +30,7 @@ def stream_recognize(clips: DataFrame, codebook: DataFrame, models: DataFrame, o
     trigger: the arguments of DataStreamWriter.trigger, such as {"processingTime": "2 seconds"} for a live stream; by
     default what is there is recognised and the stream ends.
     """
-    book = codebook_array(codebook)
-    kept = models.persist()
+    book, kept = codebook_array(codebook), _held(models)
 
     def write(rows: DataFrame, batch: int) -> None:
         recognise(rows, book, kept, sample_rate, skip, mode).write.mode("overwrite").parquet(f"{out}/batch={batch}")
@@ -38,6 +38,38 @@ def stream_recognize(clips: DataFrame, codebook: DataFrame, models: DataFrame, o
     return clips.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def _held(models: DataFrame) -> DataFrame:
+    """The models (a row for each word, which scoring brings to the driver anyway) as they are now, with nothing cached that a stream would have to let go."""
+    return models.sparkSession.createDataFrame(models.collect(), models.schema)
+
+
+def stream_recognize_wav(spark: SparkSession, root: str, codebook: DataFrame, models: DataFrame, out: str, problems: str, checkpoint: str, sample_rate: int = 16000, skip: int = 500, mode: str = "live", files: int = 1000, trigger: dict | None = None) -> StreamingQuery:
+    """Starts recognising the wav files that arrive below <root>/<word>/, `files` of them at once at most, into Parquet below `out`.
+
+    Files are decoded in the stream, brought to one channel and sample_rate, and recognised as stream_recognize() does. A file
+    that can't be read has a row (word, recording, path, problem) below `problems`, from the same micro-batch; a clip too short for a
+    frame has the problem `too short`. Each micro-batch overwrites its own two folders when it is repeated, so nothing comes twice.
+    """
+    book, kept = codebook_array(codebook), _held(models)
+    arriving = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+    arriving = arriving.option("pathGlobFilter", "*.wav").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files).load(root)
+    clips = standardize_audio(decoded(arriving.select("path", "content"), all_channels=True), sample_rate)
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows = rows.persist()
+        try:
+            ready = recognise(rows.where("problem is null"), book, kept, sample_rate, skip, mode)
+            ready.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+            heard = rows.sparkSession.read.schema(ready.schema).parquet(f"{out}/batch={batch}").select("word", "recording").distinct()
+            silent = rows.where("problem is null").join(heard, ["word", "recording"], "left_anti").withColumn("problem", F.lit("too short"))
+            bad = rows.where("problem is not null").unionByName(silent).select("word", "recording", "path", "problem")
+            bad.write.mode("overwrite").parquet(f"{problems}/batch={batch}")
+        finally:
+            rows.unpersist()
+
+    return clips.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
 def assemble_clips(chunks: DataFrame, clip_samples: int = 32000, idle: str = "10 minutes", late: str = "10 minutes") -> DataFrame:
     """(recorder, clip, samples): a clip for each clip_samples of a recorder's chunks (recorder, ts, seq, samples), in order of ts and seq within a batch.
 
