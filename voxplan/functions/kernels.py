@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import functools
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 
 
@@ -141,3 +144,49 @@ def backward(obs: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     for t in range(obs.shape[1] - 2, -1, -1):
         out[:, :, t] = _lse(a[:, None] + (emit[:, obs[:, t + 1]] + out[:, :, t + 1])[:, :, None, :], 3)
     return out
+
+
+def forward_last(obs: np.ndarray, a: np.ndarray, b: np.ndarray, pi: np.ndarray) -> np.ndarray:
+    """log P[model, sequence], as the log sum of forward()'s last column, of which alone anything is kept."""
+    emit = b.transpose(0, 2, 1)
+    now = pi[:, None] + emit[:, obs[:, 0]]
+    for t in range(1, obs.shape[1]):
+        now = _lse(now[:, :, :, None] + a[:, None], 2) + emit[:, obs[:, t]]
+    return _lse(now, 2)
+
+
+def posteriors(obs: np.ndarray, a: np.ndarray, b: np.ndarray, pi: np.ndarray, block: int | None = None) -> tuple[np.ndarray, Iterator[tuple[int, np.ndarray, np.ndarray]]]:
+    """(log P, blocks of (first time, log gamma[r, t, i], log xi[r, t, i, j])) of sequences of one length under one log model.
+
+    Forward variables are kept at the first time of each block only and computed again within it, so what is in memory
+    is two blocks' worth, of about the square root of the length by default. Blocks come from the last to the first; xi at t is of
+    the step to t + 1, so the last block's ends one time earlier. Impossible sequences have minus infinity.
+    """
+    n = obs.shape[1]
+    step, emit = block or max(1, math.isqrt(n)), b.T
+    kept, now = [], pi + emit[obs[:, 0]]
+    for t in range(n):
+        if t:
+            now = _lse(now[:, :, None] + a, 1) + emit[obs[:, t]]
+        if t % step == 0:
+            kept.append(now)
+    p = _lse(now, 1)
+    shift = np.where(np.isfinite(p), p, np.inf)[:, None, None]
+
+    def blocks() -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        after = None  # log beta at the first time of the block behind
+        for first in range((len(kept) - 1) * step, -1, -step):
+            stop = min(n, first + step)
+            al, be = np.empty((len(obs), stop - first, len(pi))), np.empty((len(obs), stop - first, len(pi)))
+            al[:, 0] = kept.pop()
+            for t in range(1, stop - first):
+                al[:, t] = _lse(al[:, t - 1, :, None] + a, 1) + emit[obs[:, first + t]]
+            be[:, -1] = 0 if after is None else _lse(a + (emit[obs[:, stop]] + after)[:, None, :], 2)
+            for t in range(stop - first - 2, -1, -1):
+                be[:, t] = _lse(a + (emit[obs[:, first + t + 1]] + be[:, t + 1])[:, None, :], 2)
+            then = be[:, 1:] if after is None else np.concatenate([be[:, 1:], after[:, None]], axis=1)
+            m = then.shape[1]
+            yield first, al + be - shift, al[:, :m, :, None] + a + (emit[obs[:, first + 1 : first + 1 + m]] + then)[:, :, None, :] - shift[..., None]
+            after = be[:, 0]
+
+    return p, blocks()

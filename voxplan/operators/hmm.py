@@ -6,6 +6,7 @@ Sequences are distributed by recording. In each pass a task computes forward and
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,13 +15,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxplan import schema
-from voxplan.functions.kernels import _lse, backward, forward
+from voxplan.functions.kernels import _lse, forward_last, posteriors
 from voxplan.functions.logmath import log_sum_exp_by
 
 PI = [0.97, 0.02, 0.005, 0.005]
 A = [[0.6, 0.4, 0.0, 0.0], [0.0, 0.6, 0.4, 0.0], [0.0, 0.0, 0.6, 0.4], [0.0, 0.0, 0.0, 1.0]]
 #: The probability of a symbol that a state has never given.
 UNSEEN = 1e-20
+#: Models of one tensor, and numbers that a kernel's largest arrays have, at most about.
+BLOCK = 256
+NUMBERS = 1 << 22
 _LONG = "word string, kind string, i int, j int, v double"
 
 
@@ -58,89 +62,143 @@ def _sequences(rows: pd.DataFrame, by: list[str]) -> Iterator[tuple[tuple, pd.Da
         yield key, part, np.stack(part["obs"].to_list()).astype(int)
 
 
+def _sliced(rows: pd.DataFrame, by: list[str], cells: int) -> Iterator[tuple[tuple, pd.DataFrame, np.ndarray]]:
+    """As _sequences, in slices of so many sequences that each, of `cells` numbers, leaves NUMBERS at most."""
+    for key, part, obs in _sequences(rows, by):
+        many = max(1, NUMBERS // cells)
+        for k in range(0, len(obs), many):
+            yield key, part[k : k + many], obs[k : k + many]
+
+
+def _stacked(logs: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray, np.ndarray]]:
+    """(words, log A, log B, log Pi) of models of one size as tensors of BLOCK models at most."""
+    sizes: dict[tuple, list[str]] = {}
+    for word in sorted(logs):
+        sizes.setdefault(logs[word][1].shape, []).append(word)
+    for words in sizes.values():
+        for k in range(0, len(words), BLOCK):
+            part = words[k : k + BLOCK]
+            yield part, *(np.stack([logs[w][i] for w in part]) for i in range(3))
+
+
+def _scored(rows: pd.DataFrame, logs: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]], best: bool) -> Iterator[pd.DataFrame]:
+    """(word, recording, model_word, loglik) of rows under all models, or their likeliest alone, the first by word of equally likely ones."""
+    top: dict[int, tuple[float, str]] = {}
+    for words, a, b, pi in _stacked(logs):
+        said = np.array(words, object)
+        for _, part, obs in _sliced(rows, [], len(words) * a.shape[1] * a.shape[1]):
+            p = forward_last(obs, a, b, pi)
+            if not best:
+                yield pd.DataFrame({"word": np.tile(part["word"], len(said)), "recording": np.tile(part["recording"], len(said)), "model_word": np.repeat(said, len(part)), "loglik": p.ravel()})
+                continue
+            at = p.argmax(axis=0)
+            for row, cost, word in zip(part.index.tolist(), (-p[at, np.arange(len(part))]).tolist(), said[at].tolist()):
+                top[row] = min(top.get(row, (cost, word)), (cost, word))
+    if top:
+        out = rows.loc[list(top), ["word", "recording"]]
+        yield out.assign(model_word=[w for _, w in top.values()], loglik=[-c for c, _ in top.values()])
+
+
+_SCORES = "word string, recording string, model_word string, loglik double"
+
+
 def forward_loglik(sequences: DataFrame, models: DataFrame, best: bool = False) -> DataFrame:
     """(word, recording, model_word, loglik) of every sequence under every model, or only under its likeliest one (the
-    first by word of equally likely ones); models of one size are one tensor."""
+    first by word of equally likely ones); every task has all models, so this is for some hundreds of them."""
     logs = log_arrays(models)
-    sizes = {}
-    for word in sorted(logs):
-        sizes.setdefault(logs[word][1].shape, []).append(word)
-    stacks = [(words, *(np.stack([logs[w][k] for w in words]) for k in range(3))) for words in sizes.values()]
-    names = np.array([w for words, *_ in stacks for w in words], object)
-    order = np.argsort(names, kind="stable")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            for _, part, obs in _sequences(rows, []):
-                if not stacks:
-                    continue
-                p, said = np.concatenate([_lse(forward(obs, a, b, pi)[:, :, -1], 2) for _, a, b, pi in stacks])[order], names[order]
-                if best:
-                    at = p.argmax(axis=0)
-                    yield pd.DataFrame({"word": part["word"], "recording": part["recording"], "model_word": said[at], "loglik": p[at, np.arange(len(part))]})
-                else:
-                    yield pd.DataFrame({"word": np.tile(part["word"], len(said)), "recording": np.tile(part["recording"], len(said)), "model_word": np.repeat(said, len(part)), "loglik": p.ravel()})
-
-    return sequences.select(*schema.KEY, "obs").mapInPandas(run, "word string, recording string, model_word string, loglik double")
-
-
-def _variables(obs: np.ndarray, model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(log P, log gamma[r, t, i], log xi[r, t, i, j]) of sequences under one model; impossible ones have minus infinity."""
-    a, b, pi = (x[None] for x in model)
-    al, be = forward(obs, a, b, pi)[0], backward(obs, a, b)[0]
-    p = _lse(al[:, -1], 1)
-    shift = np.where(np.isfinite(p), p, np.inf)[:, None, None]
-    xi = al[:, :-1, :, None] + a[0] + (b[0].T[obs[:, 1:]] + be[:, 1:])[:, :, None, :] - shift[..., None]
-    return p, al + be - shift, xi
-
-
-def forward_backward(sequences: DataFrame, models: DataFrame) -> DataFrame:
-    """(word, recording, t, kind, i, j, v): log gamma (kind gamma, j 0) and log xi (kind xi) under the word's own model; log P as kind loglik."""
+            yield from _scored(rows.reset_index(drop=True), logs, best)
+
+    return sequences.select(*schema.KEY, "obs").mapInPandas(run, _SCORES)
+
+
+def forward_loglik_blocks(sequences: DataFrame, models: DataFrame, best: bool = False, block: int = 256, symbols: int = 1 << 22) -> DataFrame:
+    """As forward_loglik, for any number of models: blocks of about `block` models meet parts of about `symbols` symbols in a grid, a task for each cell.
+
+    No model reaches the driver. With best, a cell gives its winner for each sequence, and these partial winners are merged
+    before and after one shuffle. Sequences are told apart by word and recording; two models of a word are two models.
+    """
+    sizes = sequences.agg(F.coalesce(F.sum(F.size("obs")), F.lit(0)).alias("n")).first()
+    parts, blocks = -(-sizes["n"] // symbols) or 1, -(-models.count() // block) or 1
+    cell = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    left = models.select(F.pmod(F.xxhash64("word"), F.lit(blocks)).cast("int").alias("block"), cell(parts, "part"), F.col("word").alias("model_word"), "A", "B", "Pi")
+    right = sequences.select(*schema.KEY, "obs", cell(blocks, "block"), F.pmod(F.xxhash64(*schema.KEY), F.lit(parts)).cast("int").alias("part"))
+
+    def run(own: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        with np.errstate(divide="ignore"):
+            logs = {f"{w}\0{i}": tuple(np.log(np.array([list(x) for x in m] if k < 2 else list(m), float)) for k, m in enumerate(abp)) for i, (w, *abp) in enumerate(zip(own["model_word"], own["A"], own["B"], own["Pi"]))}
+        out = list(_scored(rows.reset_index(drop=True), logs, best)) if len(own) and len(rows) else []
+        rows = [(w, r, m.rsplit("\0", 1)[0], p) for part in out for w, r, m, p in part[["word", "recording", "model_word", "loglik"]].itertuples(index=False, name=None)]
+        return pd.DataFrame(rows, columns=["word", "recording", "model_word", "loglik"])
+
+    met = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(run, _SCORES)
+    if not best:
+        return met
+    won = met.groupBy(*schema.KEY).agg(F.min(F.struct((-F.col("loglik")).alias("cost"), "model_word")).alias("b"))
+    return won.select(*schema.KEY, "b.model_word", (-F.col("b.cost")).alias("loglik"))
+
+
+def forward_backward(sequences: DataFrame, models: DataFrame, block: int | None = None) -> DataFrame:
+    """(word, recording, t, kind, i, j, v): log gamma (kind gamma, j 0) and log xi (kind xi) under the word's own model; log P as kind loglik.
+
+    Times are worked on in blocks (posteriors()), so a recording's length doesn't bound what a task can do."""
     logs = log_arrays(models)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            for (word, _), part, obs in _sequences(rows, ["word"]):
-                if word not in logs:
-                    continue
-                p, gamma, xi = _variables(obs, logs[word])
-                for kind, values in (("gamma", gamma[..., None]), ("xi", xi), ("loglik", p[:, None, None, None])):
-                    r, t, i, j = (x.ravel() for x in np.indices(values.shape))
-                    yield pd.DataFrame({"word": word, "recording": part["recording"].to_numpy()[r], "t": t, "kind": kind, "i": i, "j": j, "v": values.ravel()})
+            for (word, n), part, obs in _sliced(rows[rows["word"].isin(list(logs))], ["word"], _cells(rows, logs)):
+                p, blocks = posteriors(obs, *logs[word], block)
+                names = part["recording"].to_numpy()
+                yield pd.DataFrame({"word": word, "recording": names, "t": 0, "kind": "loglik", "i": 0, "j": 0, "v": p})
+                for first, gamma, xi in blocks:
+                    for kind, values in (("gamma", gamma[..., None]), ("xi", xi)):
+                        r, t, i, j = (x.ravel() for x in np.indices(values.shape))
+                        yield pd.DataFrame({"word": word, "recording": names[r], "t": t + first, "kind": kind, "i": i, "j": j, "v": values.ravel()})
 
     return sequences.select(*schema.KEY, "obs").mapInPandas(run, "word string, recording string, t int, kind string, i int, j int, v double")
 
 
-def statistics(sequences: DataFrame, logs: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
-    """(word, kind, i, j, v): log sums of expected counts. Kinds: pi, a, a_all, b, b_all, n (recordings), p (likelihoods) and total (sum of log P, not a log)."""
+def _cells(rows: pd.DataFrame, logs: dict) -> int:
+    """Numbers that posteriors() has in memory for the longest of some sequences, about."""
+    states = max((len(m[2]) for m in logs.values()), default=1)
+    longest = max(map(len, rows["obs"]), default=1)
+    return (math.isqrt(longest) + 1) * states * (states + 4)
+
+
+def statistics(sequences: DataFrame, logs: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]], block: int | None = None) -> DataFrame:
+    """(word, kind, i, j, v): log sums of expected counts. Kinds: pi, a, a_all, b, b_all, n (recordings), p (likelihoods) and total (sum of log P, not a log).
+
+    A task keeps one array for each word and kind, to which each block of times is added as it comes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        have: dict[tuple, list[float]] = {}
+        have: dict[tuple[str, str], np.ndarray] = {}
 
         def add(word: str, kind: str, values: np.ndarray) -> None:
-            for (i, j), v in np.ndenumerate(values):
-                if np.isfinite(v):
-                    have.setdefault((word, kind, i, j), []).append(float(v))
+            known = have.get((word, kind))
+            have[word, kind] = values if known is None else known + values if kind == "total" else np.logaddexp(known, values)
 
         for rows in batches:
-            for (word, _), _, obs in _sequences(rows, ["word"]):
-                if word not in logs:
-                    continue
-                p, gamma, xi = _variables(obs, logs[word])
+            for (word, n), _, obs in _sliced(rows[rows["word"].isin(list(logs))], ["word"], _cells(rows, logs)):
+                p, blocks = posteriors(obs, *logs[word], block)
                 add(word, "n", np.array([[np.log(len(p))]]))
                 add(word, "p", _lse(p[:, None, None], 0))
                 add(word, "total", np.array([[p[np.isfinite(p)].sum()]]))
-                add(word, "pi", _lse(gamma[:, 0], 0)[:, None])
-                if obs.shape[1] > 1:
-                    add(word, "a", _lse(xi.reshape(-1, *xi.shape[2:]), 0))
-                    add(word, "a_all", _lse(gamma[:, :-1].reshape(-1, gamma.shape[2]), 0)[:, None])
-                flat, symbol = gamma.reshape(-1, gamma.shape[2]), obs.ravel()
-                add(word, "b_all", _lse(flat, 0)[:, None])
-                each = np.full(logs[word][1].shape, -np.inf)
-                for k in np.unique(symbol):
-                    each[:, k] = _lse(flat[symbol == k], 0)
-                add(word, "b", each)
-        out = [(*key, sum(v) if key[1] == "total" else float(_lse(np.array(v), 0))) for key, v in have.items()]
+                for first, gamma, xi in blocks:
+                    states = gamma.shape[2]
+                    flat, symbol = gamma.reshape(-1, states), obs[:, first : first + gamma.shape[1]].ravel()
+                    if not first:
+                        add(word, "pi", _lse(gamma[:, 0], 0)[:, None])
+                    if xi.shape[1]:
+                        add(word, "a", _lse(xi.reshape(-1, states, states), 0))
+                        add(word, "a_all", _lse(gamma[:, : xi.shape[1]].reshape(-1, states), 0)[:, None])
+                    add(word, "b_all", _lse(flat, 0)[:, None])
+                    each = np.full(logs[word][1].shape, -np.inf)
+                    for k in np.unique(symbol):
+                        each[:, k] = _lse(flat[symbol == k], 0)
+                    add(word, "b", each)
+        out = [(word, kind, i, j, float(v)) for (word, kind), values in have.items() for (i, j), v in np.ndenumerate(values) if np.isfinite(v)]
         yield pd.DataFrame(out, columns=["word", "kind", "i", "j", "v"])
 
     parts = sequences.select(*schema.KEY, "obs").mapInPandas(run, _LONG)

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voxplan.functions.logmath import NEVER
-from voxplan.operators.hmm import forward_loglik
+from voxplan.operators.hmm import forward_loglik, forward_loglik_blocks
 
 UNKNOWN = "unknown"
 
@@ -35,6 +35,17 @@ def predict_sequences(sequences: DataFrame, models: DataFrame) -> DataFrame:
     return best.select("word", "recording", F.when(F.col("loglik") == NEVER, UNKNOWN).otherwise(F.col("model_word")).alias("predicted"), "loglik")
 
 
+def score_blocks(sequences: DataFrame, models: DataFrame, block: int = 256) -> DataFrame:
+    """As score_all, for thousands of models, of which a task has some."""
+    return forward_loglik_blocks(sequences, models, block=block)
+
+
+def predict_blocks(sequences: DataFrame, models: DataFrame, block: int = 256) -> DataFrame:
+    """As predict_sequences, for thousands of models: each block's winners are merged."""
+    best = forward_loglik_blocks(sequences, models, True, block)
+    return best.select("word", "recording", F.when(F.col("loglik") == NEVER, UNKNOWN).otherwise(F.col("model_word")).alias("predicted"), "loglik")
+
+
 def rank_models(scores: DataFrame) -> DataFrame:
     """scores with rank, from 1, by falling likelihood and then word."""
     order = W.partitionBy("word", "recording").orderBy(F.desc("loglik"), "model_word")

@@ -244,3 +244,4 @@ CASE s WHEN 0 THEN {r6('m')} END AS mfcc, CASE WHEN s > 0 THEN {r6('r')} END AS
     "io6_models_json": SQL["io6_models"],
 }
 SQL["st2_clips_by_start"] = with_("t AS (SELECT user_id AS recorder, value, ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx FROM events)", out=f"SELECT recorder, epoch_us(arg_min(ts, idx)) AS us, arg_min(event_id, idx) AS seq, CAST(0 AS INT) AS first, CAST(count(*) AS INT) AS n, {r6('sum(value)')} AS total FROM t GROUP BY recorder, idx // 16 HAVING count(*) = 16")
+SQL |= {"hm3_forward_blocks": SQL["hm3_forward"], "hm4_forward_backward_blocks": SQL["hm4_forward_backward"], "sc2_predict_blocks": SQL["sc2_predict"]}

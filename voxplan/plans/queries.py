@@ -287,12 +287,27 @@ def hm3_forward(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hm4_forward_backward(spark: SparkSession, sf: str) -> DataFrame:
+    return _posteriors(spark, sf, None)
+
+
+def _posteriors(spark: SparkSession, sf: str, block: int | None) -> DataFrame:
     seqs = fx.sequences(spark, sf)
-    rows = hmm.forward_backward(seqs, _start(seqs)).where("kind <> 'loglik'")
+    rows = hmm.forward_backward(seqs, _start(seqs), block).where("kind <> 'loglik'")
     rows = rows.withColumn("t", F.when(F.col("kind") == "gamma", F.col("t")).otherwise(-1)).groupBy("word", "recording", "kind", "t", "i", "j").agg(F.sum(logmath.safe_exp(F.col("v"))).alias("p"))
     return rows.select("word", "recording", "kind", "t", "i", "j", r6("p").alias("p"))
 
 
+def hm3_forward_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """As hm3_forward, by blocks of about three models."""
+    seqs = fx.sequences(spark, sf)
+    return hmm.forward_loglik_blocks(seqs, _start(seqs), block=3, symbols=1000).select("word", "recording", "model_word", r6("loglik").alias("loglik"))
+
+
+def hm4_forward_backward_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """As hm4_forward_backward, at a block length that divides no sequence evenly."""
+    return _posteriors(spark, sf, 3)
+
+
 def hm5_m_step(spark: SparkSession, sf: str) -> DataFrame:
     seqs = fx.sequences(spark, sf)
     return hmm.m_step(hmm.statistics(seqs, hmm.log_arrays(_start(seqs))), M).select("word", "kind", "i", "j", r6("p").alias("p"))
@@ -328,6 +343,12 @@ def sc2_predict(spark: SparkSession, sf: str) -> DataFrame:
     return _predictions(spark, sf).select("word", "recording", "predicted", r6("loglik").alias("loglik"))
 
 
+def sc2_predict_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """As sc2_predict, by blocks of about three models."""
+    seqs = fx.sequences(spark, sf)
+    return scoring.predict_blocks(seqs, _trained(seqs), 3).select("word", "recording", "predicted", r6("loglik").alias("loglik"))
+
+
 def sc3_rank_models(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.rank_models(_scores(spark, sf)).select("word", "recording", "model_word", "rank", r6("loglik").alias("loglik"))
 
