@@ -105,3 +105,18 @@ def top_issues(df: DataFrame, n: int = 5) -> DataFrame:
     bad = df.where(F.size("issues") > 0).select("word", "recording", "frame_number", "issues")
     total = bad.agg(F.count("*").alias("_n"))
     return bad.orderBy("word", "recording", "frame_number").limit(n).crossJoin(F.broadcast(total)).select("word", "recording", "frame_number", "issues", F.greatest(F.col("_n") - n, F.lit(0)).alias("rest"))
+
+
+def assignment_sets(frames: DataFrame) -> DataFrame:
+    """(kind, centroid, generation, word, recording, n, centroids, generations) of assigned frames: all of them, each centroid, each generation and each recording.
+
+    One pass with grouping sets; the last two columns are the sorted distinct centroids and generations, as many as the
+    codebook has at most. Frames without a centroid are left out.
+    """
+    there = frames.where("parent_centroid_id is not null")
+    sets = [[], ["parent_centroid_id"], ["generation"], ["word", "recording"]]
+    every = F.grouping_id("parent_centroid_id", "generation", "word", "recording")
+    out = there.groupingSets(sets, "parent_centroid_id", "generation", "word", "recording").agg(
+        every.alias("level"), F.count("*").alias("n"), F.sort_array(F.collect_set(F.col("parent_centroid_id") + 0)).alias("centroids"), F.sort_array(F.collect_set(F.col("generation") + 0)).alias("generations"))
+    kind = F.when(F.col("level") == 15, "all").when(F.col("level") == 7, "centroid").when(F.col("level") == 11, "generation").otherwise("recording")
+    return out.select(kind.alias("kind"), F.col("parent_centroid_id").alias("centroid"), "generation", "word", "recording", "n", "centroids", "generations")

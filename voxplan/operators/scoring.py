@@ -61,6 +61,17 @@ def confusion_matrix(predictions: DataFrame, true: str = "word", predicted: str
     return grid.join(counts, ["true", "predicted"], "left").crossJoin(F.broadcast(total)).select("true", "predicted", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "accuracy")
 
 
+def confusion_dense(predictions: DataFrame, labels: list[str], true: str = "word", predicted: str = "predicted") -> DataFrame:
+    """A row for each of a fixed list of labels, in their order, with a column of counts for each of them, `unlisted` for predictions outside it, and the row's share of hits in percent (null without rows)."""
+    said = F.when(F.col(predicted).isin(labels), F.col(predicted)).otherwise("unlisted")
+    counts = predictions.where(F.col(true).isin(labels)).select(F.col(true).alias("true"), said.alias("said")).groupBy("true").pivot("said", [*labels, "unlisted"]).agg(F.count(F.lit(1)))
+    order = predictions.sparkSession.createDataFrame(list(enumerate(labels)), "place int, true string")
+    names = [*labels, "unlisted"]
+    rows = F.broadcast(order).join(counts, "true", "left").select("place", "true", *(F.coalesce(F.col(f"`{c}`"), F.lit(0)).cast("long").alias(c) for c in names))
+    hits = F.coalesce(*(F.when(F.col("true") == c, F.col(f"`{c}`")) for c in labels))
+    return rows.withColumn("hits", hits / F.nullif(sum((F.col(f"`{c}`") for c in names), F.lit(0)), F.lit(0)) * 100)
+
+
 def classification_report(predictions: DataFrame, true: str = "word", predicted: str = "predicted") -> DataFrame:
     """(label, precision, recall, f1, support) for each label, then accuracy, macro avg and weighted avg; 0 / 0 is 0."""
     cells = confusion_matrix(predictions, true, predicted)

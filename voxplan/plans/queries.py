@@ -236,6 +236,12 @@ def qa3_assignment_report(spark: SparkSession, sf: str) -> DataFrame:
     return quality.assignment_report(_assigned(spark, sf).withColumn("generation", F.lit(2)))
 
 
+def qa3_grouping_sets(spark: SparkSession, sf: str) -> DataFrame:
+    rows = quality.assignment_sets(_assigned(spark, sf).withColumn("generation", F.col("frame_number") % 3))
+    text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return rows.select("kind", *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("centroid", "generation", "word", "recording")), "n", text("centroids"), text("generations"))
+
+
 def qa4_usage_stats(spark: SparkSession, sf: str) -> DataFrame:
     return quality.usage_stats(_assigned(spark, sf)).select("per", "min", "max", r6("mean").alias("mean"), r6("std").alias("std"))
 
@@ -358,6 +364,13 @@ def sc4_confusion_matrix(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.confusion_matrix(rows).select("true", "predicted", "n", r6("accuracy").alias("accuracy"))
 
 
+def sc4_confusion_dense(spark: SparkSession, sf: str) -> DataFrame:
+    """Languages of documents against those that a document of the next id has: a label that never occurs, and those outside the list."""
+    rows = fx.table(spark, sf, "documents").select("doc_id", "lang")
+    pairs = rows.select("doc_id", F.col("lang").alias("word")).join(rows.select((F.col("doc_id") - 1).alias("doc_id"), F.col("lang").alias("predicted")), "doc_id")
+    return scoring.confusion_dense(pairs, ["de", "en", "xx"]).select("place", "true", "de", "en", "xx", "unlisted", r6(F.coalesce("hits", F.lit(-1.0))).alias("hits"))
+
+
 def sc5_classification_report(spark: SparkSession, sf: str) -> DataFrame:
     out = scoring.classification_report(_predictions(spark, sf))
     return out.select("label", *(r6(c).alias(c) for c in ("precision", "recall", "f1")), "support")
