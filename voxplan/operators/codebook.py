@@ -55,6 +55,36 @@ def distances(x: np.ndarray, centroids: np.ndarray, metric: str, skip_first: boo
     return np.abs((x[:, :n] * weight) @ ra.T)
 
 
+def nearest(x: np.ndarray, centroids: np.ndarray, metric: str, skip_first: bool) -> tuple[np.ndarray, np.ndarray, int]:
+    """(row of the nearest centroid, distance, distances computed in full) for each row of x; the first of equally near ones, and row 0 at infinity for what is no number.
+
+    A matrix product gives squared Euclidean distances up to rounding; only centroids within that of the least one are
+    compared in full, so rows and distances are those of distances().
+    """
+    if metric != "euclidean":
+        d = distances(x, centroids, metric, skip_first)
+        d = np.where(np.isnan(d), np.inf, d)
+        near = d.argmin(axis=1)
+        return near, d[np.arange(len(d)), near], d.size
+    a, b = (x[:, 1:], centroids[:, 1:]) if skip_first else (x, centroids)
+    with np.errstate(all="ignore"):
+        lengths = (b * b).sum(axis=1)
+        rough = (a * a).sum(axis=1)[:, None] + lengths - 2 * (a @ b.T)
+        slack = 64 * np.finfo(float).eps * ((a * a).sum(axis=1) + lengths.max()) * max(1, a.shape[1])
+        listed = ~(rough > (rough.min(axis=1) + slack)[:, None])  # all of them where there are no numbers
+    row, c = np.nonzero(listed)
+    total = np.zeros(len(row))
+    with np.errstate(all="ignore"):
+        for d in range(a.shape[1]):
+            total += (a[row, d] - b[c, d]) ** 2
+    total = np.sqrt(np.where(np.isnan(total), np.inf, total))
+    first = np.flatnonzero(np.diff(row, prepend=-1))
+    least = np.minimum.reduceat(total, first) if len(first) else total
+    best = np.flatnonzero(total == np.repeat(least, np.diff(first, append=len(row))))
+    _, at = np.unique(row[best], return_index=True)  # the first of the least
+    return c[best[at]], least, len(row)
+
+
 def assign_nearest(frames: DataFrame, codebook: DataFrame | tuple[np.ndarray, np.ndarray], column: str = "mfcc", metric: str = "euclidean", skip_first: bool = True) -> DataFrame:
     """frames with parent_centroid_id and distance; the least id of equally near ones, and id 0 for features that are no numbers."""
     ids, centroids = codebook if isinstance(codebook, tuple) else codebook_array(codebook, "lpc" if metric == "itakura_saito" and "lpc" in codebook.columns else "vec")
@@ -65,10 +95,8 @@ def assign_nearest(frames: DataFrame, codebook: DataFrame | tuple[np.ndarray, np
         for rows in batches:
             if len(rows):
                 x = np.stack([np.asarray(v, float) for v in rows[column]])
-                d = np.concatenate([distances(x[k : k + 4096], centroids, metric, skip_first) for k in range(0, len(x), 4096)])
-                d = np.where(np.isnan(d), np.inf, d)
-                near = d.argmin(axis=1)
-                rows = rows.assign(parent_centroid_id=ids[near].astype(np.int32), distance=d[np.arange(len(d)), near])
+                near, d, _ = (np.concatenate(y) if np.ndim(y[0]) else sum(y) for y in zip(*(nearest(x[k : k + 4096], centroids, metric, skip_first) for k in range(0, len(x), 4096))))
+                rows = rows.assign(parent_centroid_id=ids[near].astype(np.int32), distance=d)
                 yield rows
 
     kind = T.StructType([*base.schema.fields, T.StructField(names[0], T.IntegerType()), T.StructField(names[1], T.DoubleType())])
@@ -83,38 +111,37 @@ def update_codebook(assigned: DataFrame, k: int, column: str = "mfcc", width: in
     return every.join(F.broadcast(means), "id", "left").select("id", F.coalesce("vec", F.array_repeat(F.lit(0.0), width)).alias("vec"))  # means: k rows at most
 
 
-def _pass(frames: DataFrame, ids: np.ndarray, centroids: np.ndarray, column: str, metric: str, skip_first: bool, judge: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """(sums, counts, total distance) of one assignment; a row for each centroid and task is all that moves."""
+def _pass(frames: DataFrame, ids: np.ndarray, centroids: np.ndarray, column: str, metric: str, skip_first: bool, judge: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, float]:
+    """(sums, counts, total distance, distances computed in full) of one assignment; a row for each centroid and task is all that moves."""
     k, width = centroids.shape
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums, counts, total = np.zeros((k, width)), np.zeros(k), np.zeros(k)
+        sums, counts, total, full = np.zeros((k, width)), np.zeros(k), np.zeros(k), 0
         for rows in batches:
             if not len(rows):
                 continue
             x = np.stack([np.asarray(v, float) for v in rows[column]])
             by = x if metric == "euclidean" else np.stack([np.asarray(v, float) for v in rows["autocorr"]])
             for s in range(0, len(x), 4096):
-                d = distances(by[s : s + 4096], judge, metric, skip_first)
-                d = np.where(np.isnan(d), np.inf, d)
-                near = d.argmin(axis=1)
+                near, d, compared = nearest(by[s : s + 4096], judge, metric, skip_first)
+                full += compared
                 np.add.at(sums, near, x[s : s + 4096])
                 counts += np.bincount(near, minlength=k)
-                total += np.bincount(near, d[np.arange(len(d)), near], minlength=k)
+                total += np.bincount(near, d, minlength=k)
         used = np.flatnonzero(counts)
-        yield pd.DataFrame({"c": used, "sums": pd.Series(list(sums[used]), dtype=object), "n": counts[used], "d": total[used]})
+        yield pd.DataFrame({"c": used, "sums": pd.Series(list(sums[used]), dtype=object), "n": counts[used], "d": total[used], "m": [float(full)] * (len(used) > 0) + [0.0] * (len(used) - 1)})
 
-    rows = frames.mapInPandas(run, "c int, sums array<double>, n double, d double").select("c", F.posexplode("sums").alias("pos", "v"), "n", "d")
-    rows = rows.groupBy("c", "pos").agg(F.sum("v").alias("v"), F.sum("n").alias("n"), F.sum("d").alias("d")).collect()
-    sums, counts, total = np.zeros((k, width)), np.zeros(k), 0.0
+    rows = frames.mapInPandas(run, "c int, sums array<double>, n double, d double, m double").select("c", F.posexplode("sums").alias("pos", "v"), "n", "d", "m")
+    rows = rows.groupBy("c", "pos").agg(*(F.sum(x).alias(x) for x in ("v", "n", "d", "m"))).collect()
+    sums, counts, total, full = np.zeros((k, width)), np.zeros(k), 0.0, 0.0
     for r in rows:
         sums[r["c"], r["pos"]], counts[r["c"]] = r["v"], r["n"]
-        total += r["d"] if r["pos"] == 0 else 0.0
-    return sums, counts, total
+        total, full = (total + r["d"], full + r["m"]) if r["pos"] == 0 else (total, full)
+    return sums, counts, total, full
 
 
 def train_codebook(frames: DataFrame, k: int = 256, max_iter: int = 100, eps: float = 0.001, feature: str = "mfcc", metric: str = "euclidean") -> dict[str, DataFrame]:
-    """codebook, generations, assigned frames and log (generation, iteration, distance, diff).
+    """codebook, generations, assigned frames and log (generation, iteration, distance, diff, compared: distances computed in full).
 
     Per generation the codebook doubles and is refined until the total distance changes by eps at most or max_iter passes
     are made. The assigned frames are those of the last pass, so of the codebook one update earlier. k = 1 is the mean.
@@ -131,10 +158,10 @@ def train_codebook(frames: DataFrame, k: int = 256, max_iter: int = 100, eps: fl
             before = 0.0
             for iteration in range(1, max_iter + 1):
                 judged = centroids
-                sums, counts, total = _pass(kept, np.arange(len(centroids)), centroids, feature, metric, skip_first, _judge(centroids, metric))
+                sums, counts, total, full = _pass(kept, np.arange(len(centroids)), centroids, feature, metric, skip_first, _judge(centroids, metric))
                 centroids = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], 0.0)
                 diff, before = abs(before - total), total
-                log.append((generation, iteration, float(total), float(diff)))
+                log.append((generation, iteration, float(total), float(diff), int(full)))
                 if diff <= eps:
                     break
             generations.append(centroids)
@@ -148,7 +175,7 @@ def train_codebook(frames: DataFrame, k: int = 256, max_iter: int = 100, eps: fl
         "codebook": spark.createDataFrame(book, schema.CODEBOOK),
         "generations": spark.createDataFrame(past, schema.GENERATIONS),
         "assigned": assigned.withColumn("generation", F.lit(len(generations) - 1)),
-        "log": spark.createDataFrame(log, "generation int, iteration int, distance double, diff double"),
+        "log": spark.createDataFrame(log, "generation int, iteration int, distance double, diff double, compared long"),
     }
 
 

@@ -250,5 +250,5 @@ SQL |= {
     "qa3_grouping_sets": with_(*_ASSIGNED, "g AS (SELECT word, recording, CAST(parent_centroid_id AS VARCHAR) AS centroid, CAST(frame_number % 3 AS VARCHAR) AS generation FROM near)", out=" UNION ALL ".join(
         f"SELECT '{kind}' AS kind, {', '.join(f'{c} AS {c}' if c in by else f'{chr(39) * 2} AS {c}' for c in ('centroid', 'generation', 'word', 'recording'))}, n, centroids, generations FROM (SELECT {', '.join((*by, 'count(*) AS n', _SETS))} FROM g {'GROUP BY ALL' * bool(by)})"
         for kind, by in (("all", ()), ("centroid", ("centroid",)), ("generation", ("generation",)), ("recording", ("word", "recording"))))),
-    "sc4_confusion_dense": with_("p AS (SELECT a.lang AS t, CASE WHEN b.lang IN ('de', 'en', 'xx') THEN b.lang ELSE 'unlisted' END AS q FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1)", "l(place, true) AS (VALUES (0, 'de'), (1, 'en'), (2, 'xx'))", out=f"SELECT CAST(place AS INT) AS place, true, {', '.join(f'count(*) FILTER (q = {chr(39)}{c}{chr(39)}) AS {c}' for c in ('de', 'en', 'xx', 'unlisted'))}, {r6('coalesce(avg(CASE WHEN t = q THEN 1e0 WHEN t IS NOT NULL THEN 0e0 END) * 100, -1e0)')} AS hits FROM l LEFT JOIN p ON t = true GROUP BY place, true"),
+    "sc4_confusion_dense": with_("p AS (SELECT a.lang AS t, CASE WHEN b.lang IN ('de', 'en', 'xx') THEN b.lang ELSE 'unlisted' END AS q FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1)", "l(place, label) AS (VALUES (0, 'de'), (1, 'en'), (2, 'xx'))", out=f"SELECT CAST(place AS INT) AS place, label AS true, {', '.join(f'count(*) FILTER (q = {chr(39)}{c}{chr(39)}) AS {c}' for c in ('de', 'en', 'xx', 'unlisted'))}, {r6('coalesce(avg(CASE WHEN t = q THEN 1e0 WHEN t IS NOT NULL THEN 0e0 END) * 100, -1e0)')} AS hits FROM l LEFT JOIN p ON t = label GROUP BY place, label"),
 }

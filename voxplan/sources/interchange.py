@@ -27,7 +27,7 @@ _RECORD = {
 
 
 def _documents(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("wholetext", True).option("pathGlobFilter", _FILES).option("recursiveFileLookup", "true").text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    return spark.read.option("pathGlobFilter", _FILES).option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
 def _folder(up: int) -> Column:
