@@ -84,6 +84,7 @@ class SortedArrays:
         sane = math.isfinite(self.longest) and length > 0  # else every window is endless
         centre = (projections(dim + 1)[:, :dim] @ (query * (self.longest / length) if sane else query)).tolist()
         left = right = None
+        top = np.zeros(0)  # the best `many` scores so far
         radius = START * bound if sane else np.inf
         while True:
             reach = WIDTH * radius
@@ -96,8 +97,11 @@ class SortedArrays:
                 count += np.bincount(np.concatenate(new), minlength=n)
             left, right = lo, hi
             fit = np.flatnonzero((count >= need) & (score == -np.inf))
-            score[fit] = self.vectors.take(fit, axis=0) @ query
-            last = np.partition(score, n - many)[n - many] if n >= many else -np.inf
+            score[fit] = new = self.vectors.take(fit, axis=0) @ query
+            top = np.concatenate([top, new])
+            if len(top) >= many:
+                top = np.partition(top, len(top) - many)[-many:]
+            last = top.min() if len(top) >= many else -np.inf
             far = min(bound, math.sqrt(max(0.0, 2 * self.longest * (self.longest - last / length)))) if sane and last > -np.inf else bound
             if radius >= far:
                 break
