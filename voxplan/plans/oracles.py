@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from voxplan.operators.hmm import PI, A
 from voxplan.plans.fixtures import FR64, FRAME, HOP, RATE, SIG, SIG16, SYM, WINDOW, WINDOW_HOP
-from voxplan.plans.queries import WARM_B
+
+# Fixed values of the default model (four states, left to right) and of the warm one of word w0, written out here so that the operators' own are held against them.
+_PI = (0.97, 0.02, 0.005, 0.005)
+_A = ((0.6, 0.4, 0.0, 0.0), (0.0, 0.6, 0.4, 0.0), (0.0, 0.0, 0.6, 0.4), (0.0, 0.0, 0.0, 1.0))
+_WARM_B = (0.4, 0.3, 0.1, 0.1, 0.1)
 
 PRE = "pre AS (SELECT word, recording, idx, CASE WHEN idx = 0 THEN 0e0 ELSE x - 0.95e0 * lag(x) OVER (PARTITION BY word, recording ORDER BY idx) END AS x FROM sig)"
 
@@ -87,9 +90,9 @@ _FAULTY = "faulty AS (SELECT word, recording, frame_number, raw_samples, CASE fr
 
 _START = f"""words AS (SELECT DISTINCT word FROM sym),
 start AS (
-  SELECT word, 'pi' AS kind, i, 0 AS j, p FROM words, (VALUES {", ".join(f"({i}, {p}e0)" for i, p in enumerate(PI))}) t(i, p)
-  UNION ALL SELECT word, 'a', i, j, p FROM words, (VALUES {", ".join(f"({i}, {j}, {p}e0)" for i, r in enumerate(A) for j, p in enumerate(r))}) t(i, j, p)
-  UNION ALL SELECT word, 'b', i, j, CASE WHEN word = 'w0' THEN p ELSE 0.2e0 END FROM words, (VALUES {", ".join(f"({j}, {p}e0)" for j, p in enumerate(WARM_B))}) t(j, p), (VALUES (0), (1), (2), (3)) s(i))"""
+  SELECT word, 'pi' AS kind, i, 0 AS j, p FROM words, (VALUES {", ".join(f"({i}, {p}e0)" for i, p in enumerate(_PI))}) t(i, p)
+  UNION ALL SELECT word, 'a', i, j, p FROM words, (VALUES {", ".join(f"({i}, {j}, {p}e0)" for i, r in enumerate(_A) for j, p in enumerate(r))}) t(i, j, p)
+  UNION ALL SELECT word, 'b', i, j, CASE WHEN word = 'w0' THEN p ELSE 0.2e0 END FROM words, (VALUES {", ".join(f"({j}, {p}e0)" for j, p in enumerate(_WARM_B))}) t(j, p), (VALUES (0), (1), (2), (3)) s(i))"""
 
 
 def _params(models: str, p: str) -> str:

@@ -30,10 +30,9 @@ def read_processed(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def write_frames(df: DataFrame, path: str, files: int = 8) -> None:
-    """Frames, one folder for each purpose and word with up to so many files; reading one purpose reads its folders only."""
-    salt = F.pmod(F.xxhash64("recording"), F.lit(files))
-    df.repartition("purpose", "word", salt).write.mode("overwrite").partitionBy("purpose", "word").parquet(path)
+def write_frames(df: DataFrame, path: str) -> None:
+    """Frames, one folder for each purpose and word; reading one purpose reads its folders only. How many files a folder gets follows its size: small ones are written by one task, large ones are split."""
+    df.hint("rebalance", "purpose", "word").write.mode("overwrite").partitionBy("purpose", "word").parquet(path)
 
 
 def read_frames(spark: SparkSession, path: str, purpose: str | None = None, word: str | None = None, recording: str | None = None) -> DataFrame:
