@@ -463,6 +463,16 @@ def test_queries_of_rules():
     assert secrets.required("[0-9a-f]+") == []
     assert secrets.required("(?:foo|bar)?baz") == [frozenset({"baz"})] or all("baz" in s for c in secrets.required("(?:foo|bar)?baz") for s in c)
     assert secrets.required("x*abc.def+") == [frozenset({"abc"})]
+    assert {"password", "passwd", "secret", "token", "apikey", "api_key"} <= secrets.required(secrets.BASE[0].pattern)[0]
+
+
+def test_letters_beyond_ascii_lose_no_match(spark):
+    rules = tuple(secrets.Rule(f"r{i}", p) for i, p in enumerate(("ÉCOLE[0-9]+", "(?i:key)[0-9]+", "(?i)straße[0-9]+", "(?ai:token)[0-9]+", "(?i:(?-i:ABC)x)[0-9]+", "(?i:pass|maß)[0-9]+", "Ключ[0-9]+", "[éÉ]té[0-9]+")))
+    texts = ["xx ÉCOLE12345", "école1", "\u212aey77 KEY8", "STRAßE4 stra\u1e9ee5", "ToKeN5 to\u212aen6", "ABCX1 abcx2", "pa\u017fs3 MAß4 PASS5", "Ключ123 ключ4", "Été9 été8", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for i, r in enumerate(secrets.scan(df, rules).orderBy("doc_id").collect()):
+        want = sorted((m.start(), q.kind, m.end()) for q in rules for m in q.compiled().finditer(texts[i] or ""))
+        assert sorted((x["start"], x["kind"], x["end"]) for x in r["secrets"]) == want
 
 
 def test_redaction(spark, docs):

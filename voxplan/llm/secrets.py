@@ -62,7 +62,7 @@ RULES = BASE + MORE
 
 
 def required(pattern: str, most: int = 64) -> list[Clause]:
-    """Clauses that every match satisfies: of each clause's literals (lower case, 3 bytes at least) one occurs in the match.
+    """Clauses that every match satisfies: of each clause's literals (A-Z in lower case, 3 letters at least) one occurs in the match.
 
     Runs of literals and alternatives between them are multiplied out to strings while these stay few; everything that a
     match can do without, and every class of characters, ends a run.
@@ -76,22 +76,28 @@ def required(pattern: str, most: int = 64) -> list[Clause]:
             clauses.append(Clause(run))
         run = {""}
 
-    def strings(items) -> set[str] | None:
+    def letter(c: int, flags: int) -> set[str] | None:
+        """A literal as texts are indexed, that is with A-Z alone lowered; None if case lets it match other bytes as well."""
+        wide = flags & re.IGNORECASE and (c > 127 or not flags & re.ASCII and chr(c) in "IKSiks")  # these three have partners beyond ASCII
+        return None if wide else {chr(c).lower() if c < 128 else chr(c)}
+
+    def strings(items, flags: int) -> set[str] | None:
         """All strings that the items can match, or None if these aren't few literals."""
         got = {""}
         for op, arg in items:
             if op is sre.LITERAL:
-                part = {chr(arg).lower()}
+                part = letter(arg, flags)
             elif op is sre.SUBPATTERN:
-                part = strings(arg[-1])
+                part = strings(arg[-1], flags & ~arg[2] | arg[1])
             elif op is sre.BRANCH:
-                ways = [strings(x) for x in arg[1]]
+                ways = [strings(x, flags) for x in arg[1]]
                 part = None if None in ways else set().union(*ways)
             elif op is sre.MAX_REPEAT and arg[1] <= 2:
-                once = strings(arg[2])
+                once = strings(arg[2], flags)
                 part = None if once is None else {x * n for x in once for n in range(arg[0], arg[1] + 1)}
             elif op is sre.IN and all(o is sre.LITERAL for o, _ in arg):
-                part = {chr(c).lower() for _, c in arg}
+                ways = [letter(c, flags) for _, c in arg]
+                part = None if None in ways else set().union(*ways)
             else:
                 return None
             if part is None or len(got) * len(part) > most:
@@ -99,11 +105,11 @@ def required(pattern: str, most: int = 64) -> list[Clause]:
             got = {a + b for a in got for b in part}
         return got
 
-    def walk(items) -> None:
+    def walk(items, flags: int) -> None:
         nonlocal run
         for item in items:
             op, arg = item
-            part = strings([item])
+            part = strings([item], flags)
             if part is not None and len(run) * len(part) <= most:
                 run = {a + b for a in run for b in part}
                 continue
@@ -111,19 +117,20 @@ def required(pattern: str, most: int = 64) -> list[Clause]:
             if part is not None:
                 run = part
             elif op is sre.SUBPATTERN:
-                walk(arg[-1])
+                walk(arg[-1], flags & ~arg[2] | arg[1])
             elif op is sre.MAX_REPEAT and arg[0] > 0:
-                walk(arg[2])
+                walk(arg[2], flags)
                 close()
         return
 
-    walk(sre_parse.parse(pattern))
+    parsed = sre_parse.parse(pattern)
+    walk(parsed, parsed.state.flags)
     close()
     return clauses
 
 
 def trigrams(literal: str) -> list[int]:
-    b = literal.lower().encode()
+    b = literal.encode().lower()  # of bytes, A-Z alone
     return [b[i] << 16 | b[i + 1] << 8 | b[i + 2] for i in range(len(b) - 2)]
 
 
