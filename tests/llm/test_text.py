@@ -115,9 +115,10 @@ def roots_by_hand(edges):
     return {x: find(x) for x in root}
 
 
-@pytest.mark.parametrize("hot", [1, 5, 1000])
-def test_components_of_hubs_and_chains(spark, monkeypatch, hot):
+@pytest.mark.parametrize("hot, local", [(1, 0), (5, 40), (1000, 0), (1000, 1 << 20)])
+def test_components_of_hubs_and_chains(spark, monkeypatch, hot, local):
     monkeypatch.setattr(graph, "HOT", hot)
+    monkeypatch.setattr(graph, "LOCAL", local)
     rng = random.Random(hot)
     ids = rng.sample(range(-(10**12), 10**12), 700)
     edges = [(ids[300], x) for x in ids[:200]] + list(zip(ids[200:300], ids[201:300])) + [(ids[301], x) for x in ids[302:330]] + [(ids[i], ids[rng.randrange(400, 700)]) for i in range(400, 560)]
@@ -129,6 +130,15 @@ def test_components_of_hubs_and_chains(spark, monkeypatch, hot):
     assert graph.components(spark.createDataFrame([(3, 3)], "u long, v long")).count() == 0
 
 
+def test_rounds_grow_with_the_logarithm_of_a_rising_chain(spark, monkeypatch):
+    rounds, write = [], graph.written
+    monkeypatch.setattr(graph, "LOCAL", 0)
+    monkeypatch.setattr(graph, "written", lambda df, what: (rounds.append(what), write(df, what))[1])
+    found = graph.components(spark.range(1000).selectExpr("id AS u", "id + 1 AS v"))
+    assert (found.count(), found.select("root").distinct().count()) == (1001, 1)
+    assert rounds.count("step") <= 15
+
+
 @pytest.mark.parametrize("block", [3, 5, 7, 9])
 def test_links_lose_no_pair(spark, block):
     rng = np.random.default_rng(block)

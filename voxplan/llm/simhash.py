@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import LOWER, bounded_batches, fresh, mix, prefix_hash, range_hash, read_table, shingles, text_slices, without_rows, words, written
-from .graph import components
+from .graph import components, forest
 from .jaccard import bucket_roots, shared
 from .minhash import signatures
 
@@ -126,16 +126,7 @@ def _forest(a: np.ndarray, b: np.ndarray, distance: int) -> tuple[np.ndarray, np
         u.append(at[: len(a)][i])
         v.append(at[len(a) :][j + k])
     u, v = np.concatenate(u), np.concatenate(v)
-    keep = u != v
-    u, v, root = u[keep], v[keep], np.arange(len(nodes))
-    while len(u):
-        low = np.minimum(root[u], root[v])
-        np.minimum.at(root, root[u], low)
-        np.minimum.at(root, root[v], low)
-        while (root != root[root]).any():
-            root = root[root]
-        keep = root[u] != root[v]
-        u, v = u[keep], v[keep]
+    root = forest(u, v, len(nodes))
     linked = np.flatnonzero(root != np.arange(len(nodes)))
     return nodes[linked], nodes[root[linked]]
 
