@@ -1,7 +1,7 @@
 """Benchmark decontamination by template windows; DataFrame functions only.
 
 A text's tokens are its white-space pieces. A piece with a digit becomes the placeholder #num, a unit right after a number
-#unit, a capitalised piece that doesn't begin a sentence #name; the others are lower-cased and lose their punctuation.
+#unit, a piece that doesn't begin a sentence and has a capital of any script, after opening marks or none, #name; the others are lower-cased and lose their punctuation.
 Windows of WINDOW template tokens are joined by hash, documents against benchmark items, so a question with other
 numbers, names or units meets the item that it was made from. An item without a window of enough literal tokens is one
 window as a whole: of its template, or of its very words and numbers if it has few literal tokens at all. Matches of a
@@ -28,15 +28,16 @@ RUN = 5
 AGREEING = 0.5
 #: Bytes of benchmark windows that are sent to every task, at most; beyond it both sides are shuffled (a frequent window is then a skewed join, which adaptive execution splits).
 BROADCAST_BYTES = 32 << 20
-_MARKS = ".,;:!?\"()'"
+_MARKS = ".,;:!?\"()'«»„“”‘’¿¡"
+#: Longer words that are units after a number; a word of up to three letters, of any script, or a sign is one there whatever it is.
 UNITS = ("mm", "cm", "m", "km", "g", "mg", "kg", "t", "l", "ml", "s", "ms", "h", "min", "mph", "kmh", "lb", "lbs", "oz", "ft", "mi", "usd", "eur", "dollar", "dollars", "euro", "euros", "cent", "cents", "percent", "inch", "inches", "foot", "feet", "mile", "miles", "meter", "meters", "metre", "metres", "gram", "grams", "liter", "liters", "litre", "litres", "second", "seconds", "minute", "minutes", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years")
 
 
 def _template(text: Column) -> Column:
     """The text with placeholders; white space stays where it is, so pieces keep their numbers."""
     out = F.regexp_replace(text, r"(?<!\S)[^\s0-9]*+[0-9]\S*+", "#num")
-    out = F.regexp_replace(out, r"(?<=[^\s.!?:]\s)[A-Z]\S*+", "#name")
-    out = F.regexp_replace(out, rf"(?<=#num\s)(?:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?=[\s.,;:!?)]|$)", "#unit")
+    out = F.regexp_replace(out, r"(?<=[^\s.!?:]\s)[\"('«„“‘¿¡]*+\p{Lu}\S*+", "#name")
+    out = F.regexp_replace(out, rf"(?<=#num\s)(?:{'|'.join(sorted(UNITS, key=len, reverse=True))}|\p{{Ll}}{{1,3}}|[%‰°€$£¥]\p{{L}}?)(?=[\s.,;:!?)]|$)", "#unit")
     return F.translate(F.lower(out), _MARKS, "")
 
 
