@@ -558,6 +558,24 @@ def test_short_and_number_heavy_items(spark):
     assert got == {(0, 0), (1, 1), (2, 2), (5, 0), (7, 3)}
 
 
+def test_names_of_any_script_and_units_by_place(spark):
+    items = [
+        "Au marché la vendeuse Anna pèse 12 km de pommes pour Bob avant de rentrer chez elle avec 4 sacs",
+        "На рынке продавец Анна взвешивает 12 кг яблок для Бориса перед тем как вернуться домой с 4 мешками",
+        "Auf dem markt wiegt die frau Anna genau 12 kg äpfel für Bob ab bevor sie mit 4 säcken heimgeht",
+        "En el mercado la mujer Anna pesa 12 kg de manzanas para Bob antes de volver a casa con 4 sacos",
+    ]
+    swaps = [{"Anna": "«Émile»", "Bob": "Zoë", "12 km": "7 lb"}, {"Анна": "Ольга", "Бориса": "Юрия", "12 кг": "7 т"}, {"Anna": "„Ulla“", "Bob": "Özgür", "12 kg": "30 %"}, {"Anna": "\"Íñigo\"", "Bob": "Ángel", "12 kg": "7 oz"}]
+    others = []
+    for item, swap in zip(items, swaps):
+        for a, b in swap.items():
+            item = item.replace(a, b)
+        others.append(item)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["n_matched"] == r["n_windows"]) for r in decontam.contaminated(frame(spark, others), bench).collect()}
+    assert got == {(i, i, True) for i in range(4)}
+
+
 def test_equal_numbers_may_be_different_slots(spark):
     item = "If a box holds 3 red balls and 3 blue balls then how many balls does the teacher Bob, or his friend, take out"
     texts = [item.replace("3 red", "8 red").replace("3 blue", "9 blue"), item.replace("Bob,", "Carl").replace("3", "4"), item.replace("friend,", "friend"), item.replace("Bob,", "Carl,,") + "!"]
@@ -699,6 +717,32 @@ def test_views_teach_each_other(spark):
     assert text.weights[2] > 0.5 and text.weights[3] < -0.5 and abs(text.weights[1]) < 0.1 and np.count_nonzero(text.weights[10:]) == 0
 
 
+def test_rounds_find_words_that_no_label_tells(spark):
+    """Labelled documents have half of the bad words only; the unlabelled ones of the bad source teach the text view the rest."""
+    rng = random.Random(4)
+
+    def row(i, bad, source, words):
+        return (i, f"{prose(rng, 40)} {' '.join(rng.sample(words, 3)) if bad else ''}", "en", source, 0)
+
+    known, new = [f"grub{c}" for c in "abcdef"], [f"murk{c}" for c in "abcdef"]
+    rows = [row(i, i % 2, "bad" if i % 2 else "good", known) for i in range(600)] + [row(i, i % 2, "bad" if i % 2 else "good", known + new) for i in range(600, 2600)]
+    rows += [row(i, i % 2, "unseen", new) for i in range(2600, 2800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(600)], "doc_id long, quality int, toxic int")
+    right = {}
+    for rounds in (0, 2):
+        out = quality.scored(docs.where("doc_id >= 2600"), quality.train(docs, labels, rounds=rounds)).select("doc_id", "p_quality_text").collect()
+        right[rounds] = sum((r["p_quality_text"] < 0.5) == (r["doc_id"] % 2 == 1) for r in out) / len(out)
+    assert right[0] <= 0.6 and right[2] >= 0.9
+
+
+def test_a_view_is_sure_where_it_is_right():
+    y = np.array([0.0] * 100 + [1.0] * 100)
+    low, high = quality.sure(np.concatenate([np.full(99, -2.0), [3.0], np.full(100, 2.0)]), y)
+    assert (low, high) == (-2.0, 2.0)
+    assert quality.sure(np.zeros(200), y) == (-np.inf, np.inf) and quality.sure(np.zeros(0), np.zeros(0)) == (-np.inf, np.inf)
+
+
 def test_sources_are_told_apart_as_a_whole():
     import pyarrow as pa
 

@@ -1,11 +1,13 @@
 """Quality classifier by co-training.
 
-Two views of a document: its text (hashed tokens and shapes) and its metadata (language, source, length). For each of two
+Two views of a document: its text (hashed words and runs of symbols) and its metadata (language, source, length, and the
+page's shape: shares of kinds of characters, of repeated words, and the length of lines). For each of two
 targets, good quality and toxicity, a logistic model is fitted on either view from labelled documents. In each of ROUNDS
 each view labels all unlabelled documents of which it is confident, and the other view learns from them: one pass sums,
 for each feature, gradient and curvature of the other view's loss over the documents where it doesn't agree yet, and
-features that are significant take a damped Newton step. Scores of the two views are then calibrated together on labelled
-documents that neither was fitted on.
+features that are significant take a damped Newton step. A view is confident where labelled documents that neither view was
+fitted on show it to be right (CONFIDENT); a round after which a view tells more of these wrong is taken back for that
+view, one after which both together do for both. Scores of the two views are calibrated together on the same documents.
 
 The first fit uses a bounded sample of labelled documents (LABELLED, by hash of the id, with at most SETS features), all
 else looks at every document. Models are arrays of a fixed size (2^HASH_BITS weights for each view and target), so scoring
@@ -34,10 +36,12 @@ STEP = 4.0
 #: A confident label counts where the other view's probability differs by that.
 APART = 0.05
 #: A feature counts if its shares in the two classes differ by so many standard errors.
-SIGNIFICANT = 6.0
+SIGNIFICANT = 4.0
 #: Documents that have the feature, at least.
-SUPPORT = 10
+SUPPORT = 5
 CONFIDENT = 0.97
+#: One of so many labelled documents is not fitted on, but tells where views are right.
+HELD = 4
 HASH_BITS = 20
 TARGETS = ("quality", "toxic")
 #: A document stays with at least this probability of good quality and at most this one of toxicity.
@@ -56,7 +60,7 @@ def _bucketed(kind: int, bucket: np.ndarray) -> np.ndarray:
 
 
 def text_features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(feature, first): each text's distinct hashed features, sorted; words, runs of symbols, and buckets of shape shares."""
+    """(feature, first): each text's distinct hashed features, sorted: words and runs of symbols."""
     n = len(offsets) - 1
     low = LOWER[raw]
     hashed = prefix_hash(low)
@@ -65,28 +69,12 @@ def text_features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
         start, end, first = words(low, offsets, inside)
         docs.append(np.repeat(np.arange(n), np.diff(first)))
         features.append((range_hash(hashed, start, end) >> np.uint64(64 - HASH_BITS)).astype(np.int64))
-    size = np.maximum(np.diff(offsets), 1)
-    for kind, mask in enumerate((_UPPER, _SYMBOL, _ALNUM)):
-        total = np.concatenate([[0], np.cumsum(mask[raw])])
-        docs.append(np.arange(n))
-        features.append(_bucketed(kind + 1, 20 * (total[offsets[1:]] - total[offsets[:-1]]) // size))
-    docs.append(np.arange(n))
-    features.append(_bucketed(9, np.log2(size).astype(int)))
-    # How many of the words are different ones, and how many repeat the word before.
-    hashes, (_, _, first) = range_hash(hashed, *(own := words(low, offsets))[:2]), own
-    of, count = np.repeat(np.arange(n), np.diff(first)), np.maximum(np.diff(first), 1)
-    mine = np.sort(of.astype(np.uint64) << np.uint64(44) | hashes >> np.uint64(20))
-    kinds = np.bincount((mine[np.flatnonzero(np.diff(mine, prepend=~mine[:1]))] >> np.uint64(44)).astype(np.int64), minlength=n)
-    again = np.bincount(of[1:][(hashes[1:] == hashes[:-1]) & (of[1:] == of[:-1])], minlength=n)
-    for kind, share in ((10, 10 * kinds // count + 100 * np.log2(count).astype(int)), (11, 20 * again // count)):
-        docs.append(np.arange(n))
-        features.append(_bucketed(kind, share))
     pair = np.unique(np.concatenate(docs) << HASH_BITS | np.concatenate(features))
     return pair & ((1 << HASH_BITS) - 1), np.searchsorted(pair, np.arange(n + 1) << HASH_BITS)
 
 
 def metadata_features(rows: pa.RecordBatch, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """As text_features, of lang, source, and the text's length."""
+    """As text_features, but a fixed number for each text: lang, source, and the text's length."""
     n, columns = rows.num_rows, []
     for kind, name in ((20, "lang"), (21, "source")):
         at = rows.schema.get_field_index(name)
@@ -97,6 +85,33 @@ def metadata_features(rows: pa.RecordBatch, offsets: np.ndarray) -> tuple[np.nda
     return np.stack(columns, axis=1).ravel(), np.arange(n + 1) * len(columns)
 
 
+def shape_features(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Features of each text's shape, a row for each text: buckets of shares of kinds of characters, of repeated words, of length of lines."""
+    n, size, columns = len(offsets) - 1, np.maximum(np.diff(offsets), 1), []
+    for kind, mask in enumerate((_UPPER, _SYMBOL, _ALNUM)):
+        total = np.concatenate([[0], np.cumsum(mask[raw])])
+        columns.append(_bucketed(kind + 1, 20 * (total[offsets[1:]] - total[offsets[:-1]]) // size))
+    # How many of the words are different ones, and how many repeat the word before.
+    low = LOWER[raw]
+    start, end, first = words(low, offsets)
+    hashes = range_hash(prefix_hash(low), start, end)
+    of, count = np.repeat(np.arange(n), np.diff(first)), np.maximum(np.diff(first), 1)
+    mine = np.sort(of.astype(np.uint64) << np.uint64(44) | hashes >> np.uint64(20))
+    kinds = np.bincount((mine[np.flatnonzero(np.diff(mine, prepend=~mine[:1]))] >> np.uint64(44)).astype(np.int64), minlength=n)
+    again = np.bincount(of[1:][(hashes[1:] == hashes[:-1]) & (of[1:] == of[:-1])], minlength=n)
+    columns.append(_bucketed(10, 10 * kinds // count + 100 * np.log2(count).astype(int)))
+    columns.append(_bucketed(11, 20 * again // count))
+    lines = np.concatenate([[0], np.cumsum(raw == 10)])
+    columns.append(_bucketed(12, (2 * np.log2(size / (lines[offsets[1:]] - lines[offsets[:-1]] + 1) + 1)).astype(int)))
+    return np.stack(columns, axis=1)
+
+
+def view_features(rows: pa.RecordBatch, raw: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(feature, first) of the text view and of the metadata view."""
+    meta = np.concatenate([metadata_features(rows, offsets)[0].reshape(rows.num_rows, -1), shape_features(raw, offsets)], axis=1)
+    return [text_features(raw, offsets), (meta.ravel(), np.arange(rows.num_rows + 1) * meta.shape[1])]
+
+
 class Logistic:
     """Logistic regression on sets of binary features, by adaptive stochastic gradients, over the significant features; classes weigh the same."""
 
@@ -142,12 +157,33 @@ def logits(weights: np.ndarray, bias: float, features: np.ndarray, first: np.nda
     return total[first[1:]] - total[first[:-1]] + bias
 
 
-def exchange(pool: DataFrame, models: dict[str, tuple[Logistic, Logistic]]) -> None:
+#: Logits at most and at least which a view is confident, if nothing is known of it.
+_SURE = (-np.log(CONFIDENT / (1 - CONFIDENT)), np.log(CONFIDENT / (1 - CONFIDENT)))
+
+
+def sure(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Logits at most and at least which a view is confident: those beyond which CONFIDENT of the documents (z, y), and of one wrong more, are of the class.
+
+    Infinite where there are none, as for a view that can't tell the classes or for too few documents.
+    """
+    out = []
+    for sign, hit in ((-1, y < 0.5), (1, y >= 0.5)):
+        order = np.argsort(-sign * z, kind="stable")
+        low, right = (sign * z)[order], np.cumsum(hit[order])
+        ends = np.flatnonzero(np.append(np.diff(low) != 0, True)[: len(low)])  # equal logits go together
+        good = ends[right[ends] >= CONFIDENT * (ends + 2)]
+        out.append(sign * max(low[good[-1]], 0.0) if len(good) else sign * np.inf)
+    return out[0], out[1]
+
+
+def exchange(pool: DataFrame, models: dict[str, tuple[Logistic, Logistic]], confident: dict[str, list[tuple[float, float]]] | None = None) -> None:
     """One round of co-training on all documents (text_set, meta_set) of the pool; the models are changed in place.
 
+    confident: for each target and view the logits at most and at least which its label is taken, by default those of odds CONFIDENT.
     What reaches the driver is one row for each significant feature at most, so it's bounded by the models' size.
     """
     shared = pool.sparkSession.sparkContext.broadcast({t: [(m.weights.astype(np.float32), m.bias) for m in views] for t, views in models.items()})
+    confident = confident or {t: [_SURE, _SURE] for t in models}
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = 2 * len(TARGETS)
@@ -162,11 +198,12 @@ def exchange(pool: DataFrame, models: dict[str, tuple[Logistic, Logistic]]) -> N
             for k, t in enumerate(TARGETS):
                 if t not in shared.value:
                     continue
-                p = [1 / (1 + np.exp(-np.clip(logits(*m, *x), -30, 30))) for m, x in zip(shared.value[t], sets)]
+                z = [logits(*m, *x) for m, x in zip(shared.value[t], sets)]
+                p = [1 / (1 + np.exp(-np.clip(x, -30, 30))) for x in z]
                 for view in range(2):
-                    other, (features, at) = p[1 - view], sets[view]
-                    error = p[view] - (other >= 0.5)
-                    learn = ((other >= CONFIDENT) | (other <= 1 - CONFIDENT)) & (np.abs(error) >= APART)
+                    other, (low, high), (features, at) = z[1 - view], confident[t][1 - view], sets[view]
+                    error = p[view] - (other >= high)
+                    learn = ((other >= high) | (other <= low)) & (np.abs(error) >= APART)
                     n = np.diff(at)
                     who = np.repeat(np.where(learn, np.arange(len(n)), -1), n)
                     of, features = who[who >= 0], features[who >= 0]
@@ -190,20 +227,29 @@ def exchange(pool: DataFrame, models: dict[str, tuple[Logistic, Logistic]]) -> N
             bias = (slot == 2 * k + view) & (feature == 1 << HASH_BITS)
             if t in models and bias.any():
                 own = (slot == 2 * k + view) & (feature < 1 << HASH_BITS)
-                each = max(1.0, size[bias][0] / n[bias][0])
+                each = max(1.0, n[own].sum() / n[bias][0])  # features of a document that move
                 models[t][view].weights[feature[own]] -= np.clip(g[own] / (h[own] + 1), -1, 1) * STEP / each
 
 
 def calibrate(a: np.ndarray, b: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Coefficients (a, b, 1) of a logistic model on two views' logits, by Newton's method with a small ridge."""
+    """Coefficients (a, b, 1) of a logistic model on two views' logits, by Newton's method with a small ridge; a view that would count against what it says counts as nothing."""
     x = np.stack([np.clip(a, -20, 20), np.clip(b, -20, 20), np.ones(len(a))], axis=1)
     w = np.zeros(3)
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(3), x.T @ (p - y) + 0.1 * w)
+    if w[:2].min() < -1e-9:
+        return calibrate(*(np.where(w[k] < 0, 0.0, x[:, k]) for k in range(2)), y)
     return w
 
 
+def errors(y: np.ndarray, *views: np.ndarray) -> int:
+    """How many documents one or two views' logits, calibrated, tell wrong."""
+    z = [np.clip(x, -20, 20) for x in (*views, np.zeros(len(y)))[:2]]
+    w = calibrate(*z, y)
+    return int(np.sum((w[0] * z[0] + w[1] * z[1] + w[2] >= 0) != (y > 0.5)))
+
+
 def one_of_each(sets: list[np.ndarray], classes: int = 4, least: int = 12) -> np.ndarray:
     """Marks the first of near copies: a group of copies would else pass its label on to its own words.
 
@@ -226,7 +272,7 @@ def features(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, raw, offsets in text_slices(batches):
-            made = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(f.astype(np.int32))) for f, at in (text_features(raw, offsets), metadata_features(rows, offsets))]
+            made = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(f.astype(np.int32))) for f, at in view_features(rows, raw, offsets)]
             yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index("doc_id")), *made], ["doc_id", "text_set", "meta_set"])
 
     return docs.mapInArrow(run, "doc_id long, text_set array<int>, meta_set array<int>")
@@ -249,7 +295,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds:
     rows = rows.withColumn("upto", upto).where(F.col("upto") <= SETS).toArrow()
     sets = [[x.values.to_numpy().astype(np.int64) for x in rows.column(c)] for c in ("text_set", "meta_set")]
     have = one_of_each(sets[0])
-    turn = mix(np.array(rows.column("doc_id").to_pylist(), np.int64).view(np.uint64)) % np.uint64(4) == 0
+    turn = mix(np.array(rows.column("doc_id").to_pylist(), np.int64).view(np.uint64)) % np.uint64(HELD) == 0
     pick = lambda c, which: [sets[c][i] for i in np.flatnonzero(which)]
     labels_of = {t: np.array([v or 0 for v in rows.column(t).to_pylist()], float) > 0 for t in TARGETS}
     fit, held = have & ~turn, have & turn
@@ -257,8 +303,19 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds:
     if views and rounds:
         pool = features(columns).join(marks.select("doc_id"), "doc_id", "left_anti").select("text_set", "meta_set", F.xxhash64("text_set").alias("key")).dropDuplicates(["key"])
         pool = written(pool, "pool")
+        own = [pick(c, held) for c in range(2)]
         for _ in range(rounds):
-            exchange(pool, views)
+            before = {t: [(m.weights.copy(), m.bias) for m in v] for t, v in views.items()}
+            z = {t: [m.logits(x) for m, x in zip(v, own)] for t, v in views.items()}
+            exchange(pool, views, {t: [sure(x, labels_of[t][held]) for x in v] for t, v in z.items()})
+            for t, v in views.items():
+                y = labels_of[t][held].astype(float)
+                for m, x, was, old in zip(v, own, z[t], before[t]):
+                    if errors(y, m.logits(x)) > errors(y, was):
+                        m.weights, m.bias = old
+                if errors(y, *(m.logits(x) for m, x in zip(v, own))) > errors(y, *z[t]):
+                    for m, old in zip(v, before[t]):
+                        m.weights, m.bias = old
     out = {}
     for t, y in labels_of.items():
         if t in views:
@@ -284,7 +341,7 @@ def scored(docs: DataFrame, models: dict[str, tuple], names: list[str] | None =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, raw, offsets in text_slices(batches):
-            made = text_features(raw, offsets), metadata_features(rows, offsets)
+            made = view_features(rows, raw, offsets)
             out = []
             for t in TARGETS:
                 *views, w = shared.value[t]
