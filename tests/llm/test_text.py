@@ -784,4 +784,4 @@ def test_pipeline_stages(spark, sf_dir):
 def test_all_are_registered():
     from voxplan.llm import queries
 
-    assert {int(q[2:].split("_")[0]) for q in queries.QUERIES} == set(range(1, 11))
+    assert {int(q[2:].split("_")[0]) for q in queries.QUERIES} == set(range(1, 14))
