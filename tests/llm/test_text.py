@@ -670,15 +670,54 @@ def test_mined_rules_by_brute_force(spark):
     of = {r["token"]: r["item"] for r in named.collect()}
     assert len({of[t] for t in re.findall("part..", made[-1])}) == 1
     own = [frozenset(of[t] for t in {*re.findall(r"[a-z0-9]{2,}", u.split("://")[1])} if t in of) for u in made]
-    want = {}
+    want, share = {}, {}
     for size in range(1, 6):
         for c in {c for o in own for c in combinations(sorted(o), size)}:
             hit = [b for o, b in zip(own, bad) if o.issuperset(c)]
-            if sum(hit) >= 5 and sum(hit) / len(hit) >= 0.6 and sum(hit) / len(hit) >= 1.5 * sum(bad) / len(bad):
+            if size == 1:
+                share[c[0]] = sum(hit) / len(hit)
+            if is_rule(hit, sum(bad) / len(bad), share, c) and not any(d in want for k in range(1, size) for d in combinations(c, k)):
                 want[c] = (round(sum(hit) / len(hit), 6), round(sum(hit) / len(made), 6))
     assert got == want and any(len(c) > 1 for c in want)
 
 
+def is_rule(hit, base, share, items):
+    n, k, z = len(hit), sum(hit), urls.SIGNIFICANT
+    p = k / n
+    low = (p + z * z / (2 * n) - z * (p * (1 - p) / n + z * z / (4 * n * n)) ** 0.5) / (1 + z * z / n)
+    return k >= 5 and p >= 0.6 and p >= 1.5 * base and low > max([base, *(share[x] for x in items if len(items) > 1)])
+
+
+def test_rules_of_pages_with_many_items(spark):
+    """15 items on a page: the combination that tells is found among them, and held-out pages are judged by it."""
+    from itertools import combinations
+
+    rng = random.Random(3)
+    words = [f"w{a}{b}" for a in "abcdefgh" for b in "uvwxyz"]
+    made, bad = [], []
+    for i in range(900):
+        two = [w for w, there in (("aaa", i % 10 < 7), ("bbb", not 4 <= i % 10 < 7)) if there]
+        made.append("http://" + "/".join(rng.sample([*two, *rng.sample(words, 13)], 13 + len(two))))
+        bad.append((len(two) == 2) != (rng.random() < 0.03))
+    pages = spark.createDataFrame(list(enumerate(made)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(not b), 0) for i, b in enumerate(bad) if i < 600], "doc_id long, quality int, toxic int")
+    rules, _ = urls.mine(pages, labels)
+    got = {tuple(r["antecedent"]) for r in rules.collect()}
+    own, base, want, share = [frozenset(u[7:].split("/")) for u in made[:600]], sum(bad[:600]) / 600, set(), {}
+    for size in (1, 2, 3):
+        met = {}
+        for o, b in zip(own, bad):
+            for c in combinations(sorted(o), size):
+                met.setdefault(c, []).append(b)
+        share |= {c[0]: sum(hit) / len(hit) for c, hit in met.items() if size == 1}
+        want |= {c for c, hit in met.items() if is_rule(hit, base, share, c) and not any(d in want for k in range(1, size) for d in combinations(c, k))}
+    assert ("aaa", "bbb") in got
+    assert {c for c in got if len(c) <= 3} == want
+    assert len(got) <= 5
+    told = {r["page_id"]: r["verdict"] == "block" for r in urls.judge(pages, labels).where("page_id >= 600").collect()}
+    assert sum(told[i] == bad[i] for i in told) >= 0.95 * len(told)
+
+
 # Quality
 
 

@@ -2,14 +2,15 @@
 
 Explicit rules on host and path come first. For the urls that none fits, FP-growth mines frequent combinations of url
 tokens together with the label of the page (the page's row in `labels`: bad if toxic or of low quality), and the rules
-"tokens imply bad" that stay after pruning by support, confidence and lift over the share of bad pages are matched by an
-inverted index: a rule is posted under its rarest token, a url looks up its own tokens, and the other tokens are verified.
+"tokens imply bad" that stay after pruning by support, confidence, lift over the share of bad pages and significance are
+matched by an inverted index: a rule is posted under its rarest token, a url looks up its own tokens, and the other tokens
+are verified. A rule that a shorter one implies fires for no further url, so it is left out.
 
 Tokens that stand in the same labelled pages (say all those of one long url) have the same support in any combination, so
 they are one item of the mining and any of them fires its rules: the rules fire for the same urls as all combinations would.
-Mining takes at most ITEMS items of a page, the rarest ones, since combinations double with each; rules of single items are
-counted for all items apart from that, so none of these is lost. Combinations of several items are then those among the
-ITEMS rarest of each page.
+Combinations are mined from the bad pages alone, without the items that are rules themselves, and down to the support at which
+a rule that is always right could still be significant; every item of a page takes part. Their confidence is counted on all
+labelled pages.
 
 `labels` is the only table that tells bad pages: its doc_id is taken as a page_id. Where the two number different things, the
 rules say nothing about pages.
@@ -17,6 +18,7 @@ rules say nothing about pages.
 
 from __future__ import annotations
 
+import math
 import string
 
 from pyspark.ml.fpm import FPGrowth
@@ -30,11 +32,11 @@ RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "
 SUPPORT = 0.002
 #: Labelled pages that a frequent combination has, at least, where SUPPORT asks for fewer.
 LEAST = 5
-#: Items of a labelled page that combinations are mined from, at most.
-ITEMS = 12
 CONFIDENCE = 0.6
 LIFT = 1.5
-BAD = "=bad"
+#: The share of bad pages lies so many standard errors below what a rule reaches (Wilson's bound), so that chance passes few of very many combinations;
+#: for a combination so do the shares of its single items.
+SIGNIFICANT = 4.0
 _URL = r"(?s)\A.*?://([^/?#]*)([^?#]*)"
 
 
@@ -63,8 +65,22 @@ def tokens_of(url: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.split(rest, r"[^\p{L}\p{N}]+"), lambda x: F.length(x) >= 2)))
 
 
-def mine(pages: DataFrame, labels: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, lift: float = LIFT, items: int = ITEMS) -> tuple[DataFrame, DataFrame]:
-    """Pruned rules (rule_id, antecedent, confidence, support, posted) whose consequent is BAD, and (token, item), the item of each token that a rule may have.
+def lower_bound(hit: Column, n: Column, z: float = SIGNIFICANT) -> Column:
+    """Wilson's lower bound of a share of which hit of n were counted."""
+    p = hit / n
+    return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
+def shortest(rules: DataFrame) -> DataFrame:
+    """rules (antecedent, ...) without those that have another one's antecedent as a proper part."""
+    rules = rules.withColumn("size", F.size("antecedent"))
+    parts = rules.select(F.col("antecedent").alias("part"), F.col("size").alias("less"), F.element_at("antecedent", 1).alias("posted"))
+    longer = rules.where("size > 1").select("antecedent", "size", F.explode("antecedent").alias("posted")).join(parts, "posted").where((F.col("less") < F.col("size")) & (F.size(F.array_except("part", "antecedent")) == 0))
+    return rules.join(longer.select("antecedent").distinct(), "antecedent", "left_anti").drop("size")
+
+
+def mine(pages: DataFrame, labels: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, lift: float = LIFT, significant: float = SIGNIFICANT) -> tuple[DataFrame, DataFrame]:
+    """Pruned rules (rule_id, antecedent, confidence, support, posted) that tell bad pages, and (token, item), the item of each token that a rule may have.
 
     The antecedent is an array of items, each named by its first token; posted is its rarest item. pages (page_id, url)
     learn from labels (doc_id, quality, toxic) of the same id; a page with several labels is bad if one is, a page that
@@ -82,23 +98,29 @@ def mine(pages: DataFrame, labels: DataFrame, support: float = SUPPORT, confiden
     same = same.where(F.col("freq") >= least)
     named = written(same.join(same.groupBy("freq", "bad", "a", "b").agg(F.min("token").alias("item")), ["freq", "bad", "a", "b"]).select("token", "item", "freq", "bad"), "url-tokens")
     single = named.where("token = item")
-    good = lambda hit, n: (hit / n >= confidence) & (hit / n >= lift * bad / total) & (hit >= least)
-    ones = single.where(good(F.col("bad"), F.col("freq"))) if total else single.where(F.lit(False))
     schema = "rule_id long, antecedent array<string>, confidence double, support double, posted string"
-    if not bad:
+    if not bad or bad == total:
         return spark.createDataFrame([], schema), named.select("token", "item")
-    ones = ones.select(F.array("item").alias("antecedent"), (F.col("bad") / F.col("freq")).alias("confidence"), (F.col("bad") / total).alias("support"))
-    of = learnt.select("n", "bad", F.explode("tokens").alias("token")).join(named.select("token", "item", "freq"), "token").select("n", "bad", "freq", "item").distinct()
-    rare = of.groupBy("n", "bad").agg(F.slice(F.array_sort(F.collect_set(F.struct("freq", "item"))), 1, items).alias("own"))
-    rare = rare.select(F.when(F.col("bad") == 1, F.array_append("own.item", F.lit(BAD))).otherwise(F.col("own.item")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, least / total), minConfidence=0.0).fit(rare)
-    # Of a combination, how many pages have it is counted by the mining only for pages that keep all its items, so counts are taken anew from all pages.
-    sets = model.freqItemsets.where(F.array_contains("items", BAD) & (F.size("items") > 2)).select(F.array_sort(F.array_remove("items", BAD)).alias("antecedent")).distinct()
-    sets = sets.withColumn("posted", F.element_at("antecedent", 1))
-    pages_of = of.groupBy("n", "bad").agg(F.collect_set("item").alias("own"))
-    met = pages_of.select("bad", "own", F.explode("own").alias("posted")).join(sets, "posted").where(F.size(F.array_except("antecedent", "own")) == 0)
-    many = met.groupBy("antecedent").agg(F.count("*").alias("freq"), F.sum("bad").alias("bad")).where(good(F.col("bad"), F.col("freq")))
-    many = many.select("antecedent", (F.col("bad") / F.col("freq")).alias("confidence"), (F.col("bad") / total).alias("support"))
+    base = bad / total
+    good = lambda hit, n, over: (hit >= least) & (hit / n >= confidence) & (hit / n >= lift * base) & (lower_bound(hit, n, significant) > over)
+    figures = lambda hit, n: ((hit / n).alias("confidence"), (hit / total).alias("support"))
+    ones = single.where(good(F.col("bad"), F.col("freq"), F.lit(base))).select(F.array("item").alias("antecedent"), *figures(F.col("bad"), F.col("freq")))
+    # The bound of a rule that is right k times of k is k / (k + z^2): with fewer it isn't above the base.
+    enough = max(least, significant * significant * base / (1 - base))
+    rest = named.where(F.col("bad") >= enough).join(ones.select(F.col("antecedent")[0].alias("item")), "item", "left_anti").select("token", "item")
+    of = written(learnt.select("n", "bad", F.explode("tokens").alias("token")).join(rest, "token").select("n", "bad", "item").distinct(), "url-items")
+    own = of.groupBy("n", "bad").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    taught = own.where("bad = 1").select("items")
+    # Half a page less than whole ones, so that rounding can't ask for one more.
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (math.ceil(enough) - 0.5) / max(taught.count(), 1)), minConfidence=0.0).fit(taught)
+    # The mining knows the bad pages that have a combination; how many pages have it at all is counted here.
+    sets = model.freqItemsets.where(F.size("items") > 1).select(F.array_sort("items").alias("antecedent")).withColumn("posted", F.element_at("antecedent", 1))
+    met = own.select("bad", "items", F.explode("items").alias("posted")).join(sets, "posted").where(F.size(F.array_except("antecedent", "items")) == 0)
+    many = met.groupBy("antecedent").agg(F.count("*").alias("freq"), F.sum("bad").alias("bad")).where(good(F.col("bad"), F.col("freq"), F.lit(base)))
+    # What one of its items tells alone is no merit of the combination.
+    alone = many.select("antecedent", F.explode("antecedent").alias("item")).join(single.select("item", (F.col("bad") / F.col("freq")).alias("share")), "item").groupBy("antecedent").agg(F.max("share").alias("share"))
+    many = many.join(alone, "antecedent").where(lower_bound(F.col("bad"), F.col("freq"), significant) > F.col("share"))
+    many = shortest(written(many.select("antecedent", *figures(F.col("bad"), F.col("freq"))), "url-combinations"))
     rules = written(ones.union(many).withColumn("rule_id", F.xxhash64("antecedent")), "url-rules")
     rarest = rules.select("rule_id", F.explode("antecedent").alias("item")).join(single.select("item", "freq"), "item").groupBy("rule_id").agg(F.min(F.struct("freq", "item"))["item"].alias("posted"))
     return rules.join(rarest, "rule_id").select("rule_id", "antecedent", "confidence", "support", "posted"), named.select("token", "item")
