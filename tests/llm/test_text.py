@@ -525,6 +525,14 @@ def test_trees_find_other_forms(spark):
     assert all({tuple(x) for x in r["exact"]} <= {tuple(x) for x in r["spans"]} for r in out)
 
 
+def test_few_candidates_are_enough(spark):
+    """150 copies to learn from and eight candidates: other forms in the same context are found."""
+    texts = [f"word call +1 (415) 555-{1000 + 7 * i} now please" for i in range(150)] + [f"item {10**6 + 917 * i} of the list" for i in range(6)] + [f"word call (415) 555-{2000 + i} now please" for i in range(2)]
+    out = pii.detect(frame(spark, texts)).orderBy("doc_id").collect()
+    more = [{tuple(x) for x in r["spans"]} - {tuple(x) for x in r["exact"]} for r in out]
+    assert not any(more[:156]) and all(m == {("phone", 10, 24)} for m in more[156:])
+
+
 def test_many_spans_of_one_text(spark):
     texts = [" ".join(f"call +1 (415) 555-{i:04d} or 415 555 {i:04d}," for i in range(3000))]
     r = pii.detect(frame(spark, texts)).first()
