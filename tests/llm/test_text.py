@@ -631,6 +631,41 @@ def test_large_benchmarks_are_shuffled(spark, monkeypatch):
     assert decontam.contaminated(docs, bench).collect() == want and len(want) == 1
 
 
+# Fingerprints of edited texts
+
+
+def test_edited_texts_by_brute_force(spark, docs, tmp_path):
+    """All columns of the query against plain ones: edited texts of the next document in descending doc_id, likeness as the share of equal parts, near to the Jaccard of five-word shingles."""
+    base = prose(random.Random(4), 200)
+    rows = [*enumerate(t for _, t in everything(docs)[:200])] + [(10**6, None), (10**6 + 1, ""), (10**6 + 2, base), (10**6 + 3, base), (10**6 + 4, "short"), (10**6 + 5, base + " \U0001d4b3")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
+    out = {r["doc_id"]: r for r in minhash.op7_minhash(spark, str(tmp_path)).collect()}
+    order = sorted(((i, t or "") for i, t in rows), reverse=True)
+    assert len(out) == len(rows) == len({i for i, _ in rows})
+    parts = lambda f: [f[k : k + 4] for k in range(0, len(f), 4)]
+    like = lambda a, b: sum(x == y for x, y in zip(parts(a), parts(b))) / len(parts(a))
+
+    def shingles(text):
+        w = re.findall(r"[^\x20\x09-\x0D]+", text.translate(LOWER))
+        return {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    for (i, text), (j, after) in zip(order, order[1:] + order[:1]):
+        r, cut = out[i], len(text) // 3
+        edited = text[: len(text) - cut] + after[:cut]
+        assert (r["n_chars"], r["edited_sha256"]) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+        assert r["near_edited"] == like(r["fingerprint"], r["edited_fingerprint"]) and r["near_next"] == like(r["fingerprint"], out[j]["fingerprint"])
+        a, b = shingles(text), shingles(edited)
+        if a and b:
+            assert abs(r["near_edited"] - len(a & b) / len(a | b)) < 0.25
+    by_text = {}
+    for i, text in order:
+        assert by_text.setdefault(text, out[i]["fingerprint"]) == out[i]["fingerprint"]
+    for name, few in (("one", rows[:1]), ("none", [])):
+        spark.createDataFrame(few, "doc_id long, text string").write.parquet(str(tmp_path / name / "documents.parquet"))
+        got = minhash.op7_minhash(spark, str(tmp_path / name)).collect()
+        assert len(got) == len(few) and all(r["near_next"] == 1.0 for r in got)
+
+
 # URLs
 
 

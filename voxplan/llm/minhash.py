@@ -148,7 +148,11 @@ def with_next(docs: DataFrame, rows_each: int = 2000, most: int = 10_000) -> Dat
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of every document and of its edited text, whose last floor(n/3) code points give way to the first of the next document (fewer if that is shorter)."""
+    """Fingerprints of every document and of its edited text, whose last floor(n/3) code points give way to the first of the next document (fewer if that is shorter).
+
+    One row for each row. A null or empty text has no code points to give, and the fingerprint of no shingles; before one, a document just loses
+    its last third. A single document is its own next. Of rows of one doc_id the lesser text comes first; null ids come last. An empty table gives none.
+    """
     pairs = with_next(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
