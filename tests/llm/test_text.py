@@ -818,6 +818,19 @@ def test_rounds_find_words_that_no_label_tells(spark):
     assert right[0] <= 0.6 and right[2] >= 0.9
 
 
+def test_unlabelled_sets_are_moved_once(spark, docs, none):
+    marks = spark.createDataFrame([(2,), (4,)], "doc_id long")
+    every = [(r["doc_id"], tuple(r["text_set"]), tuple(r["meta_set"])) for r in quality.features(docs).collect()]
+    least = {}
+    for i, text, meta in sorted((x for x in every if x[0] not in (2, 4)), key=lambda x: (x[0] is None, x[0] or 0)):
+        least.setdefault(text, meta)
+    made = quality.unlabelled(docs, marks)
+    moved = re.findall(r"Exchange hashpartitioning\((\w+)", made._jdf.queryExecution().executedPlan().toString())
+    assert moved == ["key", "key"]  # the sets' shuffle and that of the chosen ids
+    assert sorted((tuple(r["text_set"]), tuple(r["meta_set"])) for r in made.collect()) == sorted(least.items())
+    assert quality.unlabelled(none, marks).count() == 0
+
+
 def test_a_view_is_sure_where_it_is_right():
     y = np.array([0.0] * 100 + [1.0] * 100)
     low, high = quality.sure(np.concatenate([np.full(99, -2.0), [3.0], np.full(100, 2.0)]), y)

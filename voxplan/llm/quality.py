@@ -278,6 +278,20 @@ def features(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, text_set array<int>, meta_set array<int>")
 
 
+def unlabelled(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """(text_set, meta_set) of the docs whose doc_id isn't in marks; of equal text sets that of the least doc_id counts.
+
+    Which ones count is found by ids and hashes alone. So the sets are moved once, whatever the number of documents and labels.
+    """
+    who = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"))
+    made = features(docs).select("doc_id", "text_set", "meta_set", F.xxhash64("text_set").alias("key"), who.alias("who"))
+    chosen = made.select("doc_id", "key", "who").join(marks.select("doc_id"), "doc_id", "left_anti").groupBy("key").agg(F.min("who").alias("who"))
+    # A row that is there twice is dropped where the join has put it; a broadcast would need a second shuffle for that.
+    keys = ["key", "none", "id"]
+    chosen = written(chosen.select("key", "who.*"), "chosen").hint("merge")
+    return made.select("text_set", "meta_set", "key", "who.*").join(chosen, keys).dropDuplicates(keys).select("text_set", "meta_set")
+
+
 def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS) -> dict[str, tuple]:
     """target: (text model, metadata model, calibration). A target without both classes gets its prior alone.
 
@@ -301,8 +315,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds:
     fit, held = have & ~turn, have & turn
     views = {t: tuple(Logistic().fit(pick(c, fit), y[fit].astype(float)) for c in range(2)) for t, y in labels_of.items() if 0 < y[fit].sum() < fit.sum() and 0 < y[held].sum() < held.sum()}
     if views and rounds:
-        pool = features(columns).join(marks.select("doc_id"), "doc_id", "left_anti").select("text_set", "meta_set", F.xxhash64("text_set").alias("key")).dropDuplicates(["key"])
-        pool = written(pool, "pool")
+        pool = written(unlabelled(columns, marks), "pool")
         own = [pick(c, held) for c in range(2)]
         for _ in range(rounds):
             before = {t: [(m.weights.copy(), m.bias) for m in v] for t, v in views.items()}
