@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import collections
 import hashlib
 import random
 import re
@@ -12,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from voxplan.llm import common, decontam, graph, minhash, packing, pii, quality, scoring, secrets, simhash, suffixes, urls
+from voxplan.llm import common, decontam, graph, jaccard, minhash, packing, pii, quality, scoring, secrets, simhash, suffixes, urls
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, row string, p_quality double, secrets string, `at` string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -179,6 +180,38 @@ def test_near_groups_by_exact_likeness(spark):
     assert sorted(r["doc_id"] for r in simhash.keep_first_of_groups(frame(spark, texts)).collect()) == sorted(set(found))
 
 
+def test_near_groups_lose_no_link(spark):
+    rng = random.Random(8)
+    texts = [*variants(rng, 60, edits=(1, 4)), *variants(rng, 40, 300, (3, 12)), *(prose(rng, 70) for _ in range(10))]
+    page = prose(rng, 300).split()
+    for k in range(60):  # pairs at the bound: 36 of 40 words alike make 32 of 40 shingles, or one fewer
+        a = page[5 * k : 5 * k + 40] if k % 2 else prose(rng, 41).split()
+        texts += [" ".join(a), " ".join([*a[:-4], *prose(rng, 3 + k % 3).split()])]
+    sets = [word_sets(t) for t in texts]
+    want = roots(range(len(texts)), lambda i, j: sets[i] == sets[j] or alike(sets[i], sets[j]))
+    got = {r["row"]: r["component_id"] for r in simhash.near_groups(frame(spark, texts).select(F.col("doc_id").alias("row"), "doc_id", "text")).collect()}
+    assert [got[i] for i in range(len(texts))] == [want[i] for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("similarity", [0.5, 0.8, 0.95])
+def test_prefixes_leave_out_no_pair(spark, similarity):
+    rng = np.random.default_rng(3)
+    sets = []
+    for _ in range(120):
+        whole = rng.choice(400, int(rng.integers(1, 60)), replace=False)
+        sets += [np.sort(whole), np.sort(np.append(whole[int(rng.integers(0, 1 + len(whole) // 4)) :], 400 + rng.integers(0, 50)))]
+    size = np.array([len(set(x.tolist())) for x in sets])
+    sets = [np.unique(x).tolist() for x in sets]
+    rows = [(b, i, len(x), k) for i, (x, n) in enumerate(zip(sets, jaccard.reach(size, similarity).tolist())) for k, b in enumerate(x[:n])]
+    made = jaccard.supported(jaccard.shared(spark.createDataFrame(rows * 2, "bucket long, id long, n int, at int")), similarity).collect()
+    assert len({(r["bucket"], r["id"]) for r in made}) == len(made)
+    places = collections.defaultdict(set)
+    for r in made:
+        places[r["id"]].add(r["bucket"])
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if len({*sets[i]} & {*sets[j]}) >= len({*sets[i]} | {*sets[j]}) * similarity - 1e-9]
+    assert len(pairs) > 10 and all(places[i] & places[j] for i, j in pairs)
+
+
 # MinHash
 
 

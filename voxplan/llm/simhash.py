@@ -29,8 +29,7 @@ from pyspark.sql import types as T
 
 from .common import LOWER, bounded_batches, fresh, mix, prefix_hash, range_hash, read_table, shingles, text_slices, without_rows, words, written
 from .graph import components, forest
-from .jaccard import bucket_roots, shared
-from .minhash import signatures
+from .jaccard import bucket_roots, reach, shared, supported
 
 DISTANCE = 4
 WIDTH = 4
@@ -39,9 +38,6 @@ BLOCKS = (5, 7, 9, 11)
 REPLICA = 100
 #: Jaccard likeness of near duplicates where no number of bits is asked for.
 SIMILARITY = 0.8
-#: Bands of the signatures (of six values each), and rounds in which a bucket's members meet one of them.
-BANDS = 21
-HEADS = 3
 CELL = 4096
 _FLUSH = 1 << 15
 
@@ -219,19 +215,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(groups(docs), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _bands(sets: list[np.ndarray], size: np.ndarray) -> pa.ListArray:
-    """Hashes of the BANDS bands of each set's MinHash signature; empty sets have none."""
-    made = signatures(np.concatenate([*sets, np.zeros(0, np.uint64)]) >> np.uint64(32), np.concatenate([[0], np.cumsum(size)])).astype(np.uint64)
-    rows = made.shape[1] // BANDS
-    h = np.tile(np.arange(BANDS, dtype=np.uint64), (len(sets), 1))
-    for k in range(rows):
-        h = mix(h * np.uint64(31) + made[:, k : rows * BANDS : rows])
-    some = np.where(size > 0, BANDS, 0)
-    return _lists(list(h[size > 0]), some)
+def _shingled(docs: DataFrame, what: str, width: int, similarity: float = SIMILARITY) -> DataFrame:
+    """Of docs (row, doc_id, text) with their distinct shingles in order of hash:
 
-
-def _shingled(docs: DataFrame, what: str, width: int) -> DataFrame:
-    """Of docs (row, doc_id, text) with their distinct shingles: "sets": (row, shingles); "docs": (row, doc_id, set_key, n, fp, bands)."""
+    "sets": (row, shingles); "docs": (row, doc_id, set_key, n, fp); "prefixes": (bucket, id, n, at), a row for each element of
+    the extended prefixes, id the set_key.
+    """
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,11 +234,18 @@ def _shingled(docs: DataFrame, what: str, width: int) -> DataFrame:
             if what == "sets":
                 yield pa.RecordBatch.from_arrays([row, _lists(sets, size)], ["row", "shingles"])
                 continue
-            keys = [int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8).digest(), signed=True) for x in sets]
-            made = [pa.array(keys, pa.int64()), pa.array(size.astype(np.int32)), pa.array(simhash(raw, offsets, width).view(np.int64)), _bands(sets, size)]
-            yield pa.RecordBatch.from_arrays([row, rows.column(rows.schema.get_field_index("doc_id")), *made], ["row", "doc_id", "set_key", "n", "fp", "bands"])
+            keys = np.array([int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8).digest(), signed=True) for x in sets], np.int64)
+            if what == "prefixes":
+                some = reach(size, similarity)
+                flat = np.concatenate([x[:k] for x, k in zip(sets, some.tolist())]).view(np.int64)
+                places = np.arange(len(flat)) - np.repeat(np.cumsum(some) - some, some)
+                yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(keys, some)), pa.array(np.repeat(size, some).astype(np.int32)), pa.array(places.astype(np.int32))], ["bucket", "id", "n", "at"])
+                continue
+            made = [pa.array(keys), pa.array(size.astype(np.int32)), pa.array(simhash(raw, offsets, width).view(np.int64))]
+            yield pa.RecordBatch.from_arrays([row, rows.column(rows.schema.get_field_index("doc_id")), *made], ["row", "doc_id", "set_key", "n", "fp"])
 
-    return docs.mapInArrow(run, {"sets": "row long, shingles array<long>", "docs": "row long, doc_id long, set_key long, n int, fp long, bands array<long>"}[what])
+    kinds = {"sets": "row long, shingles array<long>", "docs": "row long, doc_id long, set_key long, n int, fp long", "prefixes": "bucket long, id long, n int, at int"}
+    return docs.mapInArrow(run, kinds[what])
 
 
 def _lists(values: list[np.ndarray], sizes: np.ndarray) -> pa.ListArray:
@@ -261,14 +257,15 @@ def near_groups(docs: DataFrame, width: int = 5, distance: int = DISTANCE, simil
     """(row, doc_id, component_id) for docs (row, doc_id, text): the least doc_id reachable by links of that Jaccard likeness of the texts' shingle sets.
 
     Equal sets are one from the start (texts without words have the empty set). Candidates are fingerprints within
-    `distance` bits, from the anchors, and then sets that share a band of their MinHash signatures: in HEADS rounds the
-    members of a bucket meet one of them. Every link is verified by the sets, so none is wrong; a pair of likeness 0.8 shares
-    a band with odds of 0.998, and may stay apart if neither it nor a chain of links meets a head.
+    `distance` bits, from the anchors, which connect most at little cost, and then sets that share an element of their
+    prefixes, which leaves out no pair: jaccard.py tells how. Every link is verified by the sets, so none is wrong and,
+    but for two different shingles of one 64-bit hash, none is lost.
     """
     marked = written(_shingled(docs, "docs", width), "docs")
     classes = written(marked.where("n > 0").groupBy(F.col("set_key").alias("id")).agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("fp").alias("fp")), "classes")
-    own = marked.where("n > 0").groupBy(F.col("set_key").alias("id")).agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
-    members = written(shared(own.select("id", "n", F.lit(0).alias("at"), F.explode("bands").alias("bucket"))), "members")
+    # Shingled again rather than kept: the prefixes of all are as large as the texts.
+    members = written(shared(_shingled(docs, "prefixes", width, similarity)), "shared")
+    members = written(supported(members, similarity), "members")
     fps = classes.groupBy("fp").agg(F.min("id").alias("of"))
     u, v = fps.select(F.col("fp").alias("u"), F.col("of").alias("a")), fps.select(F.col("fp").alias("v"), F.col("of").alias("b"))
     near = links(written(fps, "fps"), distance).join(u, "u").join(v, "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -280,7 +277,7 @@ def near_groups(docs: DataFrame, width: int = 5, distance: int = DISTANCE, simil
         texts = docs.join(F.broadcast(rows) if few else rows, "row").select(F.col("id").alias("row"), "doc_id", "text")
         return _shingled(texts, "sets", width).select(F.col("row").alias("id"), "shingles").dropDuplicates(["id"])
 
-    rooted = classes.select("id").join(bucket_roots(members, sets, similarity, near, HEADS, rest=False), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+    rooted = classes.select("id").join(bucket_roots(members, sets, similarity, near), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
     least = marked.groupBy(F.col("set_key").alias("id")).agg(F.min("doc_id").alias("least")).join(rooted, "id", "left").withColumn("root", F.coalesce("root", "id"))
     component = least.groupBy("root").agg(F.min("least").alias("component_id"))
     of = least.join(component, "root").select(F.col("id").alias("set_key"), "component_id")
