@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -347,6 +348,18 @@ def test_no_rows_no_repeats(none):
     assert suffixes.without_repeats(none).count() == 0
 
 
+def test_runs_are_small_and_go(spark, docs, monkeypatch):
+    """Runs are compressed, and neither they nor the suffixes stay once the spans are known."""
+    paths = []
+    kept = suffixes.written
+    monkeypatch.setattr(suffixes, "written", lambda df, what: paths.append((what, out := kept(df, what), out.inputFiles())) or out)
+    assert suffixes.without_repeats(docs).count() == docs.count()
+    left = {what: any(os.path.exists(x.removeprefix("file:").replace("///", "/")) for x in files) for what, _, files in paths}
+    assert left == {"suffixes": False, "shared": True, "runs": False, "spans": True}
+    blobs = [(b"begin" + bytes([k]) * 400, b"left" * 30, 0, 128, 1) for k in range(100)]
+    assert len(suffixes.encode_run(blobs, 5, 7)) < 10_000 and [x[0] for x in suffixes.decode_run(suffixes.encode_run(blobs, 5, 7))] == [x[0] for x in blobs]
+
+
 def test_loser_tree_keeps_prefixes():
     rng = random.Random(1)
     for _ in range(60):

@@ -28,11 +28,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, prefix_hash, range_hash, read_table, text_slices, written
+from .common import discarded, mix, prefix_hash, range_hash, read_table, text_slices, written
 
 #: Bytes of a passage that is removed, and of one that is told as shared; the second is what 51 words have nearly always.
 LENGTHS = (400, 240)
@@ -135,6 +136,15 @@ class LoserTree:
             self.winner = best
 
 
+def packed(data: bytes) -> bytes:
+    """data as a zstd block: runs are shuffled, and Spark's own codec there makes larger ones."""
+    return zstandard.ZstdCompressor(level=3).compress(data)
+
+
+def unpacked(block: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(block)
+
+
 def encode_run(items: list[tuple[bytes, bytes, int, int, int]], run: int, base: int) -> bytes:
     """Front-coded run of sorted (key, left, least offset, block, times); the items are base, base + 1, ... of the run."""
     shared, before = np.zeros(len(items), np.uint16), b""
@@ -143,11 +153,12 @@ def encode_run(items: list[tuple[bytes, bytes, int, int, int]], run: int, base:
         before = item[0]
     rest = [k[0][s:] for k, s in zip(items, shared.tolist())]
     table = [shared, np.array([len(x) for x in rest], np.uint16), np.array([len(x[1]) for x in items], np.uint16), *(np.array([min(x[c], 0xFFFF) for x in items], np.uint16) for c in (2, 3, 4))]
-    return struct.pack("<qqI", run, base, len(items)) + b"".join(x.tobytes() for x in table) + b"".join(rest) + b"".join(x[1] for x in items)
+    return packed(struct.pack("<qqI", run, base, len(items)) + b"".join(x.tobytes() for x in table) + b"".join(rest) + b"".join(x[1] for x in items))
 
 
 def decode_run(blob: bytes) -> Iterator[tuple[bytes, int, tuple]]:
     """(key, common prefix with the key before, (left, least offset, block, times, run, item)) of encode_run()."""
+    blob = unpacked(blob)
     run, base, n = struct.unpack_from("<qqI", blob)
     at, table = 20, []
     for _ in range(6):
@@ -262,8 +273,8 @@ def joined_ranges(key: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[n
     return key[new], low[new], reach[last] - shift[last]
 
 
-def repeats(docs: DataFrame, lengths: tuple[int, int] = LENGTHS, spread: int = SPREAD, group: int = GROUP) -> DataFrame:
-    """(doc, row, kind, lo, hi): passages that start at bytes lo..hi of a text of docs (doc, row, text) occur elsewhere too.
+def repeats(docs: DataFrame, lengths: tuple[int, int] = LENGTHS, spread: int = SPREAD, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
+    """(doc, row, kind, lo, hi), and the written runs that these rows are read from, to be discarded after them: passages that start at bytes lo..hi of a text of docs (doc, row, text) occur elsewhere too.
 
     kind: of the first of the lengths (1), of the second, which is not longer (2), or of both (0: as far as the text has
     such passages). doc and row: longs, together another for different rows' texts.
@@ -317,7 +328,7 @@ def repeats(docs: DataFrame, lengths: tuple[int, int] = LENGTHS, spread: int = S
                 at = end
             if made:
                 table = np.column_stack([of, np.concatenate(members)])
-                made.append((-1, run, 1, table[np.argsort(of, kind="stable")].tobytes()))
+                made.append((-1, run, 1, packed(table[np.argsort(of, kind="stable")].T.tobytes())))
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*made), (pa.int64(), pa.int64(), pa.int8(), pa.binary()))], ["bucket", "run", "kind", "data"])
             items.clear()
             members.clear()
@@ -366,7 +377,7 @@ def repeats(docs: DataFrame, lengths: tuple[int, int] = LENGTHS, spread: int = S
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for blob, listed in zip(batch.column(0), batch.column(1)):
-                table = np.frombuffer(blob.as_buffer(), np.int64).reshape(-1, 6)
+                table = np.frombuffer(unpacked(blob.as_py()), np.int64).reshape(6, -1).T
                 item, kind, low, high = (listed.values.field(i).to_numpy().astype(np.int64) for i in range(4))
                 order = np.argsort(item, kind="stable")
                 item, kind, low, high = (x[order] for x in (item, kind, low, high))
@@ -381,9 +392,10 @@ def repeats(docs: DataFrame, lengths: tuple[int, int] = LENGTHS, spread: int = S
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[key >> 2, 0], ids[key >> 2, 1], key & 3, lo, hi)], ["doc", "row", "kind", "lo", "hi"])
 
     made = written(docs.select("doc", "row", "text").join(sent, ["doc", "row"]).mapInArrow(runs, "bucket long, run long, kind byte, data binary"), "runs")
+    discarded(found)
     merged = made.where("kind = 0").select("bucket", "data").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(merge, "run long, item long, kind long, low long, high long")
     merged = merged.groupBy("run").agg(F.collect_list(F.struct("item", "kind", "low", "high")).alias("xs"))
-    return made.where("kind = 1").select("run", "data").join(merged, "run").select("data", "xs").mapInArrow(places, "doc long, row long, kind long, lo long, hi long")
+    return made.where("kind = 1").select("run", "data").join(merged, "run").select("data", "xs").mapInArrow(places, "doc long, row long, kind long, lo long, hi long"), made
 
 
 def without_repeats(docs: DataFrame, lengths: tuple[int, int] = LENGTHS, spread: int = SPREAD, group: int = GROUP) -> DataFrame:
@@ -396,8 +408,9 @@ def without_repeats(docs: DataFrame, lengths: tuple[int, int] = LENGTHS, spread:
     """
     long, short = lengths
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns({"doc": F.coalesce("doc_id", F.lit(0)).cast("long"), "row": F.xxhash64("doc_id", "text")})
-    spans = repeats(keyed.where(F.octet_length("text") >= short), lengths, spread, group)
+    spans, runs = repeats(keyed.where(F.octet_length("text") >= short), lengths, spread, group)
     spans = written(spans.groupBy("doc", "row").agg(F.collect_list(F.struct("kind", "lo", "hi")).alias("spans")), "spans")
+    discarded(runs)
 
     def covered(lo: np.ndarray, hi: np.ndarray, length: int, size: int) -> list[tuple[int, int]]:
         hi = np.minimum(hi, size - length)
