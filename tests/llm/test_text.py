@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import collections
+import glob
 import hashlib
 import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -213,6 +215,43 @@ def test_prefixes_leave_out_no_pair(spark, similarity):
     assert len(pairs) > 10 and all(places[i] & places[j] for i, j in pairs)
 
 
+def test_unlike_sets_of_a_bucket_are_told_apart_by_signs(spark, monkeypatch):
+    """Texts that share half of their words are in one bucket, and few of their pairs have the sets compared."""
+    rng = random.Random(2)
+    middle = prose(rng, 30)
+    texts = [*(f"{prose(rng, 15)} {middle} {prose(rng, 15)}" for _ in range(120)), *variants(rng, 20)]
+    tried, kept = [], jaccard.verified
+    monkeypatch.setattr(jaccard, "verified", lambda pairs, sets, similarity: tried.append(pairs.count()) or kept(pairs, sets, similarity))
+    got = {r["row"]: r["component_id"] for r in simhash.near_groups(frame(spark, texts).select(F.col("doc_id").alias("row"), "doc_id", "text")).collect()}
+    sets = [word_sets(t) for t in texts]
+    assert [got[i] for i in range(len(texts))] == roots(range(len(texts)), lambda i, j: sets[i] == sets[j] or alike(sets[i], sets[j]))
+    assert sum(tried) < 600
+
+
+def test_signs_differ_in_no_more_bits_than_sets():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 3000, n, dtype=np.uint64) << np.uint64(1)) for n in (0, 1, 5, 300, 300, 3000)]
+    made = jaccard.signs(np.concatenate(sets), np.array([len(x) for x in sets]))
+    assert made.shape == (6, jaccard.SIGN // 64)
+    for x, a in zip(sets, made):
+        for y, b in zip(sets, made):
+            assert np.bitwise_count(a ^ b).sum() <= len(np.setxor1d(x, y))
+    assert np.bitwise_count(made[3] ^ made[4]).sum() > 100
+
+
+def test_a_written_step_leaves_no_shuffle_files(spark, tmp_path):
+    files = lambda: {p for p in glob.glob(f"{top}/**/shuffle_*", recursive=True)}
+    top = os.environ.get("SPARK_LOCAL_DIRS") or spark.conf.get("spark.local.dir")
+    before, setting = files(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    out = common.written(spark.range(50_000).repartition(4, F.xxhash64("id")), "rows")
+    for _ in range(50):  # they are deleted in the background
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and out.count() == 50_000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
+
+
 # MinHash
 
 

@@ -27,9 +27,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, bounded_batches, fresh, mix, prefix_hash, range_hash, read_table, shingles, text_slices, without_rows, words, written
+from .common import LOWER, bounded_batches, discarded, fresh, mix, prefix_hash, range_hash, read_table, shingles, text_slices, without_rows, words, written
 from .graph import components, forest
-from .jaccard import bucket_roots, reach, shared, supported
+from .jaccard import SIGN, bucket_roots, reach, shared, signs, supported
 
 DISTANCE = 4
 WIDTH = 4
@@ -218,7 +218,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _shingled(docs: DataFrame, what: str, width: int, similarity: float = SIMILARITY) -> DataFrame:
     """Of docs (row, doc_id, text) with their distinct shingles in order of hash:
 
-    "sets": (row, shingles); "docs": (row, doc_id, set_key, n, fp); "prefixes": (bucket, id, n, at), a row for each element of
+    "sets": (row, shingles); "docs": (row, doc_id, set_key, n, fp, sign); "prefixes": (bucket, id, n, at), a row for each element of
     the extended prefixes, id the set_key.
     """
     bounded_batches(docs.sparkSession)
@@ -241,10 +241,11 @@ def _shingled(docs: DataFrame, what: str, width: int, similarity: float = SIMILA
                 places = np.arange(len(flat)) - np.repeat(np.cumsum(some) - some, some)
                 yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(keys, some)), pa.array(np.repeat(size, some).astype(np.int32)), pa.array(places.astype(np.int32))], ["bucket", "id", "n", "at"])
                 continue
-            made = [pa.array(keys), pa.array(size.astype(np.int32)), pa.array(simhash(raw, offsets, width).view(np.int64))]
-            yield pa.RecordBatch.from_arrays([row, rows.column(rows.schema.get_field_index("doc_id")), *made], ["row", "doc_id", "set_key", "n", "fp"])
+            sign = _lists(list(signs(np.concatenate(sets), size)), np.full(len(sets), SIGN // 64))
+            made = [pa.array(keys), pa.array(size.astype(np.int32)), pa.array(simhash(raw, offsets, width).view(np.int64)), sign]
+            yield pa.RecordBatch.from_arrays([row, rows.column(rows.schema.get_field_index("doc_id")), *made], ["row", "doc_id", "set_key", "n", "fp", "sign"])
 
-    kinds = {"sets": "row long, shingles array<long>", "docs": "row long, doc_id long, set_key long, n int, fp long", "prefixes": "bucket long, id long, n int, at int"}
+    kinds = {"sets": "row long, shingles array<long>", "docs": "row long, doc_id long, set_key long, n int, fp long, sign array<long>", "prefixes": "bucket long, id long, n int, at int"}
     return docs.mapInArrow(run, kinds[what])
 
 
@@ -262,10 +263,11 @@ def near_groups(docs: DataFrame, width: int = 5, distance: int = DISTANCE, simil
     but for two different shingles of one 64-bit hash, none is lost.
     """
     marked = written(_shingled(docs, "docs", width), "docs")
-    classes = written(marked.where("n > 0").groupBy(F.col("set_key").alias("id")).agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("fp").alias("fp")), "classes")
+    classes = written(marked.where("n > 0").groupBy(F.col("set_key").alias("id")).agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("sign").alias("sign")), "classes")
     # Shingled again rather than kept: the prefixes of all are as large as the texts.
-    members = written(shared(_shingled(docs, "prefixes", width, similarity)), "shared")
-    members = written(supported(members, similarity), "members")
+    common = written(shared(_shingled(docs, "prefixes", width, similarity)), "shared")
+    members = written(supported(common, similarity), "members")
+    discarded(common)
     fps = classes.groupBy("fp").agg(F.min("id").alias("of"))
     u, v = fps.select(F.col("fp").alias("u"), F.col("of").alias("a")), fps.select(F.col("fp").alias("v"), F.col("of").alias("b"))
     near = links(written(fps, "fps"), distance).join(u, "u").join(v, "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -277,7 +279,7 @@ def near_groups(docs: DataFrame, width: int = 5, distance: int = DISTANCE, simil
         texts = docs.join(F.broadcast(rows) if few else rows, "row").select(F.col("id").alias("row"), "doc_id", "text")
         return _shingled(texts, "sets", width).select(F.col("row").alias("id"), "shingles").dropDuplicates(["id"])
 
-    rooted = classes.select("id").join(bucket_roots(members, sets, similarity, near), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+    rooted = classes.select("id").join(bucket_roots(members, sets, similarity, near, signed=classes.select("id", "sign")), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
     least = marked.groupBy(F.col("set_key").alias("id")).agg(F.min("doc_id").alias("least")).join(rooted, "id", "left").withColumn("root", F.coalesce("root", "id"))
     component = least.groupBy("root").agg(F.min("least").alias("component_id"))
     of = least.join(component, "root").select(F.col("id").alias("set_key"), "component_id")
