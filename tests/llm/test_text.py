@@ -399,6 +399,20 @@ def test_runs_are_small_and_go(spark, docs, monkeypatch):
     assert len(suffixes.encode_run(blobs, 5, 7)) < 10_000 and [x[0] for x in suffixes.decode_run(suffixes.encode_run(blobs, 5, 7))] == [x[0] for x in blobs]
 
 
+def test_suffixes_are_gone_when_texts_are_shuffled(spark, docs, monkeypatch):
+    found, kept = [], suffixes.written
+
+    def spy(df, what):
+        if what == "runs":
+            assert found and not any(os.path.exists(x.removeprefix("file:").replace("///", "/")) for x in found)
+        out = kept(df, what)
+        found.extend(out.inputFiles() if what == "suffixes" and not found else [])
+        return out
+
+    monkeypatch.setattr(suffixes, "written", spy)
+    assert suffixes.without_repeats(docs).count() == docs.count()
+
+
 def test_loser_tree_keeps_prefixes():
     rng = random.Random(1)
     for _ in range(60):

@@ -299,7 +299,9 @@ def repeats(docs: DataFrame, lengths: tuple[int, int] = LENGTHS, spread: int = S
     shared = written(shared.select("begin", block.alias("block"), "n"), "shared")
     total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // _BUCKET))
-    sent = found.drop("context").join(shared.drop("n"), "begin").groupBy("doc", "row").agg(F.collect_set(F.struct("at", "block")).alias("xs"))
+    # A step of its own: neither the suffixes nor their shuffles are on disk any more when the texts are shuffled.
+    sent = written(found.drop("context").join(shared.drop("n"), "begin").groupBy("doc", "row").agg(F.collect_set(F.struct("at", "block")).alias("xs")), "suffixes")
+    discarded(found)
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: list[tuple[bytes, bytes, int, int, int]] = []
@@ -392,7 +394,7 @@ def repeats(docs: DataFrame, lengths: tuple[int, int] = LENGTHS, spread: int = S
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[key >> 2, 0], ids[key >> 2, 1], key & 3, lo, hi)], ["doc", "row", "kind", "lo", "hi"])
 
     made = written(docs.select("doc", "row", "text").join(sent, ["doc", "row"]).mapInArrow(runs, "bucket long, run long, kind byte, data binary"), "runs")
-    discarded(found)
+    discarded(sent)
     merged = made.where("kind = 0").select("bucket", "data").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(merge, "run long, item long, kind long, low long, high long")
     merged = merged.groupBy("run").agg(F.collect_list(F.struct("item", "kind", "low", "high")).alias("xs"))
     return made.where("kind = 1").select("run", "data").join(merged, "run").select("data", "xs").mapInArrow(places, "doc long, row long, kind long, lo long, hi long"), made
