@@ -12,6 +12,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -988,3 +989,16 @@ def test_all_are_registered():
     from voxplan.llm import queries
 
     assert {int(q[2:].split("_")[0]) for q in queries.QUERIES} == set(range(1, 14))
+
+
+def test_quality_keeps_one_copy_of_the_labelled_sets():
+    rng = np.random.default_rng(3)
+    made = [np.unique(rng.integers(0, 1 << 20, n)).astype(np.int32) for n in (0, 300, 5, 0, 40)]
+    lists = pa.array([x.tolist() for x in [*made, made[1]]], pa.list_(pa.int32())).slice(1)
+    sets = quality._sets(lists)
+    assert [x.tolist() for x in sets] == lists.to_pylist()
+    assert all(x.dtype == np.int32 and np.shares_memory(x, lists.values.to_numpy()) for x in sets if len(x))
+    assert quality.one_of_each(sets).tolist() == quality.one_of_each([x.astype(np.int64) for x in sets]).tolist() == [True, True, True, True, False]
+    y = np.array([1.0, 0, 1, 0, 1])
+    old, new = quality.Logistic().fit([x.astype(np.int64) for x in sets], y), quality.Logistic().fit(sets, y)
+    assert np.array_equal(old.weights, new.weights) and old.bias == new.bias and np.array_equal(old.logits(sets), new.logits(sets))

@@ -112,6 +112,12 @@ def view_features(rows: pa.RecordBatch, raw: np.ndarray, offsets: np.ndarray) ->
     return [text_features(raw, offsets), (meta.ravel(), np.arange(rows.num_rows + 1) * meta.shape[1])]
 
 
+def _sets(lists: pa.ListArray) -> list[np.ndarray]:
+    """The lists' values, none of them null, as views of one array."""
+    at, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+    return [values[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+
+
 class Logistic:
     """Logistic regression on sets of binary features, by adaptive stochastic gradients, over the significant features; classes weigh the same."""
 
@@ -121,7 +127,7 @@ class Logistic:
 
     def logits(self, sets: list[np.ndarray]) -> np.ndarray:
         first = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
-        total = np.concatenate([[0.0], np.cumsum(self.weights[np.concatenate([*sets, np.zeros(0, np.int64)])])])
+        total = np.concatenate([[0.0], np.cumsum(self.weights[np.concatenate([*sets, np.zeros(0, np.int32)])])])
         return total[first[1:]] - total[first[:-1]] + self.bias
 
     def fit(self, sets: list[np.ndarray], y: np.ndarray) -> Logistic:
@@ -261,7 +267,7 @@ def one_of_each(sets: list[np.ndarray], classes: int = 4, least: int = 12) -> np
     for i, x in enumerate(sets):
         h = np.sort(mix(x.astype(np.uint64) + np.uint64(1)))
         parts = [h[h % np.uint64(classes) == k] for k in range(classes)]
-        keys = [x.tobytes(), *(p[:least].tobytes() for p in parts if len(p) >= least)]
+        keys = [hashlib.blake2b(h, digest_size=16).digest(), *(p[:least].tobytes() for p in parts if len(p) >= least)]
         out[i] = seen.isdisjoint(keys)
         seen.update(keys)
     return out
@@ -307,7 +313,8 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds:
     rows = features(columns.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")).join(F.broadcast(chosen), "doc_id")
     upto = F.sum(F.size("text_set")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("upto", upto).where(F.col("upto") <= SETS).toArrow()
-    sets = [[x.values.to_numpy().astype(np.int64) for x in rows.column(c)] for c in ("text_set", "meta_set")]
+    # Views of the columns: copies of eight bytes an element would be the most that the driver's Python holds.
+    sets = [[part for chunk in rows.column(c).chunks for part in _sets(chunk)] for c in ("text_set", "meta_set")]
     have = one_of_each(sets[0])
     turn = mix(np.array(rows.column("doc_id").to_pylist(), np.int64).view(np.uint64)) % np.uint64(HELD) == 0
     pick = lambda c, which: [sets[c][i] for i in np.flatnonzero(which)]
