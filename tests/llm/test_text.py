@@ -229,6 +229,46 @@ def test_unlike_sets_of_a_bucket_are_told_apart_by_signs(spark, monkeypatch):
     assert sum(tried) < 600
 
 
+def test_sets_of_large_unlike_texts_are_not_moved(spark, monkeypatch):
+    """Texts of 1,400 words that share a third with each other: too many elements for the short signs."""
+    rng = random.Random(5)
+    middle = prose(rng, 700)
+    texts = [*(f"{prose(rng, 350)} {middle} {prose(rng, 350)}" for _ in range(24)), *variants(rng, 20, 1200, (10, 20))]
+    steps, kept = [], jaccard.written
+    monkeypatch.setattr(jaccard, "written", lambda df, what: steps.append((what, made := kept(df, what))) or made)
+    got = {r["row"]: r["component_id"] for r in simhash.near_groups(frame(spark, texts).select(F.col("doc_id").alias("row"), "doc_id", "text")).collect()}
+    sets = [word_sets(t) for t in texts]
+    assert [got[i] for i in range(len(texts))] == roots(range(len(texts)), lambda i, j: sets[i] == sets[j] or alike(sets[i], sets[j]))
+    compared = [[t for what, t in steps[:k] if what == "pairs"][-1].count() for k, (what, _) in enumerate(steps) if what == "links"]
+    assert 0 < sum(compared) < 60
+
+
+def test_a_line_of_many_texts_is_in_few_prefixes(spark, monkeypatch):
+    rng = random.Random(6)
+    line = " ".join(f"line{k}" for k in range(12))
+    texts = [f"{line} {t}" for _ in range(30) for t in variants(rng, 2, 80, (1, 2))]
+    steps, kept = {}, simhash.written
+    monkeypatch.setattr(simhash, "written", lambda df, what: steps.setdefault(what, kept(df, what)))
+    got = {r["row"]: r["component_id"] for r in simhash.near_groups(frame(spark, texts).select(F.col("doc_id").alias("row"), "doc_id", "text")).collect()}
+    sets = [word_sets(t) for t in texts]
+    assert [got[i] for i in range(len(texts))] == roots(range(len(texts)), lambda i, j: sets[i] == sets[j] or alike(sets[i], sets[j]))
+    assert 1 < max(r["count"] for r in steps["members"].groupBy("bucket").count().collect()) <= 4
+
+
+def test_wide_signs_lose_no_like_pair(spark):
+    rng = np.random.default_rng(7)
+    sets = {0: np.zeros(1, np.int64), 1: np.arange(5000)}
+    for k in range(2, 60, 2):
+        sets[k] = np.unique(rng.integers(-(1 << 62), 1 << 62, int(rng.integers(1, 400))))
+        sets[k + 1] = np.append(sets[k][len(sets[k]) // 5 :], 1 + rng.integers(0, 9))
+    table = jaccard.written(spark.createDataFrame([(k, x.tolist()) for k, x in sets.items()], "id long, shingles array<long>"), "sets")
+    pairs = [(i, j) for i in sets for j in range(i)]
+    like = {(i, j) for i, j in pairs if len({*sets[i].tolist()} & {*sets[j].tolist()}) >= 0.7 * len({*sets[i].tolist()} | {*sets[j].tolist()}) - 1e-9}
+    near = {tuple(r) for r in jaccard._near_wide(spark.createDataFrame(pairs, "u long, v long"), jaccard._wide(table), 0.7).collect()}
+    assert like <= near and 20 < len(like) and len(near) < 3 * len(like)
+    assert {tuple(r) for r in jaccard.verified(spark.createDataFrame(pairs, "u long, v long"), jaccard.of_table(table), 0.7).collect()} == like
+
+
 def test_signs_differ_in_no_more_bits_than_sets():
     rng = np.random.default_rng(4)
     sets = [np.unique(rng.integers(0, 3000, n, dtype=np.uint64) << np.uint64(1)) for n in (0, 1, 5, 300, 300, 3000)]

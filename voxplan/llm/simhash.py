@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, bounded_batches, discarded, fresh, mix, prefix_hash, range_hash, read_table, shingles, text_slices, without_rows, words, written
+from .common import LOWER, bounded_batches, discarded, fresh, mix, prefix_hash, range_hash, read_table, shingle_spans, shingles, text_slices, without_rows, words, written
 from .graph import components, forest
 from .jaccard import SIGN, bucket_roots, reach, shared, signs, supported
 
@@ -39,6 +39,8 @@ REPLICA = 100
 #: Jaccard likeness of near duplicates where no number of bits is asked for.
 SIMILARITY = 0.8
 CELL = 4096
+#: Bits of a word's hash by which words are counted together, to tell the frequent ones.
+COUNTED = 14
 _FLUSH = 1 << 15
 
 
@@ -215,20 +217,47 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(groups(docs), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _shingled(docs: DataFrame, what: str, width: int, similarity: float = SIMILARITY) -> DataFrame:
-    """Of docs (row, doc_id, text) with their distinct shingles in order of hash:
+def _word_hashes(low: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    start, end, first = words(low, offsets)
+    return range_hash(prefix_hash(low), start, end), first
+
+
+def _cells(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - COUNTED)).astype(np.int64)
+
+
+def rarity(docs: DataFrame) -> np.ndarray:
+    """How rare the words of each cell of 2^COUNTED are in all docs (text): 4 log2 of one in how many words, 255 at most."""
+    bounded_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << COUNTED, np.int64)
+        for _, raw, offsets in text_slices(batches):
+            total += np.bincount(_cells(_word_hashes(LOWER[raw], offsets)[0]), minlength=1 << COUNTED)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["cell", "times"])
+
+    # As many rows as there are cells at most, whatever the input.
+    times = np.ones(1 << COUNTED, np.int64)
+    for cell, n in docs.select("text").mapInArrow(run, "cell long, times long").groupBy("cell").agg(F.sum("times")).collect():
+        times[cell] = n
+    return np.minimum(255, np.round(4 * np.log2(times.sum() / times))).astype(np.uint8)
+
+
+def _shingled(docs: DataFrame, what: str, width: int, similarity: float = SIMILARITY, rare: np.ndarray | None = None) -> DataFrame:
+    """Of docs (row, doc_id, text) with their distinct shingles:
 
     "sets": (row, shingles); "docs": (row, doc_id, set_key, n, fp, sign); "prefixes": (bucket, id, n, at), a row for each element of
-    the extended prefixes, id the set_key.
+    the extended prefixes, id the set_key. There shingles of rare words come first, by `rare` from rarity(), equally rare ones in order of hash:
+    any order leaves out no pair, and in this one a line of a great many texts, or a common phrase, is in few prefixes.
     """
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, raw, offsets in text_slices(batches):
-            low = LOWER[raw]
-            start, end, first = words(low, offsets)
-            h, at = shingles(range_hash(prefix_hash(low), start, end), first, width)
-            sets = [np.unique(h[s:e]) for s, e in zip(at[:-1].tolist(), at[1:].tolist())]
+            hashes, first = _word_hashes(LOWER[raw], offsets)
+            h, at = shingles(hashes, first, width)
+            sets, where = zip(*(np.unique(h[s:e], return_index=True) for s, e in zip(at[:-1].tolist(), at[1:].tolist())))
             row = rows.column(rows.schema.get_field_index("row"))
             size = np.array([len(x) for x in sets], np.int64)
             if what == "sets":
@@ -237,7 +266,11 @@ def _shingled(docs: DataFrame, what: str, width: int, similarity: float = SIMILA
             keys = np.array([int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8).digest(), signed=True) for x in sets], np.int64)
             if what == "prefixes":
                 some = reach(size, similarity)
-                flat = np.concatenate([x[:k] for x, k in zip(sets, some.tolist())]).view(np.int64)
+                start, stop, _ = shingle_spans(first, width)
+                level = np.concatenate([[0], np.cumsum(rare[_cells(hashes)].astype(np.int64))])
+                level = level[start] - level[stop]
+                order = (np.argsort(level[s:][i], kind="stable")[:k] for s, i, k in zip(at.tolist(), where, some.tolist()))
+                flat = np.concatenate([x[o] for x, o in zip(sets, order)]).view(np.int64)
                 places = np.arange(len(flat)) - np.repeat(np.cumsum(some) - some, some)
                 yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(keys, some)), pa.array(np.repeat(size, some).astype(np.int32)), pa.array(places.astype(np.int32))], ["bucket", "id", "n", "at"])
                 continue
@@ -265,7 +298,7 @@ def near_groups(docs: DataFrame, width: int = 5, distance: int = DISTANCE, simil
     marked = written(_shingled(docs, "docs", width), "docs")
     classes = written(marked.where("n > 0").groupBy(F.col("set_key").alias("id")).agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("sign").alias("sign")), "classes")
     # Shingled again rather than kept: the prefixes of all are as large as the texts.
-    common = written(shared(_shingled(docs, "prefixes", width, similarity)), "shared")
+    common = written(shared(_shingled(docs, "prefixes", width, similarity, rarity(docs))), "shared")
     members = written(supported(common, similarity), "members")
     discarded(common)
     fps = classes.groupBy("fp").agg(F.min("id").alias("of"))
@@ -279,7 +312,7 @@ def near_groups(docs: DataFrame, width: int = 5, distance: int = DISTANCE, simil
         texts = docs.join(F.broadcast(rows) if few else rows, "row").select(F.col("id").alias("row"), "doc_id", "text")
         return _shingled(texts, "sets", width).select(F.col("row").alias("id"), "shingles").dropDuplicates(["id"])
 
-    rooted = classes.select("id").join(bucket_roots(members, sets, similarity, near, signed=classes.select("id", "sign")), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+    rooted = classes.select("id").join(bucket_roots(members, sets, similarity, near, signed=classes.select("id", "n", "sign")), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
     least = marked.groupBy(F.col("set_key").alias("id")).agg(F.min("doc_id").alias("least")).join(rooted, "id", "left").withColumn("root", F.coalesce("root", "id"))
     component = least.groupBy("root").agg(F.min("least").alias("component_id"))
     of = least.join(component, "root").select(F.col("id").alias("set_key"), "component_id")
