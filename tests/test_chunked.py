@@ -208,6 +208,21 @@ def test_wav_stream_recognises_and_reports(spark, tmp_path):
     assert bad[("w1", "short")] == "too short" and bad[("w0", "broken")].startswith("unreadable") and len(bad) == 2
 
 
+def test_a_batch_of_wav_files_has_some_for_each_core(spark, tmp_path):
+    cores, rng = spark.sparkContext.defaultParallelism, np.random.default_rng(9)
+    (tmp_path / "in" / "w0").mkdir(parents=True)
+    for i in range(2 * cores + 1):
+        with wave.open(str(tmp_path / "in" / "w0" / f"r{i}.wav"), "wb") as f:
+            f.setnchannels(1), f.setsampwidth(2), f.setframerate(16000)
+            f.writeframes((rng.normal(size=4000 if i % 3 else 40) * 8000).clip(-32768, 32767).astype("<i2").tobytes())
+    book = spark.createDataFrame([(k, [float(k)] * 13) for k in range(2)], "id int, vec array<double>")
+    models = hmm.train_hmms(spark.createDataFrame([("w0", "r", [0, 1, 0, 1])], "word string, recording string, obs array<int>"), 2, 4, max_iter=1)[0]
+    stream_recognize_wav(spark, str(tmp_path / "in"), book, models, str(tmp_path / "out"), str(tmp_path / "bad"), str(tmp_path / "at"), files=2).awaitTermination()
+    assert len(list((tmp_path / "out").glob("batch=*"))) == 2
+    names = [[r["recording"] for r in spark.read.parquet(str(tmp_path / x)).select("recording").collect()] for x in ("out", "bad")]
+    assert sorted(names[0] + names[1]) == sorted(f"r{i}" for i in range(2 * cores + 1)) and {int(x[1:]) % 3 for x in names[1]} == {0}
+
+
 def test_clips_leave_no_state_behind(spark, tmp_path):
     """Recorder 1 leaves samples behind and stays idle; 2 has whole clips only; late chunks are dropped."""
     start, kind = datetime(2024, 1, 1), "recorder long, ts timestamp, seq long, samples array<double>"
